@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodetext.llm import simhash
+from lodetext.llm import licenses, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_simhash": simhash.op8_simhash,
+        "op9_licenses": licenses.op9_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_licenses": licenses.op9_sql(),
+    }

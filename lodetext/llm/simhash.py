@@ -97,3 +97,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, bucket: int
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, words: int = 3, bits: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """docs without all but one row of every near-duplicate group: the row with the smallest doc_id stays."""
+    raise NotImplementedError
