@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodetext.llm import licenses, simhash
+from lodetext.llm import licenses, packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_simhash": simhash.op8_simhash,
         "op9_licenses": licenses.op9_licenses,
+        "op10_packing": packing.op10_packing,
     }
 
 
