@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodetext.llm import licenses, packing, simhash, warc
+from lodetext.llm import licenses, mixing, packing, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_mixing": mixing.op3_mixing,
         "op5_warc": warc.op5_warc,
         "op8_simhash": simhash.op8_simhash,
         "op9_licenses": licenses.op9_licenses,
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_mixing": mixing.OP3_SQL,
         "op5_warc": warc.OP5_SQL,
         "op9_licenses": licenses.op9_sql(),
     }
