@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodetext.llm import licenses, mixing, packing, simhash, warc
+from lodetext.llm import licenses, mixing, packing, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_mixing": mixing.op3_mixing,
         "op5_warc": warc.op5_warc,
         "op8_simhash": simhash.op8_simhash,
