@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodetext.llm import html_text, licenses, mixing, packing, simhash, toxicity, warc
+from lodetext.llm import html_text, licenses, mixing, packing, quality, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_mixing": mixing.op3_mixing,
         "op5_warc": warc.op5_warc,
+        "op6_quality": quality.op6_quality,
         "op7_html_text": html_text.op7_html_text,
         "op8_simhash": simhash.op8_simhash,
         "op9_licenses": licenses.op9_licenses,
