@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodetext.llm import html_text, licenses, mixing, packing, quality, simhash, toxicity, warc
+from lodetext.llm import html_text, licenses, mixing, packing, quality, simhash, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_mixing": mixing.op3_mixing,
+        "op4_topk": topk.op4_topk,
         "op5_warc": warc.op5_warc,
         "op6_quality": quality.op6_quality,
         "op7_html_text": html_text.op7_html_text,
