@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodetext.llm import html_text, licenses, mixing, packing, quality, simhash, topk, toxicity, warc
+from lodetext.functions.shipping import ship
+from lodetext.llm import audio, html_text, licenses, mixing, packing, quality, simhash, topk, toxicity, warc
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    named = {
+        "op1_chroma": audio.op1_chroma,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_mixing": mixing.op3_mixing,
         "op4_topk": topk.op4_topk,
@@ -21,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_licenses": licenses.op9_licenses,
         "op10_packing": packing.op10_packing,
     }
+    return {name: shipped(query) for name, query in named.items()}
 
 
 def oracle_sql() -> dict[str, str]:
