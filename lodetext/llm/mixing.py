@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import re
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +152,33 @@ def mix(docs: DataFrame, members: str = "sources", size: str = "size", key: str
     return every.select(*docs.columns, "mix_taken", "mix_shares", "mix_targets")
 
 
+def leading_words(text: str, n: int) -> str:
+    """The text up to the end of its n-th word."""
+    end = 0
+    for k, m in enumerate(re.finditer(r"[^\x20\x09-\x0D]+", text)):
+        if k >= n:
+            break
+        end = m.end()
+    return text[:end]
+
+
+def materialised(docs: DataFrame, **options) -> DataFrame:
+    """docs (doc_id, text, source, ...) as mixed: each row as often as it is taken whole, then once more cut to the words that are left. n_chars, if there, follows a cut."""
+    sized = docs.withColumn("mix_in", F.array("source")).withColumn("mix_n", n_words("text"))
+    mixed = mix(sized, "mix_in", "mix_n", **options).withColumn("mix_n", F.greatest("mix_n", F.lit(1).cast("long")))
+    whole = mixed.where("mix_taken >= mix_n").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("mix_taken div mix_n")))).select(*docs.columns)
+    rest = mixed.where("mix_taken % mix_n > 0").withColumn("mix_rest", F.expr("CAST(mix_taken % mix_n AS INT)"))
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([leading_words(t or "", k) for t, k in zip(text, n, strict=True)], dtype=object)
+
+    rest = rest.withColumn("text", cut("text", "mix_rest"))
+    if "n_chars" in docs.columns:
+        rest = rest.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.unionByName(rest.select(*docs.columns))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array("source").alias("sources"), "source", n_words("text").alias("size"))
     docs = stored(docs, "sizes")  # the texts are read once

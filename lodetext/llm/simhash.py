@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,6 +100,93 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, words: int = 3, bits: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """docs without all but one row of every near-duplicate group: the row with the smallest doc_id stays."""
-    raise NotImplementedError
+
+def hashed(text: str | None, words: int) -> tuple[bytes, np.ndarray]:
+    """The normalised words of a text and the distinct hashes of its shingles."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return b"", np.zeros(0, np.uint64)
+    shingles = {b" ".join(w)} if len(w) < words else set(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
+    return b" ".join(w), np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))
+
+
+def majority(hashes: np.ndarray) -> int:
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def sketched(text: str | None, words: int, sketches: int, sample: int) -> dict:
+    """key (of the normalised words), fp (SimHash of the distinct shingles) and the SimHashes of `sketches` min-wise samples of them."""
+    plain, hashes = hashed(text, words)
+    key = hashlib.md5(plain).hexdigest()
+    if not len(hashes):
+        return {"key": key, "fp": 0, "samples": [0] * sketches}
+    found = []
+    for j in range(sketches):
+        mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        least = np.argpartition(mixed, sample - 1)[:sample] if len(mixed) > sample else np.arange(len(mixed))
+        found.append(majority(hashes[least]))
+    return {"key": key, "fp": majority(hashes), "samples": found}
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2, sketches: int = 10, sample: int = 3) -> DataFrame:
+    """(doc_id, exact, key, root) per row of docs (doc_id, text): root is equal for rows joined by links of Jaccard similarity `similarity`.
+
+    The similarity is of sets of `words`-word shingles (fewer words: the whole; none: equal to each other only). A 64-bit SimHash alone
+    parts texts at 0.8 by about ten bits, out of reach of any small ball, so a document has, besides the fingerprint of all its shingles (multi-index
+    hashing within `bits`), fingerprints of `sketches` min-wise samples of `sample` shingles: texts of similarity s agree in one with chance
+    s^sample, in any of ten at 0.8 with 0.999. Texts that agree are candidates with the smallest and the most copied among them, and every
+    candidate is verified in full. Equal texts are one class before all this. exact is the md5 of the text.
+    """
+
+    @F.pandas_udf("struct<key: string, fp: long, samples: array<long>>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([sketched(t, words, sketches, sample) for t in texts], columns=["key", "fp", "samples"])
+
+    @F.pandas_udf("array<long>")
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([hashed(t, words)[1].view(np.int64) for t in texts])
+
+    text = F.coalesce("text", F.lit(""))
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("exact"), sketch("text").alias("s")).select("doc_id", "exact", "s.*"), "sketches")
+    classes = stored(rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "exact")).alias("at"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("samples").alias("samples")), "classes")
+    of_print = classes.groupBy("fp").agg(F.min("key").alias("v"), F.count("*").alias("n"))
+    same = classes.join(of_print.where("n > 1"), "fp").select(F.col("key").alias("u"), "v")
+    near = near_links(of_print.select("fp"), bits)
+    near = near.join(of_print.select(F.col("fp").alias("u"), F.col("v").alias("a")), "u").join(of_print.select(F.col("fp").alias("v"), F.col("v").alias("b")), "v")
+    spread = classes.select("key", "n", F.posexplode("samples").alias("k", "value"))
+    heads = spread.groupBy("k", "value").agg(F.min("key").alias("least"), F.max_by("key", F.struct("n", "key")).alias("most"), F.count("*").alias("size")).where("size > 1")
+    met = spread.join(heads, ["k", "value"]).select("key", F.explode(F.array("least", "most")).alias("v"))
+    pairs = same.union(near.select("a", "b")).union(met)
+    pairs = stored(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
+
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(classes, "key").select("key", F.col("at.doc_id").alias("id"), F.col("at.exact").alias("is"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("exact"), "text")
+    texts = texts.join(needed, texts["doc_id"].eqNullSafe(needed["id"]) & (texts["exact"] == needed["is"])).select("key", shingles("text").alias("set"))
+    sets = stored(texts.groupBy("key").agg(F.min("set").alias("set")), "shingles")
+    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("set").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    links = both.withColumn("c", common).where((F.col("c") > 0) & (F.col("c") >= similarity * (F.size("a") + F.size("b") - F.col("c")) - 1e-9)).select("u", "v")
+    roots = stored(components(links), "roots")
+    return rows.join(roots, rows["key"] == roots["node"], "left").select("doc_id", "exact", "key", F.coalesce("root", "key").alias("root"))
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of every group of near copies: of the smallest doc_id (null last), then md5; of equal rows one. All columns are kept."""
+    marks = near_copies(docs, **options).groupBy("root", "doc_id", "exact").agg(F.count("*").alias("n"))
+    marks = stored(marks, "marks")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "exact")
+    stays = marks.groupBy("root").agg(F.min(place).alias("stay"))
+    marks = marks.join(stays, "root").withColumn("stays", F.struct(F.col("doc_id").isNull(), "doc_id", "exact") == F.col("stay"))
+    one, two = "lodetext_id", "lodetext_exact"
+    named = lambda condition: marks.where(condition).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(one), F.col("exact").alias(two))
+    rows = docs.withColumn(one, F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))).withColumn(two, F.md5(F.coalesce("text", F.lit(""))))
+    rows = rows.join(named("NOT stays"), [one, two], "left_anti")
+    several = named("stays AND n > 1")
+    if not several.isEmpty():
+        rows = rows.join(several, [one, two], "left_anti").unionByName(rows.join(several, [one, two], "left_semi").dropDuplicates([one, two]))
+    return rows.select(*docs.columns)
