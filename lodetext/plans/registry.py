@@ -1,15 +1,508 @@
-"""Named queries of the engine with their SQL."""
+"""Named queries of the engine with their SQL. Each runs over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodetext.functions import encoding
+from lodetext.functions.shipping import ship
+from lodetext.functions.text import ENGLISH, ENGLISH_STOP_WORDS, PLAIN, AnalyzerConfig, joined, token_table, tokens, word_frequencies
+from lodetext.operators import boolean as bo
+from lodetext.operators import evaluation as ev
+from lodetext.operators import index as ix
+from lodetext.operators import ranking as rk
+from lodetext.operators import reporting as rp
+from lodetext.operators import workload as wl
+from lodetext.plans import ast
+from lodetext.plans.engine import EngineConfig, SearchEngine
+
+PAIRS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+STOPPED = AnalyzerConfig(stop_words=ENGLISH_STOP_WORDS)
+BATCH = [(0, ["that", "with", "this"]), (1, ["from", "tion"]), (2, ["ther", "thor", "anea", "ther"]), (3, ["nosuchterm", "anea"])]
+WORKLOAD = [
+    "that", '"anea eriner"', "that AND with", "ther OR thor", "from AND NOT with", "(that OR with) AND NOT this", "NOT that", "anea AND (ther OR thor) AND from",
+    "(that AND with) OR anea", 'NOT (that OR with) AND "anea eriner"',
+]
+
+
+def named(sql: str | None = None):
+    def add(f):
+        PAIRS[f.__name__] = (f, sql)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    def shipped(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        return run
+
+    return {name: shipped(f) for name, (f, _) in PAIRS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in PAIRS.items() if sql}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def toks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table(docs_of(spark, sf_dir))
+
+
+def tf_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.frequencies(docs_of(spark, sf_dir))
+
+
+def batch_of(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(BATCH, "query_id int, terms array<string>")
+
+
+#: Token relation: x explodes with places, t numbers what the length filter leaves.
+TOKENS = r"""
+x AS (SELECT doc_id, unnest(l) AS term, generate_subscripts(l, 1) AS i
+      FROM (SELECT doc_id, string_split_regex(regexp_replace(lower(coalesce({text}, '')), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+') AS l FROM {source})),
+t AS (SELECT doc_id, term, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS pos, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS dl
+      FROM x WHERE length(term) BETWEEN 2 AND 50)"""
+T = TOKENS.format(text="text", source="documents")
+P = T + ", p AS (SELECT doc_id, dl, term, count(*) AS tf FROM t GROUP BY ALL)"
+S = P + ", d AS (SELECT DISTINCT doc_id, dl FROM t), s AS (SELECT count(*) AS n, avg(dl) AS a FROM d)"
+Q = "q(query_id, term, weight) AS (VALUES " + ", ".join(f"({i}, '{t}', {ts.count(t)})" for i, ts in BATCH for t in dict.fromkeys(ts)) + ")"
+PARTS = S + ", " + Q + """,
+m AS (SELECT term, count(*) AS df, max(tf) AS max_tf FROM p GROUP BY term),
+r AS (SELECT query_id, doc_id, term, weight, ln(n / df) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a)) AS part, ln(n / df) * max_tf * 2.5 / (max_tf + 1.5 * (0.25 + 0.75 / a)) AS bound, tf
+      FROM p JOIN q USING (term) JOIN m USING (term), s)"""
+
+
+def top(scored: str, k: int = 10) -> str:
+    return f"SELECT query_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({scored})) WHERE rank <= {k}"
+
+
+def quoted(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+# --- text analysis
+
+
+@named(f"WITH {T} SELECT doc_id, dl, pos, term FROM t")
+def tokenize_documents(spark, sf_dir):
+    return toks_of(spark, sf_dir)
+
+
+@named(f"WITH {T} SELECT doc_id, string_agg(term, ' ' ORDER BY pos) AS preprocessed FROM t WHERE term NOT IN ({quoted(ENGLISH_STOP_WORDS)}) GROUP BY doc_id")
+def preprocessed_text(spark, sf_dir):
+    rows = docs_of(spark, sf_dir).select("doc_id", tokens(F.col("text"), STOPPED).alias("toks")).where(F.size("toks") > 0)
+    return rows.select("doc_id", joined(F.col("toks")).alias("preprocessed"))
+
+
+@named(f"WITH {T} SELECT term, count(*) AS freq FROM t WHERE term NOT IN ({quoted(ENGLISH_STOP_WORDS)}) GROUP BY term")
+def tokens_stopworded(spark, sf_dir):
+    return word_frequencies(docs_of(spark, sf_dir), STOPPED)
+
+
+@named(f"WITH {T} SELECT term, count(*) AS freq FROM t GROUP BY term ORDER BY freq DESC, term LIMIT 50")
+def word_freq_top50(spark, sf_dir):
+    return word_frequencies(docs_of(spark, sf_dir)).orderBy(F.desc("freq"), "term").limit(50)
+
+
+@named(f"""WITH {T}, b AS (SELECT count(*) AS tokens_before, count(DISTINCT term) AS terms_before FROM t),
+c AS (SELECT count(*) AS tokens_after, count(DISTINCT term) AS terms_after FROM t WHERE term NOT IN ({quoted(ENGLISH_STOP_WORDS)}))
+SELECT *, round(100.0 * (tokens_before - tokens_after) / tokens_before, 4) AS token_reduction, round(100.0 * (terms_before - terms_after) / terms_before, 4) AS term_reduction FROM b, c""")
+def word_freq_reduction(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return rp.word_frequency_reduction(word_frequencies(docs), word_frequencies(docs, STOPPED))
+
+
+@named()
+def word_freq_stemmed(spark, sf_dir):
+    return word_frequencies(docs_of(spark, sf_dir), ENGLISH)
+
+
+@named("SELECT conv_id, turn, coalesce(text, '') AS content, CAST(length(trim(coalesce(text, ''))) AS INT) AS n FROM conversations WHERE length(trim(coalesce(text, ''))) > 100")
+def long_turns(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("content"))
+    return rows.withColumn("n", F.length(F.trim("content"))).where("n > 100")
+
+
+# --- index
+
+
+@named(f"WITH {T} SELECT doc_id, dl, term, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM t GROUP BY ALL")
+def build_postings(spark, sf_dir):
+    return ix.postings(docs_of(spark, sf_dir)).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
+@named(f"WITH {P} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_tf FROM p GROUP BY term")
+def term_dictionary(spark, sf_dir):
+    return ix.terms(tf_of(spark, sf_dir))
+
+
+@named(f"WITH {S} SELECT count(*) AS n_docs, CAST(sum(dl) AS BIGINT) AS total_terms, avg(dl) AS avgdl FROM d")
+def collection_stats(spark, sf_dir):
+    return ix.stats(tf_of(spark, sf_dir))
+
+
+@named(f"""WITH {S}, m AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM p GROUP BY term)
+SELECT (SELECT n FROM s) AS n_docs, (SELECT a FROM s) AS avg_doc_length, count(*) AS n_terms, CAST(sum(cf) AS BIGINT) AS n_tokens, avg(df) AS avg_postings_length FROM m""")
+def index_stats(spark, sf_dir):
+    return ix.index_stats(tf_of(spark, sf_dir))
+
+
+@named(f"WITH {P} SELECT term, doc_id, tf FROM p WHERE term IN ('that', 'anea', 'nosuchterm')")
+def postings_lookup(spark, sf_dir):
+    return ix.lookup(tf_of(spark, sf_dir), ["that", "anea", "nosuchterm"]).select("term", "doc_id", "tf")
+
+
+@named(f"""WITH {T}, c AS (SELECT doc_id, term, pos FROM t WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, term, pos + 100000 FROM t WHERE doc_id % 3 = 0)
+SELECT doc_id, term, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM c GROUP BY ALL""")
+def merge_postings(spark, sf_dir):
+    posted = ix.postings(docs_of(spark, sf_dir)).drop("dl")
+    other = posted.where("doc_id % 3 = 0").withColumn("positions", F.transform("positions", lambda x: x + 100000))
+    return ix.merged(posted.where("doc_id % 2 = 0"), other).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
+UPDATED = "(SELECT doc_id, text FROM documents WHERE doc_id % 5 <> 0 AND doc_id NOT IN (SELECT item_id FROM benchmark) UNION ALL SELECT item_id, text FROM benchmark)"
+
+
+@named("WITH " + TOKENS.format(text="text", source=UPDATED) + " SELECT doc_id, dl, term, count(*) AS tf FROM t GROUP BY ALL")
+def update_add_remove(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    add = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return ix.updated(ix.postings(docs), add, docs.where("doc_id % 5 = 0")).drop("positions")
+
+
+@named("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_no FROM documents")
+def dense_ids(spark, sf_dir):
+    return ix.dense_ids(docs_of(spark, sf_dir).select("doc_id"), "doc_id")
+
+
+# --- boolean, phrase, proximity
+
+HAS = "SELECT doc_id FROM t WHERE term = '{}'"
+
+
+def bool_sql(body: str) -> str:
+    return f"WITH {T} SELECT DISTINCT doc_id FROM ({body})"
+
+
+def one(*terms: str, op: str = "INTERSECT") -> str:
+    return "(" + f" {op} ".join(HAS.format(t) for t in terms) + ")"
+
+
+@named(bool_sql(one("that", "with")))
+def bool_and2(spark, sf_dir):
+    return bo.all_of(tf_of(spark, sf_dir), ["that", "with"])
+
+
+@named(bool_sql(one("that", "with", "this")))
+def bool_and3(spark, sf_dir):
+    return bo.all_of(tf_of(spark, sf_dir), ["that", "with", "this"])
+
+
+@named(bool_sql(one("ther", "thor", op="UNION")))
+def bool_or2(spark, sf_dir):
+    return bo.any_of(tf_of(spark, sf_dir), ["ther", "thor"])
+
+
+@named(bool_sql(one("ther", "thor", "anea", op="UNION")))
+def bool_or3(spark, sf_dir):
+    return bo.any_of(tf_of(spark, sf_dir), ["ther", "thor", "anea"])
+
+
+@named(bool_sql("(SELECT doc_id FROM t) EXCEPT " + HAS.format("that")))
+def bool_not(spark, sf_dir):
+    posted = tf_of(spark, sf_dir)
+    return bo.none_of(ix.doc_table(posted), bo.any_of(posted, ["that"]))
+
+
+@named(bool_sql(one("from") + " EXCEPT " + one("with", "this", op="UNION")))
+def bool_and_not(spark, sf_dir):
+    return bo.and_not(tf_of(spark, sf_dir), ["from"], ["with", "this"])
+
+
+@named(f"WITH {T}, a AS ({HAS.format('that')}), b AS ({HAS.format('with')}), j AS (SELECT doc_id, pos FROM t WHERE term IN ('that', 'with') AND doc_id IN (FROM a) AND doc_id IN (FROM b)) SELECT doc_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions, CAST(count(*) AS INT) AS tf FROM j GROUP BY doc_id")
+def merge_intersect(spark, sf_dir):
+    posted = ix.postings(docs_of(spark, sf_dir))
+    return bo.intersect_positions(posted.where("term = 'that'"), posted.where("term = 'with'")).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
+@named(f"WITH {T} SELECT doc_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM t WHERE term IN ('that', 'with') GROUP BY doc_id")
+def merge_union(spark, sf_dir):
+    posted = ix.postings(docs_of(spark, sf_dir))
+    return bo.union_positions(posted.where("term = 'that'"), posted.where("term = 'with'")).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
+def phrase_sql(words: list[str]) -> str:
+    joins = " ".join(f"JOIN t t{i} ON t{i}.doc_id = t0.doc_id AND t{i}.pos = t0.pos + {i} AND t{i}.term = '{w}'" for i, w in enumerate(words) if i)
+    return f"SELECT t0.doc_id, t0.pos AS start FROM t t0 {joins} WHERE t0.term = '{words[0]}'"
+
+
+@named(f"WITH {T} SELECT DISTINCT doc_id FROM ({phrase_sql(['anea', 'eriner'])})")
+def phrase2(spark, sf_dir):
+    return bo.phrase(toks_of(spark, sf_dir), ["anea", "eriner"])
+
+
+@named(f"WITH {T} SELECT DISTINCT doc_id FROM ({phrase_sql(['anea', 'eriner', 'thanea'])})")
+def phrase3(spark, sf_dir):
+    return bo.phrase(toks_of(spark, sf_dir), ["anea", "eriner", "thanea"])
+
+
+@named(f"WITH {T} {phrase_sql(['of', 'the'])}")
+def phrase_positions(spark, sf_dir):
+    return bo.phrase_starts(toks_of(spark, sf_dir), ["of", "the"])
+
+
+@named(f"WITH {T} SELECT doc_id, max(pos) - min(pos) AS span FROM t WHERE term IN ('ther', 'thor') GROUP BY doc_id HAVING count(DISTINCT term) = 2 AND max(pos) - min(pos) <= 50")
+def proximity_span(spark, sf_dir):
+    return bo.proximity_span(toks_of(spark, sf_dir), ["ther", "thor"], 50)
+
+
+@named(f"WITH {T} SELECT a.doc_id, CAST(min(abs(a.pos - b.pos)) AS BIGINT) AS span FROM t a JOIN t b ON a.doc_id = b.doc_id WHERE a.term = 'that' AND b.term = 'with' GROUP BY a.doc_id HAVING min(abs(a.pos - b.pos)) <= 10")
+def proximity_min_window(spark, sf_dir):
+    return bo.proximity_min_window(toks_of(spark, sf_dir), ["that", "with"], 10)
+
+
+def workload_sql() -> str:
+    def leaf(node):
+        if node.kind == "PHRASE":
+            return f"(doc_id IN (SELECT doc_id FROM ({phrase_sql(node.value.split())})))"
+        return f"(doc_id IN ({HAS.format(node.value)}))"
+
+    return f"WITH {T}, d AS (SELECT DISTINCT doc_id FROM t) " + " UNION ALL ".join(f"SELECT {i} AS query_id, doc_id FROM d WHERE {ast.condition(ast.parse(q), leaf)}" for i, q in enumerate(WORKLOAD))
+
+
+@named(workload_sql())
+def bool_workload(spark, sf_dir):
+    return SearchEngine.build(docs_of(spark, sf_dir), EngineConfig(analyzer=PLAIN)).boolean(WORKLOAD)
+
+
+# --- ranking
+
+
+@named(f"WITH {PARTS} " + top("SELECT query_id, doc_id, CAST(sum(weight) AS DOUBLE) AS score FROM r GROUP BY ALL"))
+def rank_boolean(spark, sf_dir):
+    return rk.ranked(tf_of(spark, sf_dir), batch_of(spark), 10, "boolean")
+
+
+@named(f"WITH {PARTS} " + top("SELECT query_id, doc_id, CAST(sum(weight * tf) AS DOUBLE) AS score FROM r GROUP BY ALL"))
+def rank_tf(spark, sf_dir):
+    return rk.ranked(tf_of(spark, sf_dir), batch_of(spark), 10, "tf")
+
+
+@named(f"WITH {PARTS} " + top("SELECT query_id, doc_id, round(sum(weight * part), 6) AS score FROM r WHERE query_id = 1 GROUP BY ALL"))
+def rank_bm25(spark, sf_dir):
+    return rk.ranked(tf_of(spark, sf_dir), batch_of(spark).where("query_id = 1"), 10, "bm25", 6)
+
+
+@named(f"WITH {PARTS} " + top("SELECT query_id, doc_id, round(sum(weight * part), 6) AS score FROM r GROUP BY ALL"))
+def rank_batch_topk(spark, sf_dir):
+    return rk.ranked(tf_of(spark, sf_dir), batch_of(spark), 10, "bm25", 6)
+
+
+BOUNDS = PARTS + ", e AS (SELECT DISTINCT query_id, term, weight, bound FROM r), b AS (SELECT query_id, sum(bound) AS bound_sum, sum(weight) AS n_terms FROM e GROUP BY query_id)"
+
+
+@named(f"WITH {BOUNDS} " + top("SELECT query_id, doc_id, round(sum(weight * part), 6) AS score FROM r JOIN b USING (query_id) WHERE part > 0.3 * bound_sum / n_terms GROUP BY ALL"))
+def rank_threshold_term(spark, sf_dir):
+    return rk.ranked_term_threshold(tf_of(spark, sf_dir), batch_of(spark), 0.3, 10, "bm25", 6)
+
+
+@named(f"WITH {BOUNDS} " + top("SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT query_id, doc_id, sum(weight * part) AS score FROM r GROUP BY ALL) JOIN b USING (query_id) WHERE score >= 0.3 * bound_sum"))
+def rank_threshold_doc(spark, sf_dir):
+    return rk.ranked_doc_threshold(tf_of(spark, sf_dir), batch_of(spark), 0.3, 10, "bm25", 6)
+
+
+@named()
+def rank_early_stop(spark, sf_dir):
+    return rk.ranked_early_stop(tf_of(spark, sf_dir), ["that", "with", "this", "from", "tion", "ther", "thor"], 10, 3)
+
+
+@named(f"WITH {PARTS}, f AS (SELECT query_id, doc_id, CAST(sum(weight * tf) AS DOUBLE) AS score FROM r GROUP BY ALL) SELECT query_id, count(*) AS total_hits, max(score) AS max_score FROM f GROUP BY query_id")
+def total_hits(spark, sf_dir):
+    return rk.total_hits(rk.scores(rk.term_parts(tf_of(spark, sf_dir), rk.query_terms(batch_of(spark)), "tf")))
+
+
+def page_fields(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_replace("html", "<[^>]*>", " ").alias("body"))
+    return {"title": (ix.frequencies(pages, text="title"), 2.0), "text": (ix.frequencies(pages, text="body"), 1.0)}
+
+
+def field_sql(name: str, text: str, boost: float) -> str:
+    t = TOKENS.format(text=text, source="pages2").replace("x AS", f"x{name} AS").replace("t AS (", f"t{name} AS (").replace("FROM x WHERE", f"FROM x{name} WHERE")
+    return t + f""",
+p{name} AS (SELECT doc_id, dl, term, count(*) AS tf FROM t{name} GROUP BY ALL), s{name} AS (SELECT count(*) AS n, avg(dl) AS a FROM (SELECT DISTINCT doc_id, dl FROM t{name})),
+m{name} AS (SELECT term, count(*) AS df FROM p{name} GROUP BY term),
+f{name} AS (SELECT query_id, doc_id, {boost} * sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS score FROM p{name} JOIN q USING (term) JOIN m{name} USING (term), s{name} GROUP BY ALL)"""
+
+
+@named("WITH pages2 AS (SELECT page_id AS doc_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_replace(html, '<[^>]*>', ' ', 'g') AS body FROM pages), " + Q + ", " + field_sql("a", "title", 2.0) + ", " + field_sql("b", "body", 1.0) + " "
+       + top("SELECT query_id, doc_id, round(max(score), 6) AS score FROM (FROM fa UNION ALL FROM fb) GROUP BY ALL"))
+def multifield_best_fields(spark, sf_dir):
+    return rk.best_fields(page_fields(spark, sf_dir), batch_of(spark), 10, 6)
+
+
+@named()
+def engine_search(spark, sf_dir):
+    return SearchEngine.build(docs_of(spark, sf_dir)).search(WORKLOAD)
+
+
+# --- encoding
+
+
+@named(f"WITH {T}, g AS (SELECT doc_id, term, pos, pos - coalesce(lag(pos) OVER (PARTITION BY doc_id, term ORDER BY pos), 0) AS gap FROM t) SELECT doc_id, term, string_agg(CAST(gap AS VARCHAR), ',' ORDER BY pos) AS gaps FROM g GROUP BY ALL")
+def gap_encode(spark, sf_dir):
+    posted = ix.postings(docs_of(spark, sf_dir))
+    return posted.select("doc_id", "term", F.array_join(encoding.gap_encode(F.col("positions")).cast("array<string>"), ",").alias("gaps"))
+
+
+@named(f"WITH {T} SELECT doc_id, term, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM t GROUP BY ALL")
+def gap_decode(spark, sf_dir):
+    posted = ix.postings(docs_of(spark, sf_dir))
+    back = encoding.gap_decode(encoding.gap_encode(F.col("positions")))
+    return posted.select("doc_id", "term", F.array_join(back.cast("array<string>"), ",").alias("positions"))
+
+
+@named(f"""WITH {T}, g AS (SELECT doc_id, term, pos - coalesce(lag(pos) OVER (PARTITION BY doc_id, term ORDER BY pos), 0) AS gap FROM t)
+SELECT term, CAST(sum(CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097152 THEN 3 ELSE 4 END) AS BIGINT) AS bytes FROM g GROUP BY term""")
+def vbyte_sizes(spark, sf_dir):
+    posted = ix.postings(docs_of(spark, sf_dir))
+    return posted.groupBy("term").agg(F.sum(encoding.vbyte_size(encoding.gap_encode(F.col("positions")))).alias("bytes"))
+
+
+@named(f"WITH {T} SELECT doc_id, term, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM t GROUP BY ALL")
+def vbyte_round_trip(spark, sf_dir):
+    posted = ix.postings(docs_of(spark, sf_dir))
+    back = encoding.vbyte_decode(encoding.vbyte_encode(F.col("positions")))
+    return posted.select("doc_id", "term", F.array_join(back.cast("array<string>"), ",").alias("positions"))
+
+
+@named(f"""WITH {T}, g AS (SELECT doc_id, term, pos, pos - coalesce(lag(pos) OVER (PARTITION BY doc_id, term ORDER BY pos), 0) AS gap FROM t),
+b AS (SELECT sum(length(CAST(pos AS VARCHAR)) + 1) AS raw, sum(CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097152 THEN 3 ELSE 4 END) AS coded FROM g)
+SELECT CAST(raw AS BIGINT) AS raw, CAST(coded AS BIGINT) AS coded, round(raw / coded, 6) AS ratio, round(100.0 * (raw - coded) / raw, 6) AS savings FROM b""")
+def compression_ratio(spark, sf_dir):
+    posted = ix.postings(docs_of(spark, sf_dir))
+    sizes = posted.agg(F.sum(F.length(F.array_join(F.col("positions").cast("array<string>"), ",")) + 1).alias("raw"), F.sum(encoding.vbyte_size(encoding.gap_encode(F.col("positions")))).alias("coded"))
+    return sizes.select("raw", "coded", F.round(F.col("raw") / F.col("coded"), 6).alias("ratio"), F.round(100.0 * (F.col("raw") - F.col("coded")) / F.col("raw"), 6).alias("savings"))
+
+
+# --- reports and evaluation
+
+
+@named("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 15")
+def site_top15(spark, sf_dir):
+    return rp.top_counts(docs_of(spark, sf_dir), "source", 15)
+
+
+@named("WITH l AS (SELECT length(text) AS len FROM documents WHERE text IS NOT NULL) SELECT avg(len) AS avg_len, CAST((SELECT list_sort(list(len))[count(*) // 2 + 1] FROM l) AS INT) AS median_len, CAST(min(len) AS INT) AS min_len, CAST(max(len) AS INT) AS max_len FROM l")
+def text_length_stats(spark, sf_dir):
+    return rp.length_stats(docs_of(spark, sf_dir))
+
+
+@named("WITH e AS (SELECT unnest(string_split(p_type, ' ')) AS value FROM part) SELECT value, count(*) AS n, count(*) / (SELECT count(*) FROM part) AS share FROM e GROUP BY value")
+def category_explode(spark, sf_dir):
+    return rp.exploded_counts(table(spark, sf_dir, "part").select(F.split("p_type", " ").alias("categories")), "categories")
+
+
+@named("WITH k AS (SELECT unnest(json_keys(props)) AS field FROM events) SELECT field, count(*) AS n FROM k GROUP BY field")
+def json_field_inventory(spark, sf_dir):
+    return rp.json_fields(table(spark, sf_dir, "events"), "props")
+
+
+@named("""SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max,
+round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n, round(count(*) / sum(value) * 1000, 6) AS throughput FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+def latency_stats(spark, sf_dir):
+    rows = ev.latency_stats(table(spark, sf_dir, "events"), "value", "event_type")
+    return rows.select(*[F.round(c, 6).alias(c) if c in ("mean", "median", "std", "p95", "p99", "throughput") else c for c in rows.columns])
+
+
+POOLS = {"one": ["that", "with", "this", "from"], "two": ["tion", "ther", "thor", "anea"]}
+
+
+def workload_stats_sql() -> str:
+    rows = ", ".join("('" + q.replace("'", "''") + "')" for q in wl.generate(POOLS, 100))
+    plain = "replace(replace(replace(regexp_replace(q, '[()\"]', '', 'g'), ' AND ', ' '), ' OR ', ' '), ' NOT ', ' ')"
+    return f"""WITH w(q) AS (VALUES {rows}), l AS (SELECT q, list_filter(string_split_regex({plain}, '\\s+'), lambda x: x <> '') AS terms FROM w)
+SELECT count(*) AS total_queries, count(*) FILTER (NOT contains(trim(q, '"'), ' ')) AS single_term, count(*) FILTER (contains(q, ' AND ')) AS with_and, count(*) FILTER (contains(q, ' OR ')) AS with_or,
+count(*) FILTER (contains(q, ' NOT ')) AS with_not, count(*) FILTER (contains(q, '"')) AS phrase_queries, count(*) FILTER (contains(q, '(')) AS complex_queries, avg(len(terms)) AS avg_terms_per_query,
+CAST(len(list_distinct(flatten(list(terms)))) AS BIGINT) AS unique_terms FROM l"""
+
+
+@named(workload_stats_sql())
+def workload_stats(spark, sf_dir):
+    return ev.workload_stats(spark.createDataFrame([(q,) for q in wl.generate(POOLS, 100)], "query_text string"))
+
+
+TWO = (
+    f"WITH {PARTS}, a AS (" + top("SELECT query_id, doc_id, round(sum(weight * part), 6) AS score FROM r GROUP BY ALL") + "), b AS (" + top("SELECT query_id, doc_id, CAST(sum(weight * tf) AS DOUBLE) AS score FROM r GROUP BY ALL") + """),
+j AS (SELECT query_id, count(a.doc_id) AS n_got, count(b.doc_id) AS n_want, CAST(count(CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 1 END) AS BIGINT) AS tp FROM a FULL JOIN b USING (query_id, doc_id) GROUP BY query_id),
+v AS (SELECT query_id, n_got, n_want, tp, tp / 10 AS precision, CASE WHEN n_want > 0 THEN tp / n_want ELSE 0.0 END AS recall FROM j),
+w AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM v) """
+)
+
+
+def both_rankings(spark, sf_dir):
+    posted = tf_of(spark, sf_dir)
+    return rk.ranked(posted, batch_of(spark), 10, "bm25", 6), rk.ranked(posted, batch_of(spark), 10, "tf")
+
+
+@named(TWO + "SELECT * FROM w")
+def precision_recall_f1(spark, sf_dir):
+    return ev.precision_recall(*both_rankings(spark, sf_dir), 10)
+
+
+@named(TWO + "SELECT round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(f1), 4) AS f1, count(*) FILTER (n_got > 0 AND n_want > 0) AS successful, count(*) FILTER (NOT (n_got > 0 AND n_want > 0)) AS failed FROM w")
+def macro_avg(spark, sf_dir):
+    return ev.macro_average(ev.precision_recall(*both_rankings(spark, sf_dir), 10))
+
+
+@named(TWO + ", c AS (SELECT query_id, list_sort(list(doc_id)) AS x FROM a WHERE rank <= 3 GROUP BY query_id), e AS (SELECT query_id, list_sort(list(doc_id)) AS y FROM b WHERE rank <= 3 GROUP BY query_id) SELECT query_id, coalesce(x = y, false) AS same FROM c FULL JOIN e USING (query_id)")
+def top3_consistency(spark, sf_dir):
+    return ev.top_sets_agree(*both_rankings(spark, sf_dir), 3)
+
+
+@named("""WITH o AS (SELECT o_custkey, min((o_orderkey, o_totalprice)) AS r FROM (SELECT o_custkey, o_orderkey, o_totalprice FROM orders) GROUP BY o_custkey)
+SELECT c_custkey, c_name, r[1] AS o_orderkey, r[2] AS o_totalprice FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
+def report_left_join(spark, sf_dir):
+    left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    right = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice")
+    return rp.first_match_join(left, right, ["k"]).withColumnRenamed("k", "c_custkey")
+
+
+@named("SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY n_name")
+def report_filter_in(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    return rows.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("customers"))
+
+
+@named("SELECT o_orderpriority, coalesce(min(o_totalprice) FILTER (o_orderstatus = 'F'), 0) AS \"F\", coalesce(min(o_totalprice) FILTER (o_orderstatus = 'O'), 0) AS \"O\", coalesce(min(o_totalprice) FILTER (o_orderstatus = 'P'), 0) AS \"P\" FROM orders GROUP BY o_orderpriority")
+def report_pivot(spark, sf_dir):
+    return rp.pivoted(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"], "o_totalprice")
+
+
+@named("SELECT l_returnflag AS variant, l_linestatus AS dataset, round(avg(l_quantity), 2) AS mean_quantity FROM lineitem GROUP BY ALL")
+def report_avg(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("variant"), F.col("l_linestatus").alias("dataset"))
+    return rows.agg(F.round(F.avg("l_quantity"), 2).alias("mean_quantity"))
+
+
+@named("SELECT CAST(doc_id AS VARCHAR) AS id, text, 'documents' AS source, NULL::VARCHAR AS url FROM documents UNION ALL SELECT CAST(page_id AS VARCHAR), html, 'pages', url FROM pages")
+def combined_corpus(spark, sf_dir):
+    from lodetext.sources.corpus import combined
+
+    docs = docs_of(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "text")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("text"), "url")
+    return combined(documents=docs, pages=pages)
