@@ -164,19 +164,20 @@ def leading_words(text: str, n: int) -> str:
 
 def materialised(docs: DataFrame, **options) -> DataFrame:
     """docs (doc_id, text, source, ...) as mixed: each row as often as it is taken whole, then once more cut to the words that are left. n_chars, if there, follows a cut."""
-    sized = docs.withColumn("mix_in", F.array("source")).withColumn("mix_n", n_words("text"))
-    mixed = mix(sized, "mix_in", "mix_n", **options).withColumn("mix_n", F.greatest("mix_n", F.lit(1).cast("long")))
-    whole = mixed.where("mix_taken >= mix_n").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("mix_taken div mix_n")))).select(*docs.columns)
-    rest = mixed.where("mix_taken % mix_n > 0").withColumn("mix_rest", F.expr("CAST(mix_taken % mix_n AS INT)"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # whole, so that no name can clash
+    sized = docs.select(row, F.col("doc_id").alias("key"), F.array("source").alias("sources"), n_words("text").alias("size"))
+    mixed = mix(sized, key="key", **options).withColumn("size", F.greatest("size", F.lit(1).cast("long")))
+    whole = mixed.where("mix_taken >= size").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("mix_taken div size")))).select("row.*")
+    rest = mixed.where("mix_taken % size > 0").withColumn("rest", F.expr("CAST(mix_taken % size AS INT)"))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([leading_words(t or "", k) for t, k in zip(text, n, strict=True)], dtype=object)
 
-    rest = rest.withColumn("text", cut("text", "mix_rest"))
+    rest = rest.withColumn("cut", cut("row.text", "rest")).withColumn("row", F.col("row").withField("text", F.col("cut")))
     if "n_chars" in docs.columns:
-        rest = rest.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(rest.select(*docs.columns))
+        rest = rest.withColumn("row", F.col("row").withField("n_chars", F.char_length("cut").cast(docs.schema["n_chars"].dataType)))
+    return whole.unionByName(rest.select("row.*"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
