@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodetext.operators.index import stats as collection_stats
+
 
 def idf(n_docs: Column, df: Column) -> Column:
     """ln(N / df), 0 where either is 0."""
@@ -37,19 +39,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
 
 
-def term_parts(posted: DataFrame, wanted: DataFrame, scorer: str = "bm25") -> DataFrame:
+def term_parts(posted: DataFrame, wanted: DataFrame, scorer: str = "bm25", stats: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, term, weight, part, bound): the part of each query term in each document that has it. Terms unknown to the index give no rows.
 
-    The workload restricts the postings before anything is counted; df comes from what is left, n_docs and avgdl from one aggregation over documents.
+    The workload restricts the postings before anything is counted; df comes from what is left. stats is the collection's one row of n_docs and
+    avgdl; without it, one aggregation over documents gives it, and posted must hold the whole collection.
     """
     part, bound = SCORERS[scorer]
     needed = posted.join(wanted.select("term").distinct(), "term", "left_semi")
     of_terms = needed.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"))
     rows = needed.join(of_terms, "term")
     if scorer == "bm25":
-        from lodetext.operators.index import stats
-
-        rows = rows.crossJoin(F.broadcast(stats(posted)))  # one row
+        rows = rows.crossJoin(F.broadcast(collection_stats(posted) if stats is None else stats))  # one row
     return rows.join(wanted, "term").select("query_id", "doc_id", "term", "weight", part().alias("part"), bound().alias("bound"))
 
 
@@ -65,9 +66,9 @@ def top_k(scored: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(C("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def ranked(posted: DataFrame, queries: DataFrame, k: int = 10, scorer: str = "bm25", digits: int | None = None) -> DataFrame:
+def ranked(posted: DataFrame, queries: DataFrame, k: int = 10, scorer: str = "bm25", digits: int | None = None, stats: DataFrame | None = None) -> DataFrame:
     """The whole workload in one plan."""
-    return top_k(scores(term_parts(posted, query_terms(queries), scorer)), k, digits)
+    return top_k(scores(term_parts(posted, query_terms(queries), scorer, stats)), k, digits)
 
 
 def bounds(parts: DataFrame) -> DataFrame:
@@ -76,9 +77,9 @@ def bounds(parts: DataFrame) -> DataFrame:
     return each.groupBy("query_id").agg(F.sum("bound").alias("bound_sum"), F.sum("weight").alias("n_terms"))
 
 
-def ranked_term_threshold(posted: DataFrame, queries: DataFrame, threshold: float, k: int = 10, scorer: str = "bm25", digits: int | None = None) -> DataFrame:
+def ranked_term_threshold(posted: DataFrame, queries: DataFrame, threshold: float, k: int = 10, scorer: str = "bm25", digits: int | None = None, stats: DataFrame | None = None) -> DataFrame:
     """A term's part counts only where above threshold * bound_sum / n_terms."""
-    parts = term_parts(posted, query_terms(queries), scorer)
+    parts = term_parts(posted, query_terms(queries), scorer, stats)
     parts = parts.join(bounds(parts), "query_id").where(C("part") > threshold * C("bound_sum") / C("n_terms"))
     return top_k(scores(parts), k, digits)
 
@@ -116,14 +117,12 @@ def total_hits(scored: DataFrame) -> DataFrame:
 
 def best_fields(fields: dict[str, tuple[DataFrame, float]], queries: DataFrame, k: int = 10, digits: int | None = None) -> DataFrame:
     """Multi-field search: per document the largest of its fields' boosted scores. fields: name to (postings, boost)."""
-    from lodetext.operators.index import stats
-
     wanted = query_terms(queries)
     every = None
     for posted, boost in fields.values():
         needed = posted.join(wanted.select("term").distinct(), "term", "left_semi")
         df = needed.groupBy("term").agg(F.count("*").alias("df"))
-        rows = needed.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(stats(posted)))  # one row
+        rows = needed.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(collection_stats(posted)))  # one row
         part = server_bm25(C("tf"), C("df"), C("dl"), C("n_docs"), C("avgdl"))
         one = rows.groupBy("query_id", "doc_id").agg((boost * F.sum(part * C("weight"))).alias("score"))
         every = one if every is None else every.unionByName(one)

@@ -43,7 +43,7 @@ class Catalog:
 
     def delete(self, name: str) -> bool:
         found = False
-        for p in (self.path(name), f"{self.path(name)}_config", f"{self.path(name)}_meta"):
+        for p in (self.path(name), f"{self.path(name)}_docs", f"{self.path(name)}_config", f"{self.path(name)}_meta"):
             fs, path = self.fs(p)
             found |= fs.delete(path, True)
         return found

@@ -28,10 +28,11 @@ class EngineConfig:
 
 
 class SearchEngine:
-    """Postings with positions and a configuration."""
+    """Postings with positions, the documents' lengths and a configuration."""
 
-    def __init__(self, posted: DataFrame, config: EngineConfig = EngineConfig()):
+    def __init__(self, posted: DataFrame, config: EngineConfig = EngineConfig(), docs: DataFrame | None = None):
         self.posted, self.config, self.spark = posted, config, posted.sparkSession
+        self.docs = ix.doc_table(posted) if docs is None else docs
 
     @classmethod
     def build(cls, docs: DataFrame, config: EngineConfig = EngineConfig(), text: str = "text", doc_id: str = "doc_id") -> SearchEngine:
@@ -39,21 +40,23 @@ class SearchEngine:
         return cls(ix.postings(docs, config.analyzer, text, doc_id), config)
 
     def save(self, path: str) -> None:
-        ix.save(self.posted, path)
+        """Postings by term bucket, documents and configuration, each beside the other."""
+        ix.save(self.posted.drop("tb"), path)
+        ix.doc_table(ix.load(self.spark, path)).write.mode("overwrite").parquet(f"{path}_docs")
         self.spark.createDataFrame([(json.dumps(asdict(self.config)),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}_config")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SearchEngine:
         told = json.loads(spark.read.text(f"{path}_config").first()[0])
-        analyzer = AnalyzerConfig(**told.pop("analyzer") | {})
-        analyzer = AnalyzerConfig(**{**asdict(analyzer), "stop_words": tuple(analyzer.stop_words)})
-        return cls(ix.load(spark, path).drop("tb"), EngineConfig(analyzer=analyzer, **told))
+        analyzer = told.pop("analyzer")
+        analyzer["stop_words"] = tuple(analyzer["stop_words"])
+        return cls(ix.load(spark, path), EngineConfig(analyzer=AnalyzerConfig(**analyzer), **told), spark.read.parquet(f"{path}_docs"))
 
     def update(self, add: DataFrame | None = None, remove: DataFrame | None = None) -> SearchEngine:
-        return SearchEngine(ix.updated(self.posted, add, remove, self.config.analyzer), self.config)
+        return SearchEngine(ix.updated(self.posted.drop("tb"), add, remove, self.config.analyzer), self.config)
 
     def files(self) -> DataFrame:
-        return ix.doc_table(self.posted)
+        return self.docs
 
     def stats(self) -> DataFrame:
         return ix.index_stats(self.posted)
@@ -69,7 +72,7 @@ class SearchEngine:
         """(leaf, doc_id) of leaves given as their terms: one term, or a phrase of several. Each term of the workload is read once."""
         rows = [(i, k, t, len(ts)) for i, ts in enumerate(named) for k, t in enumerate(ts)]
         wanted = self.spark.createDataFrame(rows, "leaf int, idx int, term string, n int")
-        met = self.posted.join(F.broadcast(wanted), "term")  # the workload's terms
+        met = ix.lookup(self.posted, sorted({r[2] for r in rows})).join(F.broadcast(wanted), "term")  # the workload's terms
         single = met.where("n = 1").select("leaf", "doc_id")
         starts = met.where("n > 1").select("leaf", "doc_id", "idx", "n", F.explode("positions").alias("pos")).groupBy("leaf", "doc_id", "n", (F.col("pos") - F.col("idx")).alias("start"))
         phrases = starts.agg(F.count_distinct("idx").alias("found")).where("found = n").select("leaf", "doc_id").distinct()
@@ -101,7 +104,7 @@ class SearchEngine:
         held = hits.join(F.broadcast(uses), "leaf").groupBy("query_id", "doc_id").agg(F.collect_set("leaf").alias("h"))
         empty = [i for i, t in pairs if ast.holds(t, set())]
         if empty:
-            all_docs = ix.doc_table(self.posted).select("doc_id", F.explode(F.array(*[F.lit(i) for i in empty])).alias("query_id"))
+            all_docs = self.docs.select("doc_id", F.explode(F.array(*[F.lit(i) for i in empty])).alias("query_id"))
             none = F.array().cast("array<int>")
             held = held.join(all_docs, ["query_id", "doc_id"], "full").select("query_id", "doc_id", F.coalesce("h", none).alias("h"))
         tests = " ".join(f"WHEN {i} THEN {ast.condition(t, lambda x: f'array_contains(h, {number[x]})')}" for i, t in pairs)
@@ -120,10 +123,12 @@ class SearchEngine:
         if bags:
             words = self.analyzed([" ".join(x.value for x in ast.leaves(t)) if t.kind == "BAG" else t.value for _, t in bags])
             rows = self.spark.createDataFrame([(i, w) for (i, _), w in zip(bags, words, strict=True)], "query_id int, terms array<string>")
+            needed = ix.lookup(self.posted, sorted({x for w in words for x in w}))
+            whole = self.docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
             if threshold:
-                scored = ranking.ranked_term_threshold(self.posted, rows, threshold, k, self.config.scorer)
+                scored = ranking.ranked_term_threshold(needed, rows, threshold, k, self.config.scorer, stats=whole)
             else:
-                scored = ranking.ranked(self.posted, rows, k, self.config.scorer)
+                scored = ranking.ranked(needed, rows, k, self.config.scorer, stats=whole)
             found = scored if found is None else found.unionByName(scored)
         return found
 
