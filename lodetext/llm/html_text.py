@@ -37,13 +37,26 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 LISTS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
-def marked(attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether attributes say that an element isn't part of the article."""
+NEGATED = frozenset("no not non has have with without hide hidden is show enable enabled disable disabled".split())
+
+
+def marks(token: str, whole: bool) -> bool:
+    """Whether a class, id or role names what isn't the article; whole: only if it is nothing but that word. `no-sidebar` says something of another element."""
+    words = [x.lower() for x in NAMES.findall(token)]
+    if whole:
+        return len(words) == 1 and words[0] in MARKS
+    return not MARKS.isdisjoint(words) and words[0] not in NEGATED
+
+
+def marked(attrs: list[tuple[str, str | None]], tag: str = "div", within: bool = False) -> bool:
+    """Whether attributes say that an element isn't part of the article. article and main only by a word of its own; a header within them may hold the title."""
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value or ""):
             return True
-        if name in ("class", "id", "role") and value and not MARKS.isdisjoint(x.lower() for x in NAMES.findall(value)):
-            return True
+        if name in ("class", "id", "role") and value:
+            for token in value.split():
+                if marks(token, tag in ("article", "main")) and not (within and "header" in token.lower()):
+                    return True
     return False
 
 
@@ -106,7 +119,7 @@ class Lines(HTMLParser):
         if tag in ("article", "main") and silent and all(t in ("form", tag) or not s for t, s, _ in self.open):
             silent = False  # a form around the whole page
         role = dict(attrs).get("role") or ""
-        silent = silent and not (within and tag in HEADINGS and self.open[-1][0] == "header") or tag in SILENT or tag == "header" or (tag not in ("html", "body") and marked(attrs))
+        silent = silent and not (within and tag in HEADINGS and self.open[-1][0] == "header") or tag in SILENT or tag == "header" or (tag not in ("html", "body") and marked(attrs, tag, within))
         if tag in BLOCK:
             self.kind.append("main" if role == "main" else tag)
             inside = (*inside, len(self.kind) - 1)

@@ -327,6 +327,11 @@ def test_pages_without_article():
     assert html_text.main_text(page).split("\n")[0] == "Head" and "Short." in html_text.main_text(page) and "f" not in html_text.main_text(page).split("\n")
 
 
+def test_marks_of_other_elements():
+    page = '<body class="has-sidebar"><div class="no-sidebar"><article class="post has-comments"><div class="entry-header"><h1>Name</h1></div><p>Some long text of the article that runs on.</p></article></div><aside>s</aside><div class="siteNav"><p>x</p></div></body>'
+    assert html_text.main_text(page) == "Name\nSome long text of the article that runs on."
+
+
 # --- classifiers
 
 
