@@ -161,26 +161,30 @@ def block_max_wand(terms: list[tuple[float, Postings]], sizes: list[int], ids: l
     return sorted(((s, -d) for s, d in heap), key=lambda x: (-x[0], x[1]))
 
 
-def query_terms(queries: DataFrame, index: DataFrame, n_docs: int, n_terms: int | None) -> DataFrame:
-    """(query, term, idf) of queries (query, text): the n_terms terms of highest tf * idf in the whole text, all for None; those in no document go."""
+def query_terms(queries: DataFrame, index: DataFrame, n_docs: int, mean: float, n_terms: int | None, least_df: int = 1) -> DataFrame:
+    """(query, term, idf) of queries (query, text): the n_terms terms that weigh most under BM25 in the whole text itself, all for None.
+
+    Terms in fewer than least_df documents are left out: 2 leaves out what finds nothing but the document it was taken from.
+    """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for a in range(0, len(rows), 256):
                 some = rows.iloc[a : a + 256]
-                yield pd.DataFrame([(q, t, n) for q, x in zip(some["query"], some["text"], strict=True) for t, n in Counter(words(x)).items()], columns=["query", "term", "tf"])
+                yield pd.DataFrame([(q, t, n, sum(c.values())) for q, x in zip(some["query"], some["text"], strict=True) for c in [Counter(words(x))] for t, n in c.items()], columns=["query", "term", "tf", "size"])
 
-    found = queries.select("query", "text").mapInPandas(split, "query string, term string, tf long")
-    df = index.where("term <> ''").groupBy("term").agg(F.sum("n").alias("df"))
+    found = queries.select("query", "text").mapInPandas(split, "query string, term string, tf long, size long")
+    df = index.where("term <> ''").groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") >= least_df)
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     ranked = found.join(df, "term").withColumn("idf", idf)
     if n_terms is not None:
-        best = Window.partitionBy("query").orderBy(F.desc(F.col("tf") * F.col("idf")), "term")
+        weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0)))
+        best = Window.partitionBy("query").orderBy(F.desc(weight), "term")
         ranked = ranked.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n_terms)
     return ranked.select("query", "term", "idf")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | None = None, queries_at_once: int = 4096) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | None = None, least_df: int = 1, queries_at_once: int = 4096) -> DataFrame:
     """(query, rank, doc_id, score): the k best documents of each of queries (query string, text), by BM25 and then the smaller doc_id.
 
     Scores use the document frequencies, number and average length of all documents, so a shard's k best are final and merging them is
@@ -190,7 +194,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | Non
     spark = index.sparkSession
     whole = index.where("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("most"), F.lit(0)).alias("total")).first()
     n_docs, mean = whole["n"], (whole["total"] / whole["n"] if whole["n"] else 0.0)
-    terms = stored(query_terms(queries, index, n_docs, n_terms), "terms")
+    terms = stored(query_terms(queries, index, n_docs, mean, n_terms, least_df), "terms")
     blocks = max(1, math.ceil(terms.select("query").distinct().count() / queries_at_once))
     terms = terms.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(blocks)))
     lists = terms.groupBy("part", "query").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms"))
@@ -226,12 +230,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | Non
     return of_shards.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "doc_id", "score")
 
 
-def op4_topk(spark: SparkSession, sf_dir: str, k: int = 10, n_terms: int = 8) -> DataFrame:
-    """The k best of all documents for each document whose doc_id is divisible by 50, asked by the n_terms terms of highest tf * idf in its whole text. Equal texts are one query."""
+def op4_topk(spark: SparkSession, sf_dir: str, k: int = 10, n_terms: int = 8, least_df: int = 2) -> DataFrame:
+    """The k best of all documents for each document whose doc_id is divisible by 50, asked by the n_terms terms that weigh most in its whole text, of those in least_df documents or more. Equal texts are one query."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     index = build_index(docs)
     rows = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("query", F.md5("text"))
     rows = stored(rows, "queries")
     queries = rows.groupBy("query").agg(F.first("text").alias("text"))
-    found = search(index, queries, k, n_terms)
+    found = search(index, queries, k, n_terms, least_df)
     return rows.select("query_id", "query").distinct().join(found, "query").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
