@@ -80,11 +80,19 @@ t AS (SELECT doc_id, term, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY
 T = TOKENS.format(text="text", source="documents")
 P = T + ", p AS (SELECT doc_id, dl, term, count(*) AS tf FROM t GROUP BY ALL)"
 S = P + ", d AS (SELECT DISTINCT doc_id, dl FROM t), s AS (SELECT count(*) AS n, avg(dl) AS a FROM d)"
-Q = "q(query_id, term, weight) AS (VALUES " + ", ".join(f"({i}, '{t}', {ts.count(t)})" for i, ts in BATCH for t in dict.fromkeys(ts)) + ")"
-PARTS = S + ", " + Q + """,
+STOP_TERMS = ["that", "with", "this", "from", "tion", "ther", "thor"]
+
+
+def asked(batch) -> str:
+    return "q(query_id, term, weight) AS (VALUES " + ", ".join(f"({i}, '{t}', {ts.count(t)})" for i, ts in batch for t in dict.fromkeys(ts)) + ")"
+
+
+Q = asked(BATCH)
+SCORED = """,
 m AS (SELECT term, count(*) AS df, max(tf) AS max_tf FROM p GROUP BY term),
 r AS (SELECT query_id, doc_id, term, weight, ln(n / df) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a)) AS part, ln(n / df) * max_tf * 2.5 / (max_tf + 1.5 * (0.25 + 0.75 / a)) AS bound, tf
       FROM p JOIN q USING (term) JOIN m USING (term), s)"""
+PARTS = S + ", " + Q + SCORED
 
 
 def top(scored: str, k: int = 10) -> str:
@@ -326,9 +334,13 @@ def rank_threshold_doc(spark, sf_dir):
     return rk.ranked_doc_threshold(tf_of(spark, sf_dir), batch_of(spark), 0.3, 10, "bm25", 6)
 
 
-@named()
+@named("WITH " + S + ", " + asked((p, STOP_TERMS[:p]) for p in range(1, len(STOP_TERMS) + 1)) + SCORED
+       + ", best AS (" + top("SELECT query_id, doc_id, round(sum(weight * part), 6) AS score FROM r GROUP BY ALL") + """),
+sets AS (SELECT query_id AS i, list_sort(list(doc_id)) AS docs FROM best GROUP BY query_id),
+stop AS (SELECT coalesce((SELECT min(a.i) FROM sets a JOIN sets b ON b.i = a.i - 1 AND b.docs = a.docs JOIN sets c ON c.i = a.i - 2 AND c.docs = a.docs), (SELECT max(i) FROM sets)) AS i)
+SELECT 0 AS query_id, rank, doc_id, score FROM best, stop WHERE query_id = i""")
 def rank_early_stop(spark, sf_dir):
-    return rk.ranked_early_stop(tf_of(spark, sf_dir), ["that", "with", "this", "from", "tion", "ther", "thor"], 10, 3)
+    return rk.ranked_early_stop(tf_of(spark, sf_dir), STOP_TERMS, 10, 3)
 
 
 @named(f"WITH {PARTS}, f AS (SELECT query_id, doc_id, CAST(sum(weight * tf) AS DOUBLE) AS score FROM r GROUP BY ALL) SELECT query_id, count(*) AS total_hits, max(score) AS max_score FROM f GROUP BY query_id")
