@@ -19,6 +19,8 @@ from lodetext.llm.shared import stored
 
 K1, B = 1.2, 0.75
 BLOCK = 128
+#: Terms of a workload up to which they are broadcast to the index: some tens of MB.
+BROADCAST_TERMS = 500_000
 PUNCTUATION = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"})
 
 
@@ -184,7 +186,7 @@ def query_terms(queries: DataFrame, index: DataFrame, n_docs: int, mean: float,
     return ranked.select("query", "term", "idf")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | None = None, least_df: int = 1, queries_at_once: int = 4096) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | None = None, least_df: int = 1, queries_at_once: int = 65_536) -> DataFrame:
     """(query, rank, doc_id, score): the k best documents of each of queries (query string, text), by BM25 and then the smaller doc_id.
 
     Scores use the document frequencies, number and average length of all documents, so a shard's k best are final and merging them is
@@ -197,11 +199,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | Non
     terms = stored(query_terms(queries, index, n_docs, mean, n_terms, least_df), "terms")
     blocks = max(1, math.ceil(terms.select("query").distinct().count() / queries_at_once))
     terms = terms.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    lists = terms.groupBy("part", "query").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms"))
-    needed = terms.select("term", "part").distinct()
+    needed = stored(terms.select("term", "part").distinct(), "needed")
+    if needed.count() <= BROADCAST_TERMS:  # else both sides are shuffled by term
+        needed = F.broadcast(needed)
     met = stored(index.join(needed, "term"), "met")
-    asked = met.select("shard", "part", "term").distinct().join(terms.select("part", "term", "query"), ["part", "term"]).select("shard", "part", "query").distinct()
-    asked = stored(asked.join(lists, ["part", "query"]), "asked")
+    asked = met.select("shard", "part", "term").distinct().join(terms, ["part", "term"]).select("shard", "part", "query", "term", "idf")
+    asked = stored(asked, "asked")  # a row for each term of a query that a shard holds
     places = met.select("shard", "part").distinct()
     sides = index.where("term = ''").join(places, "shard").unionByName(met)
 
@@ -215,13 +218,15 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | Non
                 known.setdefault(term, []).append((block, numbers, tfs, most, least))
         ready: dict[str, Postings] = {}
         out = []
-        for query, listed in zip(wanted["query"], wanted["terms"], strict=True):
+        lists: dict[str, list[tuple[str, float]]] = {}
+        for query, term, weight in zip(wanted["query"], wanted["term"], wanted["idf"], strict=True):
+            lists.setdefault(query, []).append((term, weight))
+        for query, listed in lists.items():
             mine = []
-            for x in listed:
-                if x["term"] in known:
-                    if x["term"] not in ready:
-                        ready[x["term"]] = Postings(known[x["term"]], mean)
-                    mine.append((x["idf"], ready[x["term"]]))
+            for term, weight in sorted(listed):
+                if term not in ready:
+                    ready[term] = Postings(known[term], mean)
+                mine.append((weight, ready[term]))
             out += [(query, d, s) for s, d in block_max_wand(mine, sizes, ids, mean, k)]
         return pd.DataFrame(out, columns=["query", "doc_id", "score"])
 
