@@ -16,6 +16,8 @@ from lodetext.llm.shared import components, stored
 
 #: A segment's table entries beyond this take the midpoint route, which is as exact; it is no cap.
 BUCKET = 256
+#: Longs of the bitmap of a text's shingles, by which pairs are ruled out before they are compared.
+MARKS = 16
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -116,11 +118,11 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def sketched(text: str | None, words: int, sketches: int, sample: int) -> dict:
-    """key (of the normalised words), fp (SimHash of the distinct shingles) and the SimHashes of `sketches` min-wise samples of them."""
+    """key (of the normalised words), size (number of distinct shingles), fp (their SimHash) the SimHashes of `sketches` min-wise samples of them, and marks, the bitmap of all."""
     plain, hashes = hashed(text, words)
     key = hashlib.md5(plain).hexdigest()
     if not len(hashes):
-        return {"key": key, "fp": 0, "samples": [0] * sketches}
+        return {"key": key, "size": 0, "fp": 0, "samples": [0] * sketches, "marks": [0] * MARKS}
     found = []
     for j in range(sketches):
         mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
@@ -128,23 +130,46 @@ def sketched(text: str | None, words: int, sketches: int, sample: int) -> dict:
         mixed *= np.uint64(0xD6E8FEB86659FD93)
         least = np.argpartition(mixed, sample - 1)[:sample] if len(mixed) > sample else np.arange(len(mixed))
         found.append(majority(hashes[least]))
-    return {"key": key, "fp": majority(hashes), "samples": found}
+    marked = np.zeros(64 * MARKS, np.uint8)
+    marked[hashes % np.uint64(64 * MARKS)] = 1
+    return {"key": key, "size": len(hashes), "fp": majority(hashes), "samples": found, "marks": np.packbits(marked, bitorder="little").view(np.int64).tolist()}
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2, sketches: int = 10, sample: int = 3) -> DataFrame:
+def block_pairs(members: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(u, v), u > v, of all keys that share a bucket (k, value), differ in root and may have the similarity: members has k, value, key, root, and size and marks of the text.
+
+    A bucket is divided by a hash of the key into blocks of about `block` members, and each pair of blocks is a join key of its own: no task
+    has to take a large bucket whole. Every bit set in one bitmap only is a shingle of one text only, which bounds what both share from above.
+    """
+    blocks = members.groupBy("k", "value").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high"))
+    blocks = blocks.where("low <> high").drop("low", "high")
+    rest = members.join(blocks, ["k", "value"]).withColumn("b", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    unmarked = F.expr("size - " + " - ".join(f"bit_count(marks[{i}])" for i in range(MARKS))).alias("spare")
+    fields = F.struct("key", "root", "size", unmarked, *[F.col("marks")[i].alias(f"m{i}") for i in range(MARKS)])
+    one = rest.select("k", "value", F.col("b").alias("i"), F.explode(F.expr("sequence(b, blocks - 1)")).alias("j"), fields.alias("x"))
+    two = rest.select("k", "value", F.explode(F.expr("sequence(0, b)")).alias("i"), F.col("b").alias("j"), fields.alias("y"))
+    at_most = "least(x.spare, y.spare) + " + " + ".join(f"bit_count(x.m{i} & y.m{i})" for i in range(MARKS))
+    both = one.join(two, ["k", "value", "i", "j"]).where("x.root <> y.root AND (i < j OR x.key > y.key)")
+    both = both.where(f"{1 + similarity}D * ({at_most}) >= {similarity}D * (x.size + y.size) - 1e-9D")
+    return both.select(F.greatest("x.key", "y.key").alias("u"), F.least("x.key", "y.key").alias("v"))
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2, sketches: int = 10, sample: int = 3, block: int = 256) -> DataFrame:
     """(doc_id, exact, key, root) per row of docs (doc_id, text): root is equal for rows joined by links of Jaccard similarity `similarity`.
 
     The similarity is of sets of `words`-word shingles (fewer words: the whole; none: equal to each other only). A 64-bit SimHash alone
     parts texts at 0.8 by about ten bits, out of reach of any small ball, so a document has, besides the fingerprint of all its shingles (multi-index
     hashing within `bits`), fingerprints of `sketches` min-wise samples of `sample` shingles: texts of similarity s agree in one with chance
-    s^sample, in any of ten at 0.8 with 0.999. Texts that agree are candidates with the smallest and the most copied among them, and every
-    candidate is verified in full. Equal texts are one class before all this. exact is the md5 of the text.
+    s^sample, in any of ten at 0.8 with 0.999. Texts that agree in one of these eleven are a bucket, and every pair of a bucket is either compared in
+    full or joined already by other links: first all are compared with three heads (the smallest key, the most copied, and the one of most
+    company in all its buckets, as the origin of many separate edits has), which joins most; then all pairs that are still apart, in blocks.
+    Pairs whose sizes or bitmaps rule the similarity out are not compared. Equal texts are one class before all this. exact is the md5 of the text.
     """
 
-    @F.pandas_udf("struct<key: string, fp: long, samples: array<long>>")
+    @F.pandas_udf("struct<key: string, size: long, fp: long, samples: array<long>, marks: array<long>>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([sketched(t, words, sketches, sample) for t in texts], columns=["key", "fp", "samples"])
+            yield pd.DataFrame([sketched(t, words, sketches, sample) for t in texts], columns=["key", "size", "fp", "samples", "marks"])
 
     @F.pandas_udf("array<long>")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -153,25 +178,40 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
 
     text = F.coalesce("text", F.lit(""))
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("exact"), sketch("text").alias("s")).select("doc_id", "exact", "s.*"), "sketches")
-    classes = stored(rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "exact")).alias("at"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("samples").alias("samples")), "classes")
-    of_print = classes.groupBy("fp").agg(F.min("key").alias("v"), F.count("*").alias("n"))
-    same = classes.join(of_print.where("n > 1"), "fp").select(F.col("key").alias("u"), "v")
+    classes = stored(rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "exact")).alias("at"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.first("marks").alias("marks")), "classes")
+    of_print = classes.groupBy("fp").agg(F.min("key").alias("v"))
     near = near_links(of_print.select("fp"), bits)
     near = near.join(of_print.select(F.col("fp").alias("u"), F.col("v").alias("a")), "u").join(of_print.select(F.col("fp").alias("v"), F.col("v").alias("b")), "v")
-    spread = classes.select("key", "n", F.posexplode("samples").alias("k", "value"))
-    heads = spread.groupBy("k", "value").agg(F.min("key").alias("least"), F.max_by("key", F.struct("n", "key")).alias("most"), F.count("*").alias("size")).where("size > 1")
-    met = spread.join(heads, ["k", "value"]).select("key", F.explode(F.array("least", "most")).alias("v"))
-    pairs = same.union(near.select("a", "b")).union(met)
-    pairs = stored(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
+    spread = classes.select("key", "n", F.posexplode(F.concat(F.array("fp"), "samples")).alias("k", "value"))
+    several = spread.groupBy("k", "value").agg(F.count("*").alias("company")).where("company > 1")
+    shared = stored(spread.join(several, ["k", "value"]), "buckets")
+    company = shared.groupBy("key").agg(F.sum("company").alias("all_company"))
+    ranked = shared.join(company, "key")
+    heads = ranked.groupBy("k", "value").agg(F.min("key").alias("least"), F.max_by("key", F.struct("n", "key")).alias("most"), F.max_by("key", F.struct("all_company", "key")).alias("amid"))
+    met = shared.join(heads, ["k", "value"]).select("key", F.explode(F.array_distinct(F.array("least", "most", "amid"))).alias("v"))
+    pairs = near.select("a", "b").union(met)
+    pairs = stored(pairs.toDF("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
 
     needed = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(classes, "key").select("key", F.col("at.doc_id").alias("id"), F.col("at.exact").alias("is"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("exact"), "text")
     texts = texts.join(needed, texts["doc_id"].eqNullSafe(needed["id"]) & (texts["exact"] == needed["is"])).select("key", shingles("text").alias("set"))
     sets = stored(texts.groupBy("key").agg(F.min("set").alias("set")), "shingles")
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("set").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    links = both.withColumn("c", common).where((F.col("c") > 0) & (F.col("c") >= similarity * (F.size("a") + F.size("b") - F.col("c")) - 1e-9)).select("u", "v")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("key").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("set").alias("b")), "v")
+        both = both.where(F.least(F.size("a"), F.size("b")) >= similarity * F.greatest(F.size("a"), F.size("b")) - 1e-9).withColumn("c", F.size(F.array_intersect("a", "b")))
+        return both.where((F.col("c") > 0) & (F.col("c") >= similarity * (F.size("a") + F.size("b") - F.col("c")) - 1e-9)).select("u", "v")
+
+    links = stored(verified(pairs), "links")
     roots = stored(components(links), "roots")
+    members = stored(shared.join(roots, shared["key"] == roots["node"], "left").select("k", "value", "key", F.coalesce("root", "key").alias("root")), "members")
+    mixed = members.groupBy("k", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k", "value")
+    members = members.join(mixed, ["k", "value"], "left_semi").join(classes.select("key", "size", "marks"), "key")
+    rest = block_pairs(stored(members, "apart"), similarity, block)
+    rest = stored(rest.distinct().join(pairs, ["u", "v"], "left_anti"), "rest")
+    more = stored(verified(rest), "links")
+    if not more.isEmpty():
+        roots = stored(components(links.union(more)), "roots")
     return rows.join(roots, rows["key"] == roots["node"], "left").select("doc_id", "exact", "key", F.coalesce("root", "key").alias("root"))
 
 

@@ -155,6 +155,60 @@ def test_near_copies_go(spark):
     assert simhash.deduplicated(frame(spark, [])).count() == 0
 
 
+def test_separate_edits_of_one_text(spark):
+    rng = np.random.default_rng(3)
+
+    def edited(words, n):
+        copy = list(words)
+        for i in rng.choice(len(copy), n, replace=False):
+            copy[i] = f"u{rng.integers(0, 10**9)}"
+        return copy
+
+    texts = []
+    for size, copies in ((400, 250), (200, 60)):  # far apart from each other, all near to the first
+        base = [f"t{x}" for x in rng.integers(0, 10**6, size)]
+        texts += [base] + [edited(base, rng.integers(6, 9) * size // 400) for _ in range(copies)]
+    walk = [[f"t{x}" for x in rng.integers(0, 10**6, 300)]]
+    for _ in range(40):  # each near to its neighbours only
+        walk.append(edited(walk[-1], 4))
+    texts += walk
+    sets = [frozenset(zip(*(t[i:] for i in range(5)), strict=False)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            c = len(a & sets[j])
+            if c >= 0.8 * (len(a) + len(sets[j]) - c) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    order = rng.permutation(len(texts))  # the first of a group isn't the one that all are near to
+    least = defaultdict(lambda: 10**9)
+    for i in range(len(texts)):
+        least[find(i)] = min(least[find(i)], int(order[i]))
+    docs = frame(spark, [(int(order[i]), " ".join(t), "en", "a", 1) for i, t in enumerate(texts)])
+    assert len(least) < 10
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == sorted(least.values())
+
+
+def test_block_pairs(spark):
+    rng = np.random.default_rng(4)
+    sets = [set(rng.choice(200, rng.integers(20, 41), replace=False).tolist()) for _ in range(40)]
+    sets += [set(x) ^ {1000 + i, min(x)} for i, x in enumerate(sets)]
+    marks = [[sum(1 << b for b in range(64) if 64 * w + b in x) - (1 << 64) * (64 * w + 63 in x) for w in range(simhash.MARKS)] for x in sets]
+    rows = [(int(k), int(v), f"x{i}", f"r{i % 30}", len(x), marks[i]) for i, x in enumerate(sets) for k, v in ((0, i % 2), (1, 7))]
+    members = spark.createDataFrame(rows, "k int, value long, key string, root string, size long, marks array<long>")
+    want = {(max(a[2], b[2]), min(a[2], b[2])) for a in rows for b in rows if a[:2] == b[:2] and a[3] != b[3] and a[2] != b[2]}
+    near = {(u, v) for u, v in want for a, b in [(sets[int(u[1:])], sets[int(v[1:])])] if len(a & b) >= 0.8 * len(a | b)}
+    assert len(near) > 20
+    for block in (1, 8, 1000):
+        assert {(r["u"], r["v"]) for r in simhash.block_pairs(members, 0.0, block).collect()} == want
+        assert near <= {(r["u"], r["v"]) for r in simhash.block_pairs(members, 0.8, block).collect()} < want
+
+
 # --- licenses
 
 
