@@ -23,7 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chroma": audio.op1_chroma,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_mixing": mixing.op3_mixing,
-        "op4_topk": topk.op4_topk,
+        "op4_topk": topk.op4_whole,
         "op5_warc": warc.op5_warc,
         "op6_quality": quality.op6_quality,
         "op7_html_text": html_text.op7_html_text,

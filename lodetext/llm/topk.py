@@ -7,6 +7,7 @@ import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,12 @@ K1, B = 1.2, 0.75
 BLOCK = 128
 #: Terms of a workload up to which they are broadcast to the index: some tens of MB.
 BROADCAST_TERMS = 500_000
+#: Terms of a query up to which block-max WAND walks its lists; a longer one is scored for the whole shard, which is as exact.
+WALKED_TERMS = 16
+#: Terms in more than 1 / COMMON of a shard, at most DENSE of them, are rows of a matrix there; queries are multiplied by it AT_ONCE at a time.
+COMMON, DENSE, AT_ONCE = 32, 512, 256
+#: Term numbers in the lists that are sent to the executors at once: some tens of MB.
+SENT_TERMS = 8_000_000
 PUNCTUATION = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"})
 
 
@@ -163,6 +170,62 @@ def block_max_wand(terms: list[tuple[float, Postings]], sizes: list[int], ids: l
     return sorted(((s, -d) for s, d in heap), key=lambda x: (-x[0], x[1]))
 
 
+class Scored:
+    """All postings of a shard with their parts of scores, by term and by document, to score long queries in full.
+
+    A query's scores of all documents are summed fast first, the common terms by a matrix product; whoever is within rounding of the k-th best is summed
+    again in the order of the terms' numbers, so that equal documents have equal scores in whatever shard they are.
+    """
+
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, docs: np.ndarray, tfs: np.ndarray, sizes: np.ndarray, ids: np.ndarray, mean: float):
+        """terms (ascending), counts and idf of the blocks; docs and tfs of their postings."""
+        self.ids, self.n = ids, len(sizes)
+        self.terms, first = np.unique(terms, return_index=True)
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        self.starts = np.append(starts[first], starts[-1])
+        self.docs, self.values = docs, np.repeat(idf, counts) * part(tfs.astype(float), sizes[docs].astype(float), mean)
+        held = np.diff(self.starts)
+        self.dense_at = np.full(len(self.terms), -1)
+        common = np.flatnonzero(held * COMMON > self.n)
+        common = common[np.argsort(-held[common], kind="stable")[:DENSE]]
+        self.dense_at[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n))
+        for row, t in enumerate(common):
+            at = slice(self.starts[t], self.starts[t + 1])
+            self.dense[row, docs[at]] = self.values[at]
+        by_doc = np.argsort(docs, kind="stable")
+        self.doc_terms, self.doc_values = np.repeat(np.arange(len(self.terms)), held)[by_doc], self.values[by_doc]
+        self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=self.n))])
+
+    def best(self, queries: list[np.ndarray], k: int) -> Iterator[list[tuple[float, int]]]:
+        """For each query (term numbers) its k best (score, doc_id), by score and then the smaller doc_id; only documents with a term of it."""
+        asked = np.zeros(len(self.terms), bool)
+        for start in range(0, len(queries), AT_ONCE):
+            found = []
+            for q in queries[start : start + AT_ONCE]:
+                at = np.minimum(np.searchsorted(self.terms, q), len(self.terms) - 1)
+                found.append(at[self.terms[at] == q])
+            use = np.zeros((len(found), len(self.dense)))
+            for row, at in enumerate(found):
+                use[row, self.dense_at[at][self.dense_at[at] >= 0]] = 1
+            totals = use @ self.dense
+            for at, total in zip(found, totals, strict=True):
+                if not k or not len(at):
+                    yield []
+                    continue
+                for t in at[self.dense_at[at] < 0]:
+                    here = slice(self.starts[t], self.starts[t + 1])
+                    total[self.docs[here]] += self.values[here]
+                floor = np.partition(total, self.n - k)[self.n - k] if self.n > k else 0.0
+                asked[at] = True
+                scored = []
+                for d in np.flatnonzero((total > 0) & (total >= floor * (1 - 1e-9))):
+                    here = slice(self.doc_starts[d], self.doc_starts[d + 1])
+                    scored.append((float(np.cumsum(self.doc_values[here][asked[self.doc_terms[here]]])[-1]), int(self.ids[d])))
+                asked[at] = False
+                yield sorted(scored, key=lambda x: (-x[0], x[1]))[:k]
+
+
 def query_terms(queries: DataFrame, index: DataFrame, n_docs: int, mean: float, n_terms: int | None, least_df: int = 1) -> DataFrame:
     """(query, term, idf) of queries (query, text): the n_terms terms that weigh most under BM25 in the whole text itself, all for None.
 
@@ -186,51 +249,80 @@ def query_terms(queries: DataFrame, index: DataFrame, n_docs: int, mean: float,
     return ranked.select("query", "term", "idf")
 
 
+def searched(sent, mean: float, k: int):
+    """The function that searches a shard, given its postings, for the broadcast queries."""
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        queries, offsets, numbers = sent.value
+        head = rows["number"].to_numpy() < 0
+        if head.all():
+            return pd.DataFrame([], columns=["query", "doc_id", "score"])
+        top = rows[head].iloc[0]
+        ids, sizes = np.frombuffer(top["numbers"], np.int64), np.frombuffer(top["tfs"], np.int32)
+        rows = rows[~head].sort_values(["number", "block"])
+        terms = rows["number"].to_numpy()
+        docs, tfs = (np.frombuffer(b"".join(rows[c]), np.int32) for c in ("numbers", "tfs"))
+        lists = [numbers[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        out = []
+        long = [i for i, x in enumerate(lists) if len(x) > WALKED_TERMS]
+        if long:
+            scored = Scored(terms, rows["n"].to_numpy(), rows["idf"].to_numpy(), docs, tfs, sizes, ids, mean)
+            for i, found in zip(long, scored.best([lists[i] for i in long], k), strict=True):
+                out += [(queries[i], d, s) for s, d in found]
+        short = [i for i, x in enumerate(lists) if len(x) <= WALKED_TERMS]
+        if short:
+            blocks = {c: rows[c].to_numpy() for c in ("block", "numbers", "tfs", "most", "least", "idf")}
+            size_list, id_list = sizes.tolist(), ids.tolist()
+            ready: dict[int, tuple[float, Postings] | None] = {}
+            for i in short:
+                mine = []
+                for t in lists[i].tolist():
+                    if t not in ready:
+                        a, b = np.searchsorted(terms, t), np.searchsorted(terms, t, "right")
+                        held = list(zip(*(blocks[c][a:b] for c in ("block", "numbers", "tfs", "most", "least")), strict=True))
+                        ready[t] = (float(blocks["idf"][a]), Postings(held, mean)) if held else None
+                    if ready[t]:
+                        mine.append(ready[t])
+                if mine:
+                    out += [(queries[i], d, s) for s, d in block_max_wand(mine, size_list, id_list, mean, k)]
+        return pd.DataFrame(out, columns=["query", "doc_id", "score"])
+
+    return best
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | None = None, least_df: int = 1, queries_at_once: int = 65_536) -> DataFrame:
     """(query, rank, doc_id, score): the k best documents of each of queries (query string, text), by BM25 and then the smaller doc_id.
 
     Scores use the document frequencies, number and average length of all documents, so a shard's k best are final and merging them is
-    exact. A task searches one shard for one block of about `queries_at_once` queries: it gets the postings of their terms and the queries that
-    have one there. Block-max WAND skips documents that can't reach the shard's k-th score so far. A query without known terms gives no rows.
+    exact. A task searches one shard for one block of at most about `queries_at_once` queries and SENT_TERMS terms: it gets the postings of their
+    terms by shuffle and the numbers of the terms of each query by broadcast. Queries of up to WALKED_TERMS terms go by block-max WAND, which skips
+    documents that can't reach the shard's k-th score so far; longer ones score the whole shard. A query without known terms gives no rows.
     """
     spark = index.sparkSession
     whole = index.where("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("most"), F.lit(0)).alias("total")).first()
     n_docs, mean = whole["n"], (whole["total"] / whole["n"] if whole["n"] else 0.0)
     terms = stored(query_terms(queries, index, n_docs, mean, n_terms, least_df), "terms")
-    blocks = max(1, math.ceil(terms.select("query").distinct().count() / queries_at_once))
-    terms = terms.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    needed = stored(terms.select("term", "part").distinct(), "needed")
-    if needed.count() <= BROADCAST_TERMS:  # else both sides are shuffled by term
-        needed = F.broadcast(needed)
-    met = stored(index.join(needed, "term"), "met")
-    asked = met.select("shard", "part", "term").distinct().join(terms, ["part", "term"]).select("shard", "part", "query", "term", "idf")
-    asked = stored(asked, "asked")  # a row for each term of a query that a shard holds
-    places = met.select("shard", "part").distinct()
-    sides = index.where("term = ''").join(places, "shard").unionByName(met)
-
-    def best(key, postings: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        known: dict[str, list] = {}
-        ids, sizes = [], []
-        for term, block, numbers, tfs, most, least in zip(*(postings[c] for c in ("term", "block", "numbers", "tfs", "most", "least")), strict=True):
-            if term == "":
-                ids, sizes = np.frombuffer(numbers, np.int64).tolist(), np.frombuffer(tfs, np.int32).tolist()
-            else:
-                known.setdefault(term, []).append((block, numbers, tfs, most, least))
-        ready: dict[str, Postings] = {}
-        out = []
-        lists: dict[str, list[tuple[str, float]]] = {}
-        for query, term, weight in zip(wanted["query"], wanted["term"], wanted["idf"], strict=True):
-            lists.setdefault(query, []).append((term, weight))
-        for query, listed in lists.items():
-            mine = []
-            for term, weight in sorted(listed):
-                if term not in ready:
-                    ready[term] = Postings(known[term], mean)
-                mine.append((weight, ready[term]))
-            out += [(query, d, s) for s, d in block_max_wand(mine, sizes, ids, mean, k)]
-        return pd.DataFrame(out, columns=["query", "doc_id", "score"])
-
-    of_shards = sides.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(best, "query string, doc_id long, score double")
+    asked = terms.agg(F.count_distinct("query").alias("queries"), F.count("*").alias("terms")).first()
+    blocks = max(1, math.ceil(asked["queries"] / queries_at_once), math.ceil(asked["terms"] / SENT_TERMS))
+    numbered = stored(terms.groupBy("term").agg(F.first("idf").alias("idf")).withColumn("number", F.monotonically_increasing_id()), "needed")
+    broadcast = F.broadcast if numbered.count() <= BROADCAST_TERMS else (lambda df: df)  # else both sides are shuffled by term
+    terms = terms.select("query", "term").join(broadcast(numbered.select("term", "number")), "term").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    lists = stored(terms.groupBy("part", "query").agg(F.sort_array(F.collect_list("number")).alias("numbers")), "lists")
+    found = []
+    for block in range(blocks):
+        mine = lists.where(F.col("part") == block).select("query", "numbers").toArrow().combine_chunks()  # at most SENT_TERMS, or one query
+        if not mine.num_rows:
+            continue
+        column = mine.column("numbers").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        sent = spark.sparkContext.broadcast((mine.column("query").to_pylist(), column.offsets.to_numpy(), column.values.to_numpy()))
+        needed = numbered if blocks == 1 else numbered.join(lists.where(F.col("part") == block).select(F.explode("numbers").alias("number")).distinct(), "number", "left_semi")
+        postings = index.join(broadcast(needed), "term").drop("term")
+        sides = index.where("term = ''").drop("term").withColumns({"idf": F.lit(0.0), "number": F.lit(-1).cast("long")}).unionByName(postings)
+        found.append(sides.groupBy("shard").applyInPandas(searched(sent, mean, k), "query string, doc_id long, score double"))
+    if not found:
+        return spark.createDataFrame([], "query string, rank int, doc_id long, score double")
+    of_shards = reduce(DataFrame.unionAll, found)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     return of_shards.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "doc_id", "score")
 
@@ -244,3 +336,8 @@ def op4_topk(spark: SparkSession, sf_dir: str, k: int = 10, n_terms: int = 8, le
     queries = rows.groupBy("query").agg(F.first("text").alias("text"))
     found = search(index, queries, k, n_terms, least_df)
     return rows.select("query_id", "query").distinct().join(found, "query").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def op4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered query: op4_topk by all words of the whole text."""
+    return op4_topk(spark, sf_dir, n_terms=None, least_df=1)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodetext.llm import audio, html_text, licenses, mixing, packing, quality, simhash, topk, toxicity, warc
+from lodetext.llm import audio, html_text, licenses, mixing, packing, quality, queries, simhash, topk, toxicity, warc
 from lodetext.llm.shared import components, new_path
 
 LONG = " ".join(f"w{i % 997}" for i in range(60_000))
@@ -511,6 +511,29 @@ def test_op4_against_exhaustive_search(spark, tmp_path):
     assert topk.search(topk.build_index(frame(spark, [])), asks, 5).count() == 0
 
 
+def test_registered_op4_asks_by_the_whole_text(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    vocabulary = [f"v{i}" for i in range(400)]
+    weights = 1 / np.arange(1, 401)
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(1, 90), p=weights / weights.sum())), "en", "a", 1) for i in range(500)]
+    rows += [(1000 + i, rows[50][1], "en", "a", 1) for i in range(20)] + [(2000, " ".join(f"alone{i}" for i in range(30)), "en", "a", 1), (2050, "once twice", "en", "a", 1)]
+    rows += [(r[0] + 3000 if r[0] is not None else None, *r[1:]) for r in DOCS]
+    got = defaultdict(list)
+    for r in queries.queries()["op4_topk"](spark, save(spark, tmp_path, documents=frame(spark, rows).repartition(3))).collect():
+        got[r["query_id"]].append((r["rank"], r["doc_id"], r["score"]))
+    named = [(d, topk.words(t)) for d, t, *_ in rows if d is not None]
+    tf, n = [(d, Counter(w), len(w)) for d, w in named], len(named)
+    mean, df = sum(len(w) for _, w in named) / n, Counter(x for _, w in named for x in set(w))
+    idf = {w: np.log(1 + (n - k + 0.5) / (k + 0.5)) for w, k in df.items()}
+    asked = {d: set(w) for d, w in named if d % 50 == 0 and w}
+    assert set(got) == set(asked) and [x[:2] for x in got[2000]] == [(1, 2000)] and [x[:2] for x in got[2050]] == [(1, 2050)]
+    for d, w in asked.items():
+        want = sorted((-sum(idf[t] * topk.part(c[t], size, mean) for t in w if t in c), e) for e, c, size in tf if w & set(c))[:10]
+        assert [x[2] for x in sorted(got[d])] == pytest.approx([-s for s, _ in want], abs=2e-6), d
+        assert {x[1] for x in got[d] if x[2] > -want[-1][0] + 1e-5} == {e for s, e in want if -s > -want[-1][0] + 1e-5}
+    assert [x[1] for x in sorted(got[50])] == [50, *range(1000, 1009)]  # equal scores: the smaller doc_id
+
+
 # --- audio
 
 
