@@ -105,13 +105,13 @@ def rendered(vectors: DataFrame, rate: int = 4000, note: float = 0.1) -> DataFra
     return vectors.select(F.col("vec_id").cast("long").alias("id"), play("embedding").alias("pcm"))
 
 
-def align(prints: DataFrame, asks: str = "id % 50 = 0", least_votes: int = 3, max_error: float = 0.3, least_overlap: int = 8, common: int = 1000, runs: int = 4) -> tuple[DataFrame, DataFrame]:
+def align(prints: DataFrame, asks: str = "id % 50 = 0", least_votes: int = 3, max_error: float = 0.3, least_overlap: int = 8, common: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Matches of the recordings with condition `asks` among all prints (id, items): (query, found, offset, overlap, votes, bit_error) and membership.
 
     Equal fingerprints are one class, named by its smallest id; returned are (classes: id, class_id, n_items), (matches between classes, a class
-    with itself left out). Seeds are the integers where a run of equal ones begins. An integer in over `common` classes (silence, a held
-    note) is a seed only along with the next runs - 1 run starts: what shares no rarer integer still meets on a stretch, and no seed
-    brings all classes together by one sound. Seeds vote for offsets; for each pair the offset of most votes, then the smallest, is kept if
+    with itself left out). Seeds are the integers where a run of equal ones begins. The places of an integer in over `common` classes (silence, a held
+    note) are dealt into blocks of about `common` by a hash of their class, and a query's place meets each block in a join key of its own: every
+    shared integer votes, whatever its frequency, and no task has to take one sound whole. Seeds vote for offsets; for each pair the offset of most votes, then the smallest, is kept if
     it has least_votes, its overlap is at least least_overlap and the share of differing bits in it is at most max_error.
     """
     rows = prints.where("items IS NOT NULL").withColumn("class", F.md5(F.col("items").cast("string")))
@@ -119,13 +119,11 @@ def align(prints: DataFrame, asks: str = "id % 50 = 0", least_votes: int = 3, ma
     members = rows.select("id", "class", F.size("items").alias("n_items")).join(classes.select("class", "class_id"), "class").select("id", "class_id", "n_items")
 
     starts = "filter(sequence(0, size(items) - 1), i -> i = 0 OR items[i] <> get(items, i - 1))"
-    seen = classes.select("class_id", "asks", "items", F.expr(starts).alias("s"))
-    seen = seen.select("class_id", "asks", "items", "s", F.posexplode("s").alias("k", "at"))
-    seen = seen.select("class_id", "asks", "at", F.expr("items[at]").alias("item"), F.expr(f"transform(sequence(0, {runs - 1}), j -> get(items, get(s, k + j)))").alias("stretch"))
-    frequent = seen.groupBy("item").agg(F.count_distinct("class_id").alias("n")).where(F.col("n") > common).select("item", F.lit(True).alias("hot"))
-    seen = stored(seen.join(frequent, "item", "left").select("class_id", "asks", "at", F.when(F.col("hot"), F.xxhash64("stretch")).otherwise(F.col("item").cast("long")).alias("seed")), "seeds")
-    left = seen.where("asks").select(F.col("class_id").alias("query"), "seed", F.col("at").alias("q"))
-    votes = left.join(seen.select(F.col("class_id").alias("found"), "seed", F.col("at").alias("d")), "seed").where("query <> found")
+    seen = stored(classes.select("class_id", "asks", "items", F.explode(F.expr(starts)).alias("at")).select("class_id", "asks", "at", F.expr("items[at]").alias("seed")), "seeds")
+    frequent = seen.groupBy("seed").agg(F.count_distinct("class_id").alias("n")).where(F.col("n") > common).select("seed", F.ceil(F.col("n") / max(1, common)).cast("int").alias("blocks"))
+    left = seen.where("asks").join(frequent, "seed", "left").select(F.col("class_id").alias("query"), "seed", F.col("at").alias("q"), F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)")).alias("block"))
+    right = seen.join(frequent, "seed", "left").select(F.col("class_id").alias("found"), "seed", F.col("at").alias("d"), F.pmod(F.xxhash64("class_id"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+    votes = left.join(right, ["seed", "block"]).where("query <> found")
     votes = votes.groupBy("query", "found", F.expr("d - q").alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= least_votes)
     best = votes.groupBy("query", "found").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), -F.col("offset"))).alias("best"))
     one = classes.select(F.col("class_id").alias("query"), F.col("items").alias("a"))

@@ -553,6 +553,29 @@ def test_op1(spark, tmp_path):
     assert audio.align(audio.fingerprints(audio.rendered(vectors.limit(0))))[0].count() == 0
 
 
+def test_frequent_integers_vote(spark):
+    rng = np.random.default_rng(8)
+    shared = rng.integers(0, 2**31, 4).tolist()  # met by all classes, and all that 0 and 1 share
+    items = {i: rng.integers(0, 2**31, 12).tolist() for i in range(40)}
+    for i in range(40):
+        for j in range(4):  # in the same places of 0 and 1, elsewhere in the others
+            items[i][3 * j if i < 2 else (3 * j + i * (j + 1)) % 12] = shared[j]
+    prints = spark.createDataFrame([(i, [x - 2**31 if x % 2 else x for x in v]) for i, v in items.items()], "id long, items array<int>")
+
+    def votes(common):
+        pairs = audio.align(prints, "id = 0", max_error=1.0, common=common)[1].collect()
+        return sorted((r["found"], r["offset"], r["votes"]) for r in pairs)
+
+    want = []
+    for f in range(1, 40):
+        count = Counter(d - q for q, a in enumerate(items[0]) for d, b in enumerate(items[f]) if a == b)
+        votes_of, offset = max((n, -abs(o), -o) for o, n in count.items())[0], -max((n, -abs(o), -o) for o, n in count.items())[2]
+        if votes_of >= 3 and min(12, 12 - offset) - max(0, -offset) >= 8:
+            want.append((f, offset, votes_of))
+    assert (1, 0, 4) in want
+    assert votes(1000) == votes(3) == votes(0) == want
+
+
 def test_fingerprint_bits_agree_under_noise():
     rng = np.random.default_rng(2)
     t = np.arange(24_000) / 4000
