@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,9 @@ STANDS_FOR = {
 #: Characters the language model tells apart; the others share one symbol.
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ")
 EDGE, OTHER = "\x02", "\x03"
-TRIPLE = re.compile(r"(.)\1\1")
+#: Stands for what lies between two pieces of a token; white space lies between neighbouring tokens of up to SHORT characters.
+GAP, SHORT = "\x01", 2
+TWICE = re.compile(r"(.)\1")
 SPACED = re.compile(r"(?<![^\s])[^\W_](?:[ ._*~-]{1,2}[^\W_]){2,}(?![^\s.,;:!?])")
 TAIL = re.compile(r"[\W_]+$")
 HEAD = re.compile(r"^[\W_]*?(?=[@$€£¡!|+]?[^\W_]|$)")
@@ -64,11 +67,13 @@ class CharModel:
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Per run of one character the strings it may stand for, with log channel weights."""
+    """Per run of one character the strings it may stand for, with log channel weights; a gap is dropped or ends the word."""
     steps = []
     for m in re.finditer(r"(.)\1*", token, re.DOTALL):
         c, n = m[1], len(m[0])
-        if c in LETTERS or c.isalpha() and c not in STANDS_FOR:
+        if c == GAP:
+            steps.append([("", -1.0), (EDGE, 0.0)])
+        elif c in LETTERS or c.isalpha() and c not in STANDS_FOR:
             steps.append([(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, -1.5)] if n == 2 else [(c, -0.5), (c * 2, -1.0)])
         elif c in STANDS_FOR:
             one = [(x, -0.7) for x in STANDS_FOR[c]]
@@ -79,7 +84,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model: CharModel) -> str:
-    """The likeliest reading of a token: Viterbi over its lattice, with the last two characters as state."""
+    """The likeliest reading of a token: Viterbi over its lattice, with the last two characters as state; EDGE between words where gaps end one."""
     states = {(EDGE, EDGE): (0.0, None)}  # value: log probability, (string so far) as linked pairs
     for choices in lattice(token):
         then: dict = {}
@@ -87,9 +92,9 @@ def decode(token: str, model: CharModel) -> str:
             for text, weight in choices:
                 x, y, s = a, b, score + weight
                 for c in text:
-                    z = symbol(c)
+                    z = EDGE if c == EDGE else symbol(c)
                     s += model(x, y, z)
-                    x, y = y, z
+                    x, y = (EDGE, EDGE) if c == EDGE else (y, z)
                 if (x, y) not in then or s > then[x, y][0]:
                     then[x, y] = (s, (path, text) if text else path)
         states = then
@@ -101,27 +106,49 @@ def decode(token: str, model: CharModel) -> str:
     return "".join(reversed(out))
 
 
+def plain(word: str) -> bool:
+    """Whether all characters stand for themselves."""
+    return word.isalpha() and (word.isascii() or not any(c in STANDS_FOR for c in word))
+
+
+def single(word: str) -> bool:
+    """Whether the lattice of a word has one path."""
+    return plain(word) and not TWICE.search(word)
+
+
 def readings(token: str, model: CharModel) -> list[str]:
-    """Restored words of a lower-case token without white space. One whose lattice has a single path is its own reading."""
+    """Restored words of a lower-case token. One whose lattice has a single path is its own reading; of a plain word with a doubled letter both spellings count.
+
+    Pieces between separators are read one by one and, with the gaps in the lattice, as what they may be parts of. Of a run of short tokens
+    only what spans a gap is new; the tokens have their own readings.
+    """
+    run = " " in token
     token = TAIL.sub("", HEAD.sub("", token, count=1), count=1)
-    if token.isalpha() and not TRIPLE.search(token):
-        return [token] if token.isascii() or not any(c in STANDS_FOR for c in token) else [decode(token, model)]
+    if token.isalpha():
+        own = [token] if plain(token) else []
+        return own if single(token) else list(dict.fromkeys([*own, decode(token, model)]))
     parts = [x for x in PARTS.split(token) if x]
-    if len(parts) > 1 and max(map(len, parts)) <= 2:
-        parts.append("".join(parts))
-    found = []
+    found, whole = [], []
+    if len(parts) > 1 and any(c.isalpha() for c in token):
+        whole = [w for w in decode(GAP.join(parts), model).split(EDGE) if w]
+        if max(map(len, parts)) <= SHORT and not run:
+            parts.append("".join(parts))
     for x in parts:
-        if x.isalpha() and not TRIPLE.search(x):
+        if plain(x):
             found.append(x)
-        elif any(c.isalpha() for c in x):
+        if any(c.isalpha() for c in x) and not single(x):
             found.append(decode(x, model))
-    return found
+    return [w for w in whole if w not in found] if run else list(dict.fromkeys(found + whole))
 
 
 def tokens(text: str | None) -> set[str]:
-    """Distinct lower-case tokens of a whole text, and joined the letters it spaces out."""
+    """Distinct lower-case tokens of a whole text, the runs of neighbouring short ones, and joined the letters it spaces out."""
     low = (text or "").lower()
-    found = set(low.split())
+    listed = low.split()
+    found = set(listed)
+    for short, run in groupby(listed, lambda x: len(x) <= SHORT):
+        if short and len(run := list(run)) > 1:
+            found.add(" ".join(run))
     for m in SPACED.finditer(low):
         found.add(re.sub(r"[ ._*~-]", "", m[0]))
     return found

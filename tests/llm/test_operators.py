@@ -425,6 +425,19 @@ def test_viterbi_restores_disguised_words():
         assert any(abs(best(token) - (w + sum(model(*g) for g in toxicity.grams(read)))) < 1e-9 for w in {round(v, 9) for v in _weights(token, read)})
 
 
+def test_doubled_and_split_words_are_decoded():
+    counts = Counter()
+    for word in ["idiot", "loser", "clown", "scum", "stupid", "well", "known", "is", "it", "hello", "the"] * 20:
+        counts.update(toxicity.grams(word))
+    model = toxicity.CharModel(dict(counts))
+    for token, word in {"iddiot": "idiot", "lloser": "loser", "cclown": "clown", "scuum": "scum", "stu-pid": "stupid", "id.iot": "idiot", "the/stu-pid": "stupid"}.items():
+        assert word in toxicity.readings(token, model), token
+    for text, word in {"you sc um there": "scum", "one i d ! o t here": "idiot", "one i d i o t here": "idiot"}.items():
+        assert word in {w for t in toxicity.tokens(text) for w in toxicity.readings(t, model)}, text
+    assert toxicity.readings("hello", model) == ["hello"] and set(toxicity.readings("well-known", model)) == {"well", "known"}
+    assert toxicity.readings("is it", model) == []
+
+
 def _weights(token, read):
     paths = [("", 0.0)]
     for step in toxicity.lattice(token):
