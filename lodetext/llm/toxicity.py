@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-from itertools import groupby
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodetext.llm.shared import drop_stored, stored
+
 #: What a character may stand for in disguised words.
 STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -24,10 +25,12 @@ LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíî
 EDGE, OTHER = "\x02", "\x03"
 #: Stands for what lies between two pieces of a token; white space lies between neighbouring tokens of up to SHORT characters.
 GAP, SHORT = "\x01", 2
-TWICE = re.compile(r"(.)\1")
+TWICE = re.compile(r"(.)\1+")
 SPACED = re.compile(r"(?<![^\s])[^\W_](?:[ ._*~-]{1,2}[^\W_]){2,}(?![^\s.,;:!?])")
 TAIL = re.compile(r"[\W_]+$")
 HEAD = re.compile(r"^[\W_]*?(?=[@$€£¡!|+]?[^\W_]|$)")
+#: Punctuation that only ends a token, and that only begins one.
+AFTER, BEFORE = ".,;:!?\"')", ".,;:?\"'("
 PARTS = re.compile(r"[^\w@$!|+(<¡£€¢§]+|_+")
 
 
@@ -111,32 +114,38 @@ def plain(word: str) -> bool:
     return word.isalpha() and (word.isascii() or not any(c in STANDS_FOR for c in word))
 
 
+def squeezed(word: str) -> str:
+    """A word without its doubled letters."""
+    return TWICE.sub(r"\1", word)
+
+
 def single(word: str) -> bool:
     """Whether the lattice of a word has one path."""
     return plain(word) and not TWICE.search(word)
 
 
-def readings(token: str, model: CharModel) -> list[str]:
+def readings(token: str, model: CharModel, worth: Callable[[str], bool] = lambda token: True) -> list[str]:
     """Restored words of a lower-case token. One whose lattice has a single path is its own reading; of a plain word with a doubled letter both spellings count.
 
     Pieces between separators are read one by one and, with the gaps in the lattice, as what they may be parts of. Of a run of short tokens
-    only what spans a gap is new; the tokens have their own readings.
+    only what spans a gap is new; the tokens have their own readings. Lattices for which `worth` is false aren't decoded.
     """
     run = " " in token
     token = TAIL.sub("", HEAD.sub("", token, count=1), count=1)
     if token.isalpha():
         own = [token] if plain(token) else []
-        return own if single(token) else list(dict.fromkeys([*own, decode(token, model)]))
+        return own if single(token) or not worth(token) else list(dict.fromkeys([*own, decode(token, model)]))
     parts = [x for x in PARTS.split(token) if x]
     found, whole = [], []
     if len(parts) > 1 and any(c.isalpha() for c in token):
-        whole = [w for w in decode(GAP.join(parts), model).split(EDGE) if w]
+        gapped = GAP.join(parts)
+        whole = [w for w in decode(gapped, model).split(EDGE) if w] if worth(gapped) else []
         if max(map(len, parts)) <= SHORT and not run:
             parts.append("".join(parts))
     for x in parts:
         if plain(x):
             found.append(x)
-        if any(c.isalpha() for c in x) and not single(x):
+        if any(c.isalpha() for c in x) and not single(x) and worth(x):
             found.append(decode(x, model))
     return [w for w in whole if w not in found] if run else list(dict.fromkeys(found + whole))
 
@@ -146,9 +155,15 @@ def tokens(text: str | None) -> set[str]:
     low = (text or "").lower()
     listed = low.split()
     found = set(listed)
-    for short, run in groupby(listed, lambda x: len(x) <= SHORT):
-        if short and len(run := list(run)) > 1:
-            found.add(" ".join(run))
+    begun, last = -1, -2
+    for i in [i for i, n in enumerate(map(len, listed)) if n <= SHORT]:
+        if i > last + 1:
+            if last > begun:
+                found.add(" ".join(listed[begun : last + 1]))
+            begun = i
+        last = i
+    if last > begun >= 0:
+        found.add(" ".join(listed[begun : last + 1]))
     for m in SPACED.finditer(low):
         found.add(re.sub(r"[ ._*~-]", "", m[0]))
     return found
@@ -159,43 +174,132 @@ def traits(word: str) -> list[str]:
     return ["=" + word] + [f"^{word[:n]}" for n in (4, 5) if len(word) > n]
 
 
+#: Symbols of the language model by number; 0 is the edge of a word.
+SYMBOLS = [EDGE, OTHER, *sorted(LETTERS)]
+#: What may stand before or after a word; any other character beside letters and white space makes a token none.
+TRIMMED = ".,;:!?\"'()"
+#: Characters counted at once.
+STRETCH = 1 << 20
+
+
+def trigram_counts(texts: list[str], classes: np.ndarray) -> np.ndarray:
+    """Counts of the trigrams of the words in lower-case texts, by number; classes: a symbol's number for each code point, -1 white space, -2 what makes a token none."""
+    n = len(SYMBOLS)
+    code = classes[np.frombuffer(" ".join(["", "", *texts, ""]).encode("utf-32-le", "replace"), np.uint32)]
+    none = np.flatnonzero(code == -2)
+    if len(none):  # their whole tokens become white space
+        token = np.cumsum(code == -1, dtype=np.int32)
+        spoilt = np.zeros(int(token[-1]) + 1, bool)
+        spoilt[token[none]] = True
+        code = np.where(spoilt[token], 0, code)
+    code = np.maximum(code, 0).astype(np.int32)
+    a, b, c = code[:-2], code[1:-1], code[2:]
+    return np.bincount(np.where(b == 0, 0, a * n * n) + b * n + c, minlength=n**3)
+
+
+def code_classes() -> np.ndarray:
+    """For each code point the number of its symbol, 0 for what is trimmed, -1 for white space, -2 for the rest."""
+    found = np.full(0x110000, -2, np.int16)
+    for c in range(0x110000):
+        x = chr(c)
+        if x.isspace():
+            found[c] = -1
+        elif x.isalpha():
+            found[c] = 1
+    found[[ord(x) for x in TRIMMED]] = 0
+    for i, x in enumerate(SYMBOLS[2:], 2):
+        found[ord(x)] = i
+    return found
+
+
 def char_counts(docs: DataFrame) -> dict[str, int]:
     """Trigram counts of the words of all docs. A task sends a row for each trigram it has seen; symbols are few, so the sum is bounded."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        classes, n = code_classes(), len(SYMBOLS)
+        total, held, size = np.zeros(n**3, np.int64), [], 0
         for rows in batches:
-            words: Counter = Counter()
             for text in rows["text"]:
-                words.update((text or "").lower().split())
-            for w, n in words.items():
-                w = w.strip(".,;:!?\"'()")
-                if w.isalpha():
-                    for g in grams(w):
-                        total[g] += n
-        yield pd.DataFrame(list(total.items()), columns=["gram", "n"])
+                if text:
+                    held.append(text.lower())
+                    size += len(held[-1])
+                if size >= STRETCH:
+                    total += trigram_counts(held, classes)
+                    held, size = [], 0
+        total += trigram_counts(held, classes)
+        seen = np.flatnonzero(total[1:]) + 1  # 0: no word
+        yield pd.DataFrame([(SYMBOLS[i // n // n] + SYMBOLS[i // n % n] + SYMBOLS[i % n], int(total[i])) for i in seen.tolist()], columns=["gram", "n"])
 
     sums = docs.select("text").mapInPandas(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return {r["gram"]: r["n"] for r in sums.collect()}
 
 
 class Evidence:
-    """Strongest log odds of a token's readings, 0 for none; kept for the tokens met first, which changes no result."""
+    """Strongest log odds of a token's readings, 0 for none; kept for the tokens met first, which changes no result.
+
+    A token is only read where some path of its lattice begins like a trait or is one; the readings of the others have no evidence.
+    """
 
-    def __init__(self, odds: dict[str, float], model: CharModel, keep: int = 300_000):
-        self.odds, self.model, self.keep, self.known = odds, model, keep, {}
+    def __init__(self, odds: dict[str, float], model: CharModel, keep: int = 200_000):
+        self.odds, self.model, self.keep = odds, model, keep
+        self.none: set[str] = set()
+        self.some: dict[str, float] = {}
+        self.short = {t[1:] for t in odds if t[0] == "=" and len(t) <= 4}
+        self.heads = {t[1 : n + 1] for t in odds for n in range(1, 5) if len(t) > n}
+        self.alike = {squeezed(h) for h in self.heads if len(h) == 4}, {squeezed(x) for x in self.short}
+
+    def reachable(self, token: str) -> bool:
+        """Whether a word on some path of the lattice, or the token itself or a part of it, has the first four characters of a trait or is a short one."""
+        states = {""}  # beginnings of the present word that are beginnings of traits; None: it has another beginning
+        for choices in lattice(token):
+            then = set()
+            for state in states:
+                for text, _ in choices:
+                    x = state
+                    for c in text:
+                        if c == EDGE:
+                            if x in self.short:
+                                return True
+                            x = ""
+                        elif x is not None:
+                            x += c
+                            if x not in self.heads:
+                                x = None
+                            elif len(x) == 4:
+                                return True
+                    then.add(x)
+            states = then
+            if states == {None} and GAP not in token:
+                return False
+        return not self.short.isdisjoint(states)
 
     def token(self, token: str) -> float:
-        found = self.known.get(token)
-        if found is None:
-            found = max((self.odds.get(t, 0.0) for w in readings(token, self.model) for t in traits(w)), default=0.0)
-            if len(self.known) < self.keep and len(token) < 64:
-                self.known[token] = found
-        return found
+        word = token.rstrip(AFTER).lstrip(BEFORE)
+        if plain(word):  # all its readings are alike but for doubled letters
+            twice = TWICE.search(word)
+            alike = squeezed(word) if twice else word
+            if alike not in self.alike[1] and alike[:4] not in self.alike[0] and alike[:3] not in self.alike[0] and alike[:2] not in self.alike[0] and alike[:1] not in self.alike[0]:
+                return 0.0
+            words = readings(word, self.model) if twice else [word]
+        else:
+            words = readings(token, self.model, self.reachable)
+        return max((self.odds.get(t, 0.0) for w in words for t in traits(w)), default=0.0)
 
     def of(self, text: str | None) -> tuple[float, float, float]:
         """The three strongest of a text."""
-        strong = sorted(filter(None, map(self.token, tokens(text))), reverse=True)[:3]
+        strong = []
+        for token in tokens(text) - self.none:
+            found = self.some.get(token)
+            if found is None:
+                found = self.token(token)
+                if len(token) < 64:
+                    if found and len(self.some) < self.keep:
+                        self.some[token] = found
+                    elif not found and len(self.none) < self.keep:
+                        self.none.add(token)
+            if found:
+                strong.append(found)
+        strong = sorted(strong, reverse=True)[:3]
         return tuple(strong + [0.0] * (3 - len(strong)))
 
 
@@ -264,30 +368,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, least: int =
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows ids
     rows = rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"), F.xxhash64("text").alias("same"))
     rows = rows.groupBy("same").agg(F.max_by("text", "toxic").alias("text"), F.max("toxic").alias("toxic"), F.max("fold").alias("fold"))
+    rows = stored(rows.select("text", "toxic", "fold"), "labelled")  # read twice; max_rows texts
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, seen, total = CharModel(shared.value), {}, defaultdict(lambda: [0, 0, 0, 0])
+        model, seen, totals = CharModel(shared.value), {}, [Counter() for _ in range(4)]
+
+        def sums():
+            every = set().union(*totals)
+            yield pd.DataFrame([(t, *(total[t] for total in totals)) for t in every], columns=["trait", "c0", "t0", "c1", "t1"])
+            for total in totals:
+                total.clear()
+
         for part in batches:
             for text, toxic, fold in zip(part["text"], part["toxic"], part["fold"], strict=True):
-                held = set()
-                for token in tokens(text):
-                    if token not in seen:
-                        if len(seen) > 300_000:
-                            seen.clear()
-                        seen[token] = [t for w in readings(token, model) for t in traits(w)]
-                    held.update(seen[token])
+                own = tokens(text)
+                for token in own.difference(seen):
+                    seen[token] = tuple(t for w in readings(token, model) for t in traits(w))
+                held = set().union(*map(seen.get, own))
                 held.add("")  # counts texts
-                for t in held:
-                    total[t][2 * fold + toxic] += 1
-            if len(total) > 300_000:
-                yield pd.DataFrame([(t, *n) for t, n in total.items()], columns=["trait", "c0", "t0", "c1", "t1"])
-                total.clear()
-        yield pd.DataFrame([(t, *n) for t, n in total.items()], columns=["trait", "c0", "t0", "c1", "t1"])
+                totals[2 * fold + toxic].update(held)
+                if len(seen) > 200_000:
+                    seen.clear()
+                if sum(map(len, totals)) > 400_000:
+                    yield from sums()
+        yield from sums()
 
     sums = rows.select("text", "toxic", "fold").mapInPandas(count, "trait string, c0 long, t0 long, c1 long, t1 long")
-    sums = sums.groupBy("trait").agg(*[F.sum(x).alias(x) for x in ("c0", "t0", "c1", "t1")]).where(f"t0 + t1 >= {least}")
+    sums = stored(sums.groupBy("trait").agg(*[F.sum(x).alias(x) for x in ("c0", "t0", "c1", "t1")]).where(f"trait = '' OR t0 + t1 >= {least}"), "traits")
     n = sums.where("trait = ''").first()
-    if not n or not n["c0"] + n["c1"]:
+    if not n or not n["c0"] + n["c1"] or n["t0"] + n["t1"] < least:
         return Toxicity({}, counts, None)
     ratio = F.log((F.col("t0") + F.col("t1") + 0.5) / (n["t0"] + n["t1"] + 1.0)) - F.log((F.col("c0") + F.col("c1") + 0.5) / (n["c0"] + n["c1"] + 1.0))
     kept = sums.where(ratio >= floor).where("trait <> ''").orderBy(F.desc(F.col("t0") + F.col("t1")), "trait").limit(max_traits).collect()
@@ -304,6 +413,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, least: int =
             yield pd.DataFrame({"toxic": part["toxic"], **{f"e{i}": [x[i] for x in e] for i in range(3)}})
 
     x = rows.select("text", "toxic", "fold").mapInPandas(strongest, "toxic int, e0 double, e1 double, e2 double").toPandas()  # max_rows rows of four numbers
+    drop_stored(rows)
+    drop_stored(sums)
     weights = logistic(x[["e0", "e1", "e2"]].to_numpy(float), x["toxic"].to_numpy(float))
     return Toxicity(odds, counts, weights.tolist())
 

@@ -438,6 +438,31 @@ def test_doubled_and_split_words_are_decoded():
     assert toxicity.readings("is it", model) == []
 
 
+def test_gated_evidence_is_that_of_all_readings():
+    words = ["idiot", "scum", "stupid", "ass", "goodbye", "there", "hello", "loser"]
+    model = toxicity.CharModel(dict(Counter(g for w in words * 9 for g in toxicity.grams(w))))
+    odds = {"=idiot": 3.0, "^idio": 2.0, "=scum": 2.0, "^stup": 3.0, "^stupi": 3.1, "=ass": 2.0, "=as": 1.7, "^good": 1.8, "^lose": 1.6}
+    evidence = toxicity.Evidence(odds, model)
+    rng = np.random.default_rng(0)
+    for k in range(4000):
+        token = ""
+        for c in words[k % len(words)]:
+            signs = [x for x, y in toxicity.STANDS_FOR.items() if c in y]
+            ways = [c, c, c * 2, c * 3, *signs, "." + c, "-" + c, " " + c, c + "!"]
+            token += ways[rng.integers(len(ways))]
+        want = max((odds.get(t, 0.0) for w in toxicity.readings(token, model) for t in toxicity.traits(w)), default=0.0)
+        assert evidence.token(token) == want, token
+    assert evidence.of("you i d ! o t") == toxicity.Evidence(odds, model, keep=0).of("you i d ! o t") and evidence.of(None) == (0.0, 0.0, 0.0)
+
+
+def test_trigrams_are_counted():
+    texts = ["the cat, über 3rd x", "", "a b1b  naïve\n漢字 end.", "(who) is?"]
+    want = Counter(g for t in texts for x in t.split() if (w := x.strip(toxicity.TRIMMED)).isalpha() for g in toxicity.grams(w))
+    n, found = len(toxicity.SYMBOLS), toxicity.trigram_counts(texts, toxicity.code_classes())
+    name = lambda i: "".join(toxicity.SYMBOLS[x] for x in (i // n // n, i // n % n, i % n))
+    assert {name(i): int(found[i]) for i in np.flatnonzero(found[1:]) + 1} == want
+
+
 def _weights(token, read):
     paths = [("", 0.0)]
     for step in toxicity.lattice(token):
