@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import base64
+import json
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -14,23 +15,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EDGE = re.compile(r" \s|\s ")
+#: Fixed value: where byte-level BPE divides a text before it merges.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_symbols() -> dict[str, int]:
+    """The byte each character of a byte-level vocabulary stands for: printable ones for themselves, the others by number from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def ranked(path: str) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """Vocabulary by bytes and added tokens of a tokenizer file that is plain byte-level BPE with ids in the order of its merges; None for any other."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, before = told["model"], told.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    plain = plain and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not told.get("normalizer")
+    added = {t["content"]: t["id"] for t in told["added_tokens"] if not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])}
+    if not plain or len(added) < len(told["added_tokens"]):
+        return None
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    if [model["vocab"].get(m) for m in merges] != list(range(256, 256 + len(merges))):
+        return None
+    symbols = byte_symbols()
+    return {bytes(symbols[c] for c in t): i for t, i in model["vocab"].items() if t not in added}, added
 
 
 class Encoder:
-    """Byte-level BPE ids of the public 50k vocabulary as little-endian unsigned 32-bit bytes.
+    """Ids of a tokenizer file, without special tokens around a text, as little-endian unsigned 32-bit bytes: those its own library gives.
 
-    The merges run on pre-tokens, and a single space between two other characters always opens one, so a text without white
-    space beside a space is the concatenation of its space-separated pieces. Ids of pieces are kept, up to `keep` of them; others are
-    computed anew, so the bound changes no result.
+    A vocabulary of plain byte-level BPE is run by the faster of two public libraries, any other by its own. For the former, a single space between
+    two other characters always opens a new pre-token, so a text without white space beside a space is the concatenation of its
+    space-separated pieces; ids of pieces are kept, up to `keep` of them, and others are computed anew, so the bound changes no result. Where
+    `literal` is true, the strings of special tokens are ordinary text, else they have their own ids, as is the library's default.
     """
 
-    def __init__(self, path: str, pattern: str, keep: int = 400_000):
-        import tiktoken
-
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.plain = tiktoken.Encoding("public-50k", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.keep, self.known = keep, {}
+    def __init__(self, path: str, literal: bool = False, keep: int = 300_000):
+        self.keep, self.known, self.added = keep, {}, None
+        if found := ranked(path):
+            import tiktoken
+
+            run = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=found[0], special_tokens=found[1])
+            self.plain = run.encode_ordinary
+            self.special = lambda text: run.encode(text, allowed_special="all")
+            if found[1] and not literal:
+                self.added = re.compile("|".join(map(re.escape, found[1])))
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = literal
+            self.special = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+            self.added = re.compile("")  # every text
 
     def piece(self, text: str) -> bytes:
         found = self.known.get(text)
@@ -41,23 +80,25 @@ class Encoder:
         return found
 
     def ids(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return array("I", self.special(text)).tobytes()
         if not text or text[0] == " " or text[-1] == " " or EDGE.search(text):
             return array("I", self.plain(text)).tobytes()
         first, *rest = text.split(" ")
         return self.piece(first) + b"".join([self.piece(" " + x) for x in rest])
 
 
-ENCODERS: dict[tuple[str, str], Encoder] = {}
+ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str | None, pattern: str | None) -> Encoder:
-    if path is None or pattern is None:
+def encoder(path: str | None, literal: bool) -> Encoder:
+    if path is None:
         import public_tokenizers
 
-        path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    if (path, pattern) not in ENCODERS:
-        ENCODERS[path, pattern] = Encoder(path, pattern)
-    return ENCODERS[path, pattern]
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    if (path, literal) not in ENCODERS:
+        ENCODERS[path, literal] = Encoder(path, literal)
+    return ENCODERS[path, literal]
 
 
 def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -95,21 +136,22 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
     return pieces
 
 
-def pack(docs: DataFrame, capacity: int = 2048, end: int = 1, linear: float = 1.0, quadratic: float = 1 / 2048, batch: int = 4_000_000, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, end: int = 1, linear: float = 1.0, quadratic: float = 1 / 2048, batch: int = 4_000_000, path: str | None = None, literal: bool = False) -> DataFrame:
     """Pieces of all docs (doc_id, text): doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, sequence_tokens.
 
     Every document is its ids and then `end`; null and empty texts are `end` alone. Each id lies in exactly one piece,
     sequences are gapless from offset 0 and hold `capacity` tokens or a power of two. Packing is done where the rows are read, in batches of
     about `batch` tokens, without a shuffle: memory is bounded by a batch and one document, and a task that runs again on the same
-    input writes the same rows. sequence_id is the number of the partition times 2^33 plus a count. Repeated rows are packed each;
-    other columns are ignored. capacity must be a power of two.
+    input writes the same rows. sequence_id is the number of the partition times 2^33 plus a count: the same table in another file layout
+    is packed otherwise, with the same ids and as little padding. Repeated rows are packed each; other columns are ignored. capacity must be a
+    power of two. path: a tokenizer file, the public 50k byte-level BPE if not given; literal: special tokens' strings are ordinary text.
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern).ids
+        encode = encoder(path, literal).ids
         last = array("I", [end]).tobytes()
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         names, ids, held = [], [], 0

@@ -283,7 +283,6 @@ def test_op10(spark, tmp_path):
     rows = DOCS + [(100 + i, t, "en", "a", 1) for i, t in enumerate(["  two  spaces ", "tab\tand\nline \n x", "<|endoftext|>", "don't we'll 3,000 naïve", "é" * 70, "a" * 5000, " lead", "trail ", "1 2  3"])]
     path = save(spark, tmp_path, documents=frame(spark, rows))
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     ids = Counter()
     for d, t, *_ in rows:
         ids[d, np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()] += 1
@@ -310,6 +309,22 @@ def test_op10(spark, tmp_path):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_ids_are_those_of_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z ", " <|startoftext|> \n\n q", "don't WE'LL it's 12 345", "\u200b é\u0301 漢字 🙂 \r\n\t x", LONG[:5000]]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        for literal in (False, True):
+            tok = Tokenizer.from_file(path)
+            tok.encode_special_tokens = literal
+            encode = packing.Encoder(path, literal, keep=3).ids
+            for text in texts:
+                assert encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), (name, literal, text)
+    assert packing.ranked(public_tokenizers.path("byte_bpe_50k.json")) and not packing.ranked(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_packing_balances_cost():
     lengths = np.array([700] * 30 + [100] * 120 + [3000] * 3 + [1])
     pieces = packing.assign(lengths, 2048, 1.0, 1 / 2048)
