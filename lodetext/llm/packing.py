@@ -14,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodetext.llm.shared import lean
+
 EDGE = re.compile(r" \s|\s ")
 #: Fixed value: where byte-level BPE divides a text before it merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -150,6 +152,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end: int = 1, linear: float = 1.
         raise ValueError("capacity must be a power of two")
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
+    @lean
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, literal).ids
         last = array("I", [end]).tobytes()

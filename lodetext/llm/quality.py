@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodetext.llm.shared import lean
+
 UPPER = bytes([*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)])
 LETTERS = bytes([*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 DIGITS, SPACE, STOPS = b"0123456789", b" \t\n\r\x0b\x0c", b".,;:'\"-?()"
@@ -115,6 +117,7 @@ class Quality:
         model = self
 
         @F.pandas_udf("double")
+        @lean
         def quality(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for texts, sources, langs, sizes in batches:
                 x = np.array([text_features(t) for t in texts], float).reshape(-1, TEXT_FEATURES)
@@ -175,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, pool: int =
     rows = described(docs).join(F.broadcast(ids), "doc_id")  # at most max_rows + pool ids
 
     @F.pandas_udf("array<double>")
+    @lean
     def features(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for texts, sources, langs, sizes in batches:
             yield pd.Series([text_features(t) + meta_features(s, g, n) for t, s, g, n in zip(texts, sources, langs, sizes, strict=True)])

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodetext.functions.shipping import ship
 from lodetext.llm import audio, html_text, licenses, mixing, packing, quality, simhash, topk, toxicity, warc
+from lodetext.llm.shared import prepared
 
 
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
+        prepared(spark)
         return query(spark, sf_dir)
 
     return run

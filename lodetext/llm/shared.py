@@ -2,17 +2,55 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodetext.functions.shipping import ship
+
+#: Rows and bytes of an Arrow batch: texts may be long, and a task holds some batches and their Python strings at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def prepared(spark: SparkSession) -> None:
+    """Ships the package to the workers and bounds the batches they get."""
+    ship(spark)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that gives its memory back to the system at the end of a partition: workers live on, and idle ones would keep it."""
+
+    @functools.wraps(run)
+    def ended(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            del batches
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return ended
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a new temporary one where that is unset (single machine, tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; a new temporary one where that is unset and the master is local (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodetext-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)

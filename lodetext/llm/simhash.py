@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodetext.llm.shared import components, stored
+from lodetext.llm.shared import components, lean, stored
 
 #: A segment's table entries beyond this take the midpoint route, which is as exact; it is no cap.
 BUCKET = 256
@@ -36,6 +36,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprint_column(text: str, words: int = 3):
     @F.pandas_udf(T.LongType())
+    @lean
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
@@ -167,11 +168,13 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     """
 
     @F.pandas_udf("struct<key: string, size: long, fp: long, samples: array<long>, marks: array<long>>")
+    @lean
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([sketched(t, words, sketches, sample) for t in texts], columns=["key", "size", "fp", "samples", "marks"])
 
     @F.pandas_udf("array<long>")
+    @lean
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([hashed(t, words)[1].view(np.int64) for t in texts])

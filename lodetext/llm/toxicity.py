@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodetext.llm.shared import drop_stored, stored
+from lodetext.llm.shared import drop_stored, lean, stored
 
 #: What a character may stand for in disguised words.
 STANDS_FOR = {
@@ -215,6 +215,7 @@ def code_classes() -> np.ndarray:
 def char_counts(docs: DataFrame) -> dict[str, int]:
     """Trigram counts of the words of all docs. A task sends a row for each trigram it has seen; symbols are few, so the sum is bounded."""
 
+    @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes, n = code_classes(), len(SYMBOLS)
         total, held, size = np.zeros(n**3, np.int64), [], 0
@@ -339,6 +340,7 @@ class Toxicity:
         weights = self.weights
 
         @F.pandas_udf("double")
+        @lean
         def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             odds, counts = shared.value
             evidence = Evidence(odds, CharModel(counts))
@@ -370,6 +372,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, least: int =
     rows = rows.groupBy("same").agg(F.max_by("text", "toxic").alias("text"), F.max("toxic").alias("toxic"), F.max("fold").alias("fold"))
     rows = stored(rows.select("text", "toxic", "fold"), "labelled")  # read twice; max_rows texts
 
+    @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, seen, totals = CharModel(shared.value), {}, [Counter() for _ in range(4)]
 
@@ -389,7 +392,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, least: int =
                 totals[2 * fold + toxic].update(held)
                 if len(seen) > 200_000:
                     seen.clear()
-                if sum(map(len, totals)) > 400_000:
+                if sum(map(len, totals)) > 300_000:
                     yield from sums()
         yield from sums()
 
@@ -405,6 +408,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, least: int =
     odds = log_odds({r["trait"]: (r["c0"] + r["c1"], r["t0"] + r["t1"]) for r in kept}, (n["c0"] + n["c1"], n["t0"] + n["t1"]), least, floor)
     both = spark.sparkContext.broadcast(folds)
 
+    @lean
     def strongest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = CharModel(shared.value)
         by = [Evidence(x, model) for x in both.value]
