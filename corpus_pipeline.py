@@ -5,38 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodetext.functions.shipping import ship
 from lodetext.llm import mixing, packing, quality, simhash, toxicity
-from lodetext.llm.shared import stored
+from lodetext.llm.shared import prepared, stored
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose co-trained probability of good quality is at least 0.3 stay."""
-    ship(spark)
+    prepared(spark)
     return docs.where(quality.fitted(spark, docs, sf_dir).score() >= 0.3)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.7 or more go."""
-    ship(spark)
+    prepared(spark)
     return docs.where(toxicity.fitted(spark, docs, sf_dir).score(spark, "text") < 0.7)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8) stays: that with the smallest doc_id."""
-    ship(spark)
+    prepared(spark)
     return simhash.deduplicated(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to target weights: a document stays as often as it is taken, the last piece of a source cut to the words taken."""
-    ship(spark)
+    prepared(spark)
     return mixing.materialised(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2,048 tokens; a row is a piece of a document."""
-    ship(spark)
+    prepared(spark)
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
