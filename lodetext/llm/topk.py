@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,16 +17,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodetext.llm.shared import stored
+from lodetext.llm.shared import drop_stored, lean, stored
 
 K1, B = 1.2, 0.75
 BLOCK = 128
 #: Terms of a workload up to which they are broadcast to the index: some tens of MB.
 BROADCAST_TERMS = 500_000
-#: Terms of a query up to which block-max WAND walks its lists; a longer one is scored for the whole shard, which is as exact.
-WALKED_TERMS = 16
-#: Terms in more than 1 / COMMON of a shard, at most DENSE of them, are rows of a matrix there; queries are multiplied by it AT_ONCE at a time.
-COMMON, DENSE, AT_ONCE = 32, 512, 256
+#: Terms of a query up to which its lists are walked one document at a time; those of a longer one are bounded and summed by arrays.
+WALKED_TERMS = 8
+#: Terms in more than 1 / COMMON of a shard, at most DENSE of them, are rows of a matrix there, with a maximum for each block of documents.
+COMMON, DENSE, NEIGHBOURS = 32, 512, 64
+#: Share by which sums of single precision may be off, and more.
+SLACK = 1e-4
 #: Term numbers in the lists that are sent to the executors at once: some tens of MB.
 SENT_TERMS = 8_000_000
 PUNCTUATION = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"})
@@ -36,7 +39,37 @@ def words(text: str | None) -> list[str]:
     return (text or "").lower().translate(PUNCTUATION).split()
 
 
-def build_index(docs: DataFrame, shard_docs: int = 16_384, shard_words: int = 8_000_000) -> DataFrame:
+def inverted(ids: list[int], sizes: list[int], tokens: array, vocabulary: dict[str, int], shard: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a shard, given its documents' ids and lengths and the term numbers of their words, one document after the other."""
+    n, length = len(ids), np.array(sizes, np.int32)
+    head = [shard, "", 0, n, np.array(ids, np.int64).tobytes(), length.tobytes(), int(length.sum(dtype=np.int64)), 0]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["shard", "term", "block", "n", "numbers", "tfs", "most", "least"]
+    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(head, kinds, strict=True)], names=names)
+    key = np.frombuffer(tokens, np.int32).astype(np.int64) * n + np.repeat(np.arange(n), length)
+    if not len(key):
+        return
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    tfs = np.diff(np.append(first, len(key))).astype(np.int32)
+    key = key[first]
+    term, doc = key // n, (key % n).astype(np.int32)
+    begin = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+    blocks = -(-np.diff(np.append(begin, len(term))) // BLOCK)
+    number = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    start = np.repeat(begin, blocks) + BLOCK * number
+    end = np.append(start[1:], len(term))
+    most, least = np.maximum.reduceat(tfs, start).astype(np.int64), np.minimum.reduceat(length[doc], start).astype(np.int64)
+    words, of_block = pa.array(list(vocabulary), pa.string()), term[start]
+    for a in range(0, len(start), 8192):
+        z = min(a + 8192, len(start))
+        offsets = pa.py_buffer((4 * (np.append(start[a:z], end[z - 1]) - start[a])).astype(np.int32).tobytes())
+        binary = lambda x, a=a, z=z, offsets=offsets: pa.Array.from_buffers(pa.binary(), z - a, [None, offsets, pa.py_buffer(x[start[a] : end[z - 1]].tobytes())])
+        columns = [np.full(z - a, shard), words.take(pa.array(of_block[a:z])), number[a:z].astype(np.int32), (end[a:z] - start[a:z]).astype(np.int32), binary(doc), binary(tfs), most[a:z], least[a:z]]
+        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
+
+
+def build_index(docs: DataFrame, shard_docs: int = 16_384, shard_words: int = 4_000_000) -> DataFrame:
     """Index of every row of docs (doc_id, text), materialised: shard, term, block, n, numbers, tfs, most, least.
 
     A shard is what one task reads in a row, up to `shard_docs` documents or `shard_words` words: no shuffle, and memory
@@ -47,49 +80,28 @@ def build_index(docs: DataFrame, shard_docs: int = 16_384, shard_words: int = 8_
     """
     schema = "shard long, term string, block int, n int, numbers binary, tfs binary, most long, least long"
 
+    @lean
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
-        ids: list[int] = []
-        sizes: list[int] = []
-        postings: dict[str, list[int]] = {}
-        held, part = 0, 0
-
-        def flush():
-            length = np.array(sizes, np.int32)
-            rows = [(base + part, "", 0, len(ids), np.array(ids, np.int64).tobytes(), length.tobytes(), int(length.sum(dtype=np.int64)), 0)]
-            for term, flat in postings.items():
-                for k, at in enumerate(range(0, len(flat), 2 * BLOCK)):
-                    one = np.array(flat[at : at + 2 * BLOCK], np.int32)
-                    numbers, tfs = one[::2], one[1::2]
-                    rows.append((base + part, term, k, len(numbers), numbers.tobytes(), tfs.tobytes(), int(tfs.max()), int(length[numbers].min())))
-                if len(rows) >= 8192:
-                    yield batch(rows)
-                    rows = []
-            if rows:
-                yield batch(rows)
-
-        def batch(rows):
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "term", "block", "n", "numbers", "tfs", "most", "least"])
+        shard = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
 
+        def fresh():
+            vocabulary: defaultdict[str, int] = defaultdict()
+            vocabulary.default_factory = vocabulary.__len__  # a new term gets the next number
+            return [], [], array("i"), vocabulary
+
+        ids, sizes, tokens, vocabulary = fresh()
         for rows in batches:
             for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                counts = Counter(words(text.as_py()))
-                size = sum(counts.values())
-                number = len(ids)
+                own = words(text.as_py())
                 ids.append(doc_id)
-                sizes.append(size)
-                for term, n in counts.items():
-                    if term in postings:
-                        postings[term] += (number, n)
-                    else:
-                        postings[term] = [number, n]
-                held += size
-                if len(ids) >= shard_docs or held >= shard_words:
-                    yield from flush()
-                    ids, sizes, postings, held, part = [], [], {}, 0, part + 1
+                sizes.append(len(own))
+                tokens.extend(map(vocabulary.__getitem__, own))
+                if len(ids) >= shard_docs or len(tokens) >= shard_words:
+                    yield from inverted(ids, sizes, tokens, vocabulary, shard)
+                    ids, sizes, tokens, vocabulary = fresh()
+                    shard += 1
         if ids:
-            yield from flush()
+            yield from inverted(ids, sizes, tokens, vocabulary, shard)
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return stored(rows.mapInArrow(index, schema), "index")
@@ -100,12 +112,11 @@ class Postings:
 
     __slots__ = ("docs", "tfs", "last", "bounds", "bound")
 
-    def __init__(self, blocks: list[tuple], mean: float):
-        blocks.sort(key=lambda b: b[0])
-        self.docs = np.concatenate([np.frombuffer(b[1], np.int32) for b in blocks]).tolist()
-        self.tfs = np.concatenate([np.frombuffer(b[2], np.int32) for b in blocks]).tolist()
-        self.last = [self.docs[min(len(self.docs), (i + 1) * BLOCK) - 1] for i in range(len(blocks))]
-        self.bounds = [part(b[3], b[4], mean) * (1 + 1e-9) for b in blocks]
+    def __init__(self, docs: np.ndarray, tfs: np.ndarray, most: np.ndarray, least: np.ndarray, mean: float):
+        """most and least: of each block of BLOCK postings."""
+        self.docs, self.tfs = docs.tolist(), tfs.tolist()
+        self.last = [self.docs[min(len(self.docs), (i + 1) * BLOCK) - 1] for i in range(len(most))]
+        self.bounds = [part(m, n, mean) * (1 + 1e-9) for m, n in zip(most.tolist(), least.tolist(), strict=True)]
         self.bound = max(self.bounds)
 
 
@@ -114,14 +125,13 @@ def part(tf: int, size: int, mean: float) -> float:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * (size / mean if mean else 1.0)))
 
 
-def block_max_wand(terms: list[tuple[float, Postings]], sizes: list[int], ids: list[int], mean: float, k: int) -> list[tuple[float, int]]:
-    """The k best (score, doc_id) of a shard, by score and then the smaller doc_id; only documents with a term of the query."""
+def block_max_wand(terms: list[tuple[float, Postings]], sizes: list[int], ids: list[int], mean: float, k: int, floor: float = -math.inf) -> list[tuple[float, int]]:
+    """The k best (score, doc_id) of a shard, by score and then the smaller doc_id; only documents with a term of the query and a score of `floor` or more."""
     count = len(terms)
     at = [0] * count
     ends = [len(p.docs) for _, p in terms]
     live = list(range(count))
     heap: list[tuple[float, int]] = []
-    floor = -math.inf
     while live:
         live.sort(key=lambda i: terms[i][1].docs[at[i]])
         total, pivot = 0.0, -1
@@ -155,7 +165,7 @@ def block_max_wand(terms: list[tuple[float, Postings]], sizes: list[int], ids: l
                 elif entry > heap[0]:
                     heapq.heapreplace(heap, entry)
                 if len(heap) == k:
-                    floor = heap[0][0]
+                    floor = max(floor, heap[0][0])
             else:
                 for i in live[:pivot]:
                     if terms[i][1].docs[at[i]] < doc:
@@ -170,60 +180,111 @@ def block_max_wand(terms: list[tuple[float, Postings]], sizes: list[int], ids: l
     return sorted(((s, -d) for s, d in heap), key=lambda x: (-x[0], x[1]))
 
 
-class Scored:
-    """All postings of a shard with their parts of scores, by term and by document, to score long queries in full.
+class Shard:
+    """The postings of a shard with their parts of scores. Long queries are searched by block maxima, over blocks of neighbouring documents.
 
-    A query's scores of all documents are summed fast first, the common terms by a matrix product; whoever is within rounding of the k-th best is summed
-    again in the order of the terms' numbers, so that equal documents have equal scores in whatever shard they are.
+    A query's rare terms are summed for all documents. Its common terms lie in a matrix, and the sum of their maxima in a block bounds what they can add there: only
+    documents that may still reach the k-th best score so far get it added. Who is within rounding of the k-th best is summed again in the order of
+    the terms' numbers, so that equal documents have equal scores in whatever shard they are. Documents with the same strongest common term
+    are neighbours, so that the blocks are of a kind and bounds are close.
     """
 
-    def __init__(self, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, docs: np.ndarray, tfs: np.ndarray, sizes: np.ndarray, ids: np.ndarray, mean: float):
-        """terms (ascending), counts and idf of the blocks; docs and tfs of their postings."""
-        self.ids, self.n = ids, len(sizes)
-        self.terms, first = np.unique(terms, return_index=True)
+    def __init__(self, rows: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray, mean: float):
+        """rows: number (ascending), n, idf, most and least of the blocks, docs and tfs of their postings."""
+        self.rows, self.ids, self.sizes, self.mean, self.n = rows, ids, sizes, mean, len(sizes)
+        counts, docs = rows["n"], rows["docs"]
+        self.terms, self.block_starts = np.unique(rows["number"], return_index=True)
+        self.block_ends = np.append(self.block_starts[1:], len(counts))
         starts = np.concatenate([[0], np.cumsum(counts)])
-        self.starts = np.append(starts[first], starts[-1])
-        self.docs, self.values = docs, np.repeat(idf, counts) * part(tfs.astype(float), sizes[docs].astype(float), mean)
-        held = np.diff(self.starts)
-        self.dense_at = np.full(len(self.terms), -1)
+        self.starts = np.append(starts[self.block_starts], starts[-1])
+        self.ready: dict[int, tuple[float, Postings]] = {}
+        self.long = False
+
+    def prepare(self) -> None:
+        """What only long queries need."""
+        rows, docs, held = self.rows, self.rows["docs"], np.diff(self.starts)
+        values = np.repeat(rows["idf"], rows["n"]) * part(rows["tfs"].astype(float), self.sizes[docs].astype(float), self.mean)
         common = np.flatnonzero(held * COMMON > self.n)
         common = common[np.argsort(-held[common], kind="stable")[:DENSE]]
+        strongest, share = np.full(self.n, -1), np.zeros(self.n)
+        for row, t in enumerate(common):
+            at = slice(self.starts[t], self.starts[t + 1])
+            more = values[at] > share[docs[at]]
+            strongest[docs[at][more]], share[docs[at][more]] = row, values[at][more]
+        self.order = np.lexsort((self.sizes, strongest))
+        place = np.empty(self.n, np.int64)
+        place[self.order] = np.arange(self.n)
+        self.docs, self.values = place[docs], values
+        self.dense_at = np.full(len(self.terms), -1)
         self.dense_at[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.n))
+        blocks = -(-self.n // NEIGHBOURS)
+        dense = np.zeros((len(common), blocks * NEIGHBOURS), np.float32)
         for row, t in enumerate(common):
             at = slice(self.starts[t], self.starts[t + 1])
-            self.dense[row, docs[at]] = self.values[at]
-        by_doc = np.argsort(docs, kind="stable")
-        self.doc_terms, self.doc_values = np.repeat(np.arange(len(self.terms)), held)[by_doc], self.values[by_doc]
-        self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=self.n))])
-
-    def best(self, queries: list[np.ndarray], k: int) -> Iterator[list[tuple[float, int]]]:
-        """For each query (term numbers) its k best (score, doc_id), by score and then the smaller doc_id; only documents with a term of it."""
-        asked = np.zeros(len(self.terms), bool)
-        for start in range(0, len(queries), AT_ONCE):
-            found = []
-            for q in queries[start : start + AT_ONCE]:
-                at = np.minimum(np.searchsorted(self.terms, q), len(self.terms) - 1)
-                found.append(at[self.terms[at] == q])
-            use = np.zeros((len(found), len(self.dense)))
-            for row, at in enumerate(found):
-                use[row, self.dense_at[at][self.dense_at[at] >= 0]] = 1
-            totals = use @ self.dense
-            for at, total in zip(found, totals, strict=True):
-                if not k or not len(at):
-                    yield []
-                    continue
-                for t in at[self.dense_at[at] < 0]:
-                    here = slice(self.starts[t], self.starts[t + 1])
-                    total[self.docs[here]] += self.values[here]
-                floor = np.partition(total, self.n - k)[self.n - k] if self.n > k else 0.0
-                asked[at] = True
-                scored = []
-                for d in np.flatnonzero((total > 0) & (total >= floor * (1 - 1e-9))):
-                    here = slice(self.doc_starts[d], self.doc_starts[d + 1])
-                    scored.append((float(np.cumsum(self.doc_values[here][asked[self.doc_terms[here]]])[-1]), int(self.ids[d])))
-                asked[at] = False
-                yield sorted(scored, key=lambda x: (-x[0], x[1]))[:k]
+            dense[row, self.docs[at]] = values[at]
+        self.dense = dense.reshape(len(common), blocks, NEIGHBOURS)
+        self.peaks = self.dense.max(axis=2)
+        by_doc = np.argsort(self.docs, kind="stable")
+        self.doc_terms, self.doc_values = np.repeat(np.arange(len(self.terms)), held)[by_doc], values[by_doc]
+        self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=self.n))])
+        self.asked = np.zeros(len(self.terms), bool)
+        self.long = True
+
+    def known(self, query: np.ndarray) -> np.ndarray:
+        """Places of a query's terms among the shard's."""
+        at = np.minimum(np.searchsorted(self.terms, query), len(self.terms) - 1)
+        return at[self.terms[at] == query]
+
+    def pruned(self, query: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
+        """The k best (score, doc_id) of a query (term numbers), by score and then the smaller doc_id; only documents with a term of it and a score of `floor` or more."""
+        if not self.long:
+            self.prepare()
+        at = self.known(query)
+        if not k or not len(at):
+            return []
+        rare, common = at[self.dense_at[at] < 0], self.dense_at[at]
+        common = common[common >= 0]
+        held = self.starts[rare + 1] - self.starts[rare]
+        own = np.repeat(self.starts[rare] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+        total = np.bincount(self.docs[own], weights=self.values[own], minlength=self.dense.shape[1] * NEIGHBOURS).reshape(-1, NEIGHBOURS)
+        bound = (total.max(axis=1) + self.peaks[common].sum(axis=0, dtype=np.float64)) * (1 + SLACK)
+
+        def full(blocks: np.ndarray) -> np.ndarray:
+            return total[blocks] + self.dense[common[:, None], blocks].sum(axis=0)
+
+        kth = lambda x: float(np.partition(x, len(x) - k)[len(x) - k])
+        if floor == -math.inf and self.n > 4 * k:  # the k-th best of some good ones is a floor
+            some = full(np.argsort(-bound)[: 1 + 4 * k // NEIGHBOURS]).ravel()
+            floor = kth(some) if len(some) >= k else floor
+        least = floor * (1 - SLACK) if floor > 0 else 0.0
+        blocks = np.flatnonzero((bound >= least) & (bound > 0))
+        if not len(blocks):
+            return []
+        scores = full(blocks).ravel()
+        if len(scores) > k:
+            least = max(least, kth(scores) * (1 - SLACK))
+        near = np.flatnonzero((scores >= least) & (scores > 0))
+        near = blocks[near // NEIGHBOURS] * NEIGHBOURS + near % NEIGHBOURS
+        self.asked[at] = True
+        found = []
+        for d in near:
+            here = slice(self.doc_starts[d], self.doc_starts[d + 1])
+            found.append((float(np.cumsum(self.doc_values[here][self.asked[self.doc_terms[here]]])[-1]), int(self.ids[self.order[d]])))
+        self.asked[at] = False
+        return sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+
+    def walked(self, query: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
+        """The same by block-max WAND."""
+        mine = []
+        for i in self.known(query).tolist():
+            if i not in self.ready:
+                at, blocks, r = slice(self.starts[i], self.starts[i + 1]), slice(self.block_starts[i], self.block_ends[i]), self.rows
+                self.ready[i] = (float(r["idf"][blocks.start]), Postings(r["docs"][at], r["tfs"][at], r["most"][blocks], r["least"][blocks], self.mean))
+            mine.append(self.ready[i])
+        return block_max_wand(mine, self.sizes.tolist() if mine else [], self.ids.tolist() if mine else [], self.mean, k, floor) if mine else []
+
+    def best(self, query: np.ndarray, k: int, floor: float = -math.inf) -> list[tuple[float, int]]:
+        return (self.walked if len(query) <= WALKED_TERMS else self.pruned)(query, k, floor)
 
 
 def query_terms(queries: DataFrame, index: DataFrame, n_docs: int, mean: float, n_terms: int | None, least_df: int = 1) -> DataFrame:
@@ -249,56 +310,67 @@ def query_terms(queries: DataFrame, index: DataFrame, n_docs: int, mean: float,
     return ranked.select("query", "term", "idf")
 
 
+def flat(column: pa.BinaryArray, kind) -> np.ndarray:
+    """The numbers in all values of a binary column, one after the other."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind) if column.buffers()[2] is not None else np.zeros(0, kind)
+
+
 def searched(sent, mean: float, k: int):
-    """The function that searches a shard, given its postings, for the broadcast queries."""
+    """The function that searches shards, given their postings one after the other, for the broadcast queries."""
 
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
+    @lean
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, offsets, numbers = sent.value
-        head = rows["number"].to_numpy() < 0
-        if head.all():
-            return pd.DataFrame([], columns=["query", "doc_id", "score"])
-        top = rows[head].iloc[0]
-        ids, sizes = np.frombuffer(top["numbers"], np.int64), np.frombuffer(top["tfs"], np.int32)
-        rows = rows[~head].sort_values(["number", "block"])
-        terms = rows["number"].to_numpy()
-        docs, tfs = (np.frombuffer(b"".join(rows[c]), np.int32) for c in ("numbers", "tfs"))
         lists = [numbers[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        out = []
-        long = [i for i, x in enumerate(lists) if len(x) > WALKED_TERMS]
-        if long:
-            scored = Scored(terms, rows["n"].to_numpy(), rows["idf"].to_numpy(), docs, tfs, sizes, ids, mean)
-            for i, found in zip(long, scored.best([lists[i] for i in long], k), strict=True):
-                out += [(queries[i], d, s) for s, d in found]
-        short = [i for i, x in enumerate(lists) if len(x) <= WALKED_TERMS]
-        if short:
-            blocks = {c: rows[c].to_numpy() for c in ("block", "numbers", "tfs", "most", "least", "idf")}
-            size_list, id_list = sizes.tolist(), ids.tolist()
-            ready: dict[int, tuple[float, Postings] | None] = {}
-            for i in short:
-                mine = []
-                for t in lists[i].tolist():
-                    if t not in ready:
-                        a, b = np.searchsorted(terms, t), np.searchsorted(terms, t, "right")
-                        held = list(zip(*(blocks[c][a:b] for c in ("block", "numbers", "tfs", "most", "least")), strict=True))
-                        ready[t] = (float(blocks["idf"][a]), Postings(held, mean)) if held else None
-                    if ready[t]:
-                        mine.append(ready[t])
-                if mine:
-                    out += [(queries[i], d, s) for s, d in block_max_wand(mine, size_list, id_list, mean, k)]
-        return pd.DataFrame(out, columns=["query", "doc_id", "score"])
+        found: list[list[tuple[float, int]]] = [[] for _ in lists]  # by descending score and then doc_id
+
+        def search(parts: list[pa.RecordBatch]) -> None:
+            rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            if rows.column("number")[0].as_py() >= 0 or len(rows) == 1:
+                return
+            ids, sizes = (np.frombuffer(rows.column(c)[0].as_py(), kind) for c, kind in (("numbers", np.int64), ("tfs", np.int32)))
+            rows = rows.slice(1)
+            of = {c: rows.column(c).to_numpy() for c in ("number", "n", "idf", "most", "least")}
+            shard = Shard(of | {"docs": flat(rows.column("numbers"), np.int32), "tfs": flat(rows.column("tfs"), np.int32)}, ids, sizes, mean)
+            for i, query in enumerate(lists):
+                now = found[i]
+                more = shard.best(query, k, now[-1][0] if len(now) == k else -math.inf)
+                if more:
+                    found[i] = sorted(now + more, key=lambda x: (-x[0], x[1]))[:k]
+
+        held: list[pa.RecordBatch] = []
+        for rows in batches:
+            shards = rows.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if held and held[0].column("shard")[0].as_py() != shards[a]:
+                    search(held)
+                    held = []
+                held.append(rows.slice(a, b - a))
+        if held:
+            search(held)
+        for a in range(0, len(found), 1024):
+            out = [(queries[a + i], d, s) for i, x in enumerate(found[a : a + 1024]) for s, d in x]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.float64()), strict=True)], names=["query", "doc_id", "score"])
 
     return best
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | None = None, least_df: int = 1, queries_at_once: int = 65_536) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | None = None, least_df: int = 1, queries_at_once: int = 65_536, lanes: int | None = None) -> DataFrame:
     """(query, rank, doc_id, score): the k best documents of each of queries (query string, text), by BM25 and then the smaller doc_id.
 
     Scores use the document frequencies, number and average length of all documents, so a shard's k best are final and merging them is
-    exact. A task searches one shard for one block of at most about `queries_at_once` queries and SENT_TERMS terms: it gets the postings of their
-    terms by shuffle and the numbers of the terms of each query by broadcast. Queries of up to WALKED_TERMS terms go by block-max WAND, which skips
-    documents that can't reach the shard's k-th score so far; longer ones score the whole shard. A query without known terms gives no rows.
+    exact. A task searches the shards of one of `lanes` lanes (two for each core if not given), one after the other, for one block of at most about `queries_at_once` queries and
+    SENT_TERMS terms: it gets the postings of their terms by shuffle and the numbers of the terms of each query by broadcast, and the
+    k-th best score of the shards before is the floor in the next. So lanes, not shards, times k rows of a query are merged. Block maxima skip what
+    can't reach the floor: by walking the lists up to WALKED_TERMS terms, by arrays beyond. A query without known terms gives no rows.
     """
     spark = index.sparkSession
+    lanes = lanes or 2 * spark.sparkContext.defaultParallelism
     whole = index.where("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("most"), F.lit(0)).alias("total")).first()
     n_docs, mean = whole["n"], (whole["total"] / whole["n"] if whole["n"] else 0.0)
     terms = stored(query_terms(queries, index, n_docs, mean, n_terms, least_df), "terms")
@@ -306,8 +378,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | Non
     blocks = max(1, math.ceil(asked["queries"] / queries_at_once), math.ceil(asked["terms"] / SENT_TERMS))
     numbered = stored(terms.groupBy("term").agg(F.first("idf").alias("idf")).withColumn("number", F.monotonically_increasing_id()), "needed")
     broadcast = F.broadcast if numbered.count() <= BROADCAST_TERMS else (lambda df: df)  # else both sides are shuffled by term
-    terms = terms.select("query", "term").join(broadcast(numbered.select("term", "number")), "term").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    lists = stored(terms.groupBy("part", "query").agg(F.sort_array(F.collect_list("number")).alias("numbers")), "lists")
+    listed = terms.select("query", "term").join(broadcast(numbered.select("term", "number")), "term").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    lists = stored(listed.groupBy("part", "query").agg(F.sort_array(F.collect_list("number")).alias("numbers")), "lists")
+    drop_stored(terms)
+    heads = index.where("term = ''").select("shard").distinct()
+    order = Window.orderBy("shard")
+    lane = stored(heads.withColumn("lane", ((F.row_number().over(order) - 1) % lanes).cast("int")), "lanes")  # a row a shard
     found = []
     for block in range(blocks):
         mine = lists.where(F.col("part") == block).select("query", "numbers").toArrow().combine_chunks()  # at most SENT_TERMS, or one query
@@ -317,18 +393,19 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | Non
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         sent = spark.sparkContext.broadcast((mine.column("query").to_pylist(), column.offsets.to_numpy(), column.values.to_numpy()))
         needed = numbered if blocks == 1 else numbered.join(lists.where(F.col("part") == block).select(F.explode("numbers").alias("number")).distinct(), "number", "left_semi")
-        postings = index.join(broadcast(needed), "term").drop("term")
+        postings = index.where("term <> ''").join(broadcast(needed), "term").drop("term")
         sides = index.where("term = ''").drop("term").withColumns({"idf": F.lit(0.0), "number": F.lit(-1).cast("long")}).unionByName(postings)
-        found.append(sides.groupBy("shard").applyInPandas(searched(sent, mean, k), "query string, doc_id long, score double"))
+        sides = sides.join(F.broadcast(lane), "shard").repartitionById(lanes, F.col("lane")).drop("lane").sortWithinPartitions("shard", "number", "block")
+        found.append(sides.mapInArrow(searched(sent, mean, k), "query string, doc_id long, score double"))
     if not found:
         return spark.createDataFrame([], "query string, rank int, doc_id long, score double")
-    of_shards = reduce(DataFrame.unionAll, found)
+    of_lanes = reduce(DataFrame.unionAll, found)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
-    return of_shards.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "doc_id", "score")
+    return of_lanes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "doc_id", "score")
 
 
-def op4_topk(spark: SparkSession, sf_dir: str, k: int = 10, n_terms: int = 8, least_df: int = 2) -> DataFrame:
-    """The k best of all documents for each document whose doc_id is divisible by 50, asked by the n_terms terms that weigh most in its whole text, of those in least_df documents or more. Equal texts are one query."""
+def op4_topk(spark: SparkSession, sf_dir: str, k: int = 10, n_terms: int | None = None, least_df: int = 1) -> DataFrame:
+    """The k best of all documents for each document whose doc_id is divisible by 50, asked by all words of its whole text (or the n_terms terms that weigh most, of those in least_df documents or more). Equal texts are one query."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     index = build_index(docs)
     rows = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("query", F.md5("text"))
@@ -336,8 +413,3 @@ def op4_topk(spark: SparkSession, sf_dir: str, k: int = 10, n_terms: int = 8, le
     queries = rows.groupBy("query").agg(F.first("text").alias("text"))
     found = search(index, queries, k, n_terms, least_df)
     return rows.select("query_id", "query").distinct().join(found, "query").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
-
-
-def op4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registered query: op4_topk by all words of the whole text."""
-    return op4_topk(spark, sf_dir, n_terms=None, least_df=1)

@@ -538,7 +538,7 @@ def test_op4_against_exhaustive_search(spark, tmp_path):
     rows += [(1000 + i, rows[50][1], "en", "a", 1) for i in range(20)] + [(r[0] + 2000 if r[0] is not None else None, *r[1:]) for r in DOCS]
     docs = frame(spark, rows)
     got = defaultdict(list)
-    for r in topk.op4_topk(spark, save(spark, tmp_path, documents=docs)).collect():
+    for r in topk.op4_topk(spark, save(spark, tmp_path, documents=docs), n_terms=8, least_df=2).collect():
         got[r["query_id"]].append((r["rank"], r["doc_id"], r["score"]))
     named = [(d, topk.words(t)) for d, t, *_ in rows if d is not None]
     tf, n = [(d, Counter(w), len(w)) for d, w in named], len(named)
