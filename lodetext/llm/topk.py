@@ -31,12 +31,18 @@ COMMON, DENSE, NEIGHBOURS = 32, 512, 64
 SLACK = 1e-4
 #: Term numbers in the lists that are sent to the executors at once: some tens of MB.
 SENT_TERMS = 8_000_000
-PUNCTUATION = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"})
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Shards that a task searches one after the other, at most.
+LANE_SHARDS = 16
 
 
 def words(text: str | None) -> list[str]:
     """Lower-case words between white space and ASCII punctuation."""
-    return (text or "").lower().translate(PUNCTUATION).split()
+    text = (text or "").lower()
+    for c in PUNCTUATION:
+        if c in text:
+            text = text.replace(c, " ")
+    return text.split()
 
 
 def inverted(ids: list[int], sizes: list[int], tokens: array, vocabulary: dict[str, int], shard: int) -> Iterator[pa.RecordBatch]:
@@ -364,13 +370,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | Non
     """(query, rank, doc_id, score): the k best documents of each of queries (query string, text), by BM25 and then the smaller doc_id.
 
     Scores use the document frequencies, number and average length of all documents, so a shard's k best are final and merging them is
-    exact. A task searches the shards of one of `lanes` lanes (two for each core if not given), one after the other, for one block of at most about `queries_at_once` queries and
+    exact. A task searches the shards of one of `lanes` lanes (two for each core or more, so that none has over LANE_SHARDS, if not given), one after the other, for one block of at most about `queries_at_once` queries and
     SENT_TERMS terms: it gets the postings of their terms by shuffle and the numbers of the terms of each query by broadcast, and the
     k-th best score of the shards before is the floor in the next. So lanes, not shards, times k rows of a query are merged. Block maxima skip what
     can't reach the floor: by walking the lists up to WALKED_TERMS terms, by arrays beyond. A query without known terms gives no rows.
     """
     spark = index.sparkSession
-    lanes = lanes or 2 * spark.sparkContext.defaultParallelism
     whole = index.where("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("most"), F.lit(0)).alias("total")).first()
     n_docs, mean = whole["n"], (whole["total"] / whole["n"] if whole["n"] else 0.0)
     terms = stored(query_terms(queries, index, n_docs, mean, n_terms, least_df), "terms")
@@ -381,7 +386,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | Non
     listed = terms.select("query", "term").join(broadcast(numbered.select("term", "number")), "term").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(blocks)))
     lists = stored(listed.groupBy("part", "query").agg(F.sort_array(F.collect_list("number")).alias("numbers")), "lists")
     drop_stored(terms)
-    heads = index.where("term = ''").select("shard").distinct()
+    heads = stored(index.where("term = ''").select("shard").distinct(), "shards")
+    lanes = lanes or max(2 * spark.sparkContext.defaultParallelism, math.ceil(heads.count() / LANE_SHARDS))
     order = Window.orderBy("shard")
     lane = stored(heads.withColumn("lane", ((F.row_number().over(order) - 1) % lanes).cast("int")), "lanes")  # a row a shard
     found = []
