@@ -1,5 +1,6 @@
 """Training-data operators against brute force and on awkward rows: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -214,7 +215,8 @@ def test_block_pairs(spark):
 
 def test_op9(spark, tmp_path):
     more = [(60 + i, t, "en", "a", 1) for i, (_, t) in enumerate(licenses.TEMPLATES)]
-    more += [(80, "x " * 90 + licenses.TEMPLATES[6][1] + " y" * 90, "en", "a", 1), (81, "MIT\nLicense mit-license", "en", "a", 1), (82, "cc by by cc by", "en", "a", 1)]
+    more += [(180, "x " * 90 + dict(licenses.TEMPLATES)["mit"] + " y" * 90, "en", "a", 1), (181, "MIT\nLicense mit-license", "en", "a", 1), (182, "cc by by cc by", "en", "a", 1)]
+    more += [(190, " z" * 200 + (t := dict(licenses.TEMPLATES))["gpl"] + " y" * 200 + t["lgpl"], "en", "a", 1), (191, t["cc-by-nc"].replace("International ", ""), "en", "a", 1)]
     docs = frame(spark, DOCS + more)
     path = save(spark, tmp_path, documents=docs)
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
@@ -222,7 +224,19 @@ def test_op9(spark, tmp_path):
     assert got == sql(licenses.op9_sql(), documents=docs.select("doc_id", "text"))
     by = {r[0]: r for r in got}
     assert by[0][5] == "apache,cc-by,mit" and by[50][1:5] == (8, 2, 0, 4) and by[1][1:] == (0, 0, None, None, "", "", 0.0)
-    assert by[80][6] == "mit" and by[80][7] == 1.0 and by[80][2] == 0 and by[81][2] == 2 and by[82][2:5] == (2, 0, 3)
+    assert by[180][6] == "mit" and by[180][7] == 1.0 and by[180][2] == 0 and by[181][2] == 2 and by[182][2:5] == (2, 0, 3)
+    assert [by[60 + i][6] for i in range(len(licenses.TEMPLATES))] == [",".join(sorted({label, *by[60 + i][5].split(",")} - {""})) for i, (label, _) in enumerate(licenses.TEMPLATES)]
+    assert by[190][6] == "gpl,lgpl" and by[191][6] == "cc-by-nc"
+    pairs = {(r["doc_id"], b["label"], b["start"]) for r in licenses.scan(docs).collect() for b in r["blocks"]}
+    want = set()
+    for d, t, *_ in DOCS + more:
+        w = [x for x in re.split(licenses.GAP, (t or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER))) if x]
+        for at in range(0, len(w), 64):
+            for label, text in licenses.TEMPLATES:
+                words = set(licenses.template_words(text))
+                if len(words & set(w[at : at + 128])) >= 0.8 * len(words) - 1e-9:
+                    want.add((d, label, at))
+    assert pairs == want
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
