@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from lodetext.llm.shared import new_path, stored
 
+#: Parts of a digest that many payloads share.
+SALTS = 16
 ENTRY = "key string, page string, url string, file string, at long, size long"
 EPOCH = datetime(2000, 1, 1, tzinfo=timezone.utc)
 
@@ -87,13 +89,16 @@ def write_archives(pages: DataFrame, base: str, least: int = 1000) -> DataFrame:
     Of records with equal payloads of at least `least` bytes, that with the largest page_id is the response and the others revisit it.
     Null html is an empty payload, a null url the empty one. Rows with one page_id and the same payload are each responses if it is the
     largest; rows without page_id are responses where no equal payload has one. Digests are aggregated alone; the payloads move once, to join
-    the largest page_id of their digest, and AQE splits a digest that many share. A task writes to a file of its own
+    the largest page_id of their digest, dealt by salts, so that neither a digest that many share nor the payloads without one meet in a task. A task writes to a file of its own
     attempt, and only captures of tasks that were committed are listed, so lost executors leave no trace.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     marked = rows.withColumn("digest", F.when(F.octet_length("html") >= least, F.unhex(F.sha1(F.encode("html", "utf-8")))))
     shared = marked.where("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
-    rows = marked.join(shared, "digest", "left").select(named("page_id").alias("page"), "url", "html", F.col("last").cast("string").alias("last"))
+    shared = shared.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    own = F.xxhash64("page_id", "url", "html")
+    marked = marked.withColumn("salt", F.when(F.col("digest").isNull(), own).otherwise(F.pmod(own, F.lit(SALTS))))
+    rows = marked.join(shared, ["digest", "salt"], "left").select(named("page_id").alias("page"), "url", "html", F.col("last").cast("string").alias("last"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, folder = opened(base)
@@ -272,7 +277,7 @@ OP5_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 last AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-       CASE WHEN last IS NULL OR last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN last <> page_id THEN last END AS refers_to
+       CASE WHEN last IS NULL OR last IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN last IS DISTINCT FROM page_id THEN last END AS refers_to
 FROM p LEFT JOIN last USING (payload_digest)
 """
