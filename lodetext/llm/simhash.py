@@ -16,6 +16,8 @@ from lodetext.llm.shared import components, lean, stored
 
 #: A segment's table entries beyond this take the midpoint route, which is as exact; it is no cap.
 BUCKET = 256
+#: Parts of a fingerprint, or of a component, that many rows have.
+SALTS = 16
 #: Longs of the bitmap of a text's shingles, by which pairs are ruled out before they are compared.
 MARKS = 16
 
@@ -86,16 +88,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, bucket: int
     component_id is the smallest doc_id reachable over links of at most `bits` differing bits, itself included. Null and empty
     texts have fingerprint zero and link like any other; rows without doc_id take part, their component_id is null only if no
     member has one. Repeated rows are kept, each with the same result. Other columns are ignored. Copies share a fingerprint, and only
-    distinct fingerprints are compared, so a group of copies of any size costs one.
+    distinct fingerprints are compared, so a group of copies of any size costs one, and its rows get their result in SALTS tasks.
     """
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column("text", words).alias("fp")), "prints")
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     tied = stored(components(near_links(prints.select("fp"), bits, bucket)), "roots")
     whole = tied.join(prints, tied["node"] == prints["fp"]).select("fp", "root", "first")
     lowest = whole.groupBy("root").agg(F.min("first").alias("least"))
     of_linked = whole.join(lowest, "root").select("fp", "root", "least")
-    of_prints = stored(prints.join(of_linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")), "components")
-    return rows.join(of_prints, "fp").select("doc_id", "fp", "root", "component_id")
+    several = prints.join(of_linked, "fp", "left").where("n > 1 OR root IS NOT NULL")  # any other row is its own component
+    several = several.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    salted = several.select("*", F.lit(True).alias("known"), F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(salted, ["fp", "salt"], "left")
+    return dealt.select("doc_id", "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,8 +228,10 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     marks = near_copies(docs, **options).groupBy("root", "doc_id", "exact").agg(F.count("*").alias("n"))
     marks = stored(marks, "marks")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "exact")
-    stays = marks.groupBy("root").agg(F.min(place).alias("stay"))
-    marks = marks.join(stays, "root").withColumn("stays", F.struct(F.col("doc_id").isNull(), "doc_id", "exact") == F.col("stay"))
+    several = marks.groupBy("root").agg(F.min(place).alias("stay"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    salted = several.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    marks = marks.withColumn("salt", F.pmod(F.xxhash64("doc_id", "exact"), F.lit(SALTS))).join(salted, ["root", "salt"], "left")
+    marks = marks.withColumn("stays", F.coalesce(place == F.col("stay"), F.lit(True)))
     one, two = "lodetext_id", "lodetext_exact"
     named = lambda condition: marks.where(condition).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(one), F.col("exact").alias(two))
     rows = docs.withColumn(one, F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))).withColumn(two, F.md5(F.coalesce("text", F.lit(""))))
