@@ -16,6 +16,8 @@ GAP = r"[\x20\x09-\x0D]+"
 SEED = 17
 #: Hex digits of the seeded order that make a bucket: 16^3 of them.
 DIGITS = 3
+#: Patterns, and sources, up to which what is planned for each is broadcast; more are joined by shuffle.
+BROADCAST_PATTERNS = 10_000
 
 
 def n_words(text: str):
@@ -23,6 +25,11 @@ def n_words(text: str):
     return F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), GAP), "")).cast("long")
 
 
+def row_key(doc_id, text):
+    """What the seeded order is drawn from."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+
+
 def targets(sizes: dict[str | None, int], weights: dict[str | None, float], share: float, repeats: int) -> dict[str | None, float]:
     """What each source is to give: share * all sizes by weight, at most repeats * its size, the excess by weight again until none is above.
 
@@ -105,7 +112,8 @@ def mix(docs: DataFrame, members: str = "sources", size: str = "size", key: str
     members: array of the names of the sources a row belongs to (null counts as a name; an empty or null array is in no source and gives
     nothing). Sources by code point, null last, weigh `weights`, repeating. Rows with one set of sources are one pattern. A pattern that gives f
     words of its n gives every document f // n times whole, and once more the first ones in seeded order until f is met; the last of those is cut.
-    Order: md5 of seed and key, then size; equal rows are interchangeable. Reruns agree.
+    Order: md5 of seed and key, then size; equal rows are interchangeable. Reruns agree. key should tell rows apart, as an id and the md5 of a
+    text do: rows with one key are in one bucket of the order.
 
     The pattern's running sum is two-level: sums of 16^digits buckets of the md5 are aggregated and accumulated, and only rows
     of the one bucket where a pattern ends are ordered, so a source with a third of all rows is never in one task.
@@ -130,18 +138,19 @@ def mix(docs: DataFrame, members: str = "sources", size: str = "size", key: str
         f = sum(given[p].values()) if p else 0
         named = lambda d, p=p: {"" if s is None else f"={s}": d[s] for s in p}  # noqa: E731  map keys can't be null
         plan.append((list(p), f // n if n else 0, f % n if n else 0, named(given[p]) if p else {}, named(aims)))
+    small = F.broadcast if len(plan) <= BROADCAST_PATTERNS else (lambda df: df)
     plan = spark.createDataFrame(plan, schema)
 
     cell = rows.groupBy("mix_pattern", "mix_bucket").agg(F.sum("mix_size").alias("mix_sum"))
     running = Window.partitionBy("mix_pattern").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 16^digits rows a pattern
-    cell = cell.withColumn("mix_before", F.coalesce(F.sum("mix_sum").over(running), F.lit(0))).join(F.broadcast(plan), "mix_pattern")
+    cell = cell.withColumn("mix_before", F.coalesce(F.sum("mix_sum").over(running), F.lit(0))).join(small(plan), "mix_pattern")
     cell = cell.withColumn("mix_left", F.col("mix_rest") - F.col("mix_before"))
     edge = cell.where((F.col("mix_left") > 0) & (F.col("mix_left") < F.col("mix_sum"))).select("mix_pattern", F.col("mix_bucket").alias("mix_edge"), F.col("mix_left").alias("mix_edge_left"))
     plan = plan.join(edge, "mix_pattern", "left")
-    rows = rows.join(F.broadcast(plan), "mix_pattern")
+    rows = rows.join(small(plan), "mix_pattern")
     # buckets before the edge are taken whole; without an edge the pattern's rest ends between buckets
     ends = cell.where("mix_left >= mix_sum AND mix_sum > 0").groupBy("mix_pattern").agg(F.max("mix_bucket").alias("mix_last"))
-    rows = rows.join(F.broadcast(ends), "mix_pattern", "left")
+    rows = rows.join(small(ends), "mix_pattern", "left")
     inside = F.coalesce(F.col("mix_bucket") <= F.col("mix_last"), F.lit(False))
     at_edge = F.coalesce(F.col("mix_bucket") == F.col("mix_edge"), F.lit(False))
     calm = rows.where(~at_edge).withColumn("mix_more", F.when(inside, F.col("mix_size")).otherwise(F.lit(0).cast("long")))
@@ -166,6 +175,7 @@ def materialised(docs: DataFrame, **options) -> DataFrame:
     """docs (doc_id, text, source, ...) as mixed: each row as often as it is taken whole, then once more cut to the words that are left. n_chars, if there, follows a cut."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # whole, so that no name can clash
     sized = docs.select(row, F.col("doc_id").alias("key"), F.array("source").alias("sources"), n_words("text").alias("size"))
+    sized = sized.withColumn("key", row_key(F.col("key"), F.col("row.text")))
     mixed = mix(sized, key="key", **options).withColumn("size", F.greatest("size", F.lit(1).cast("long")))
     whole = mixed.where("mix_taken >= size").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("mix_taken div size")))).select("row.*")
     rest = mixed.where("mix_taken % size > 0").withColumn("rest", F.expr("CAST(mix_taken % size AS INT)"))
@@ -181,11 +191,12 @@ def materialised(docs: DataFrame, **options) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array("source").alias("sources"), "source", n_words("text").alias("size"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array("source").alias("sources"), "source", n_words("text").alias("size"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
     docs = stored(docs, "sizes")  # the texts are read once
-    mixed = mix(docs)
-    per_source = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    taken = mixed.join(F.broadcast(per_source), mixed["source"].eqNullSafe(per_source["source"])).drop(per_source["source"])
+    mixed = mix(docs, key="key")
+    per_source = stored(docs.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    small = F.broadcast if per_source.count() <= BROADCAST_PATTERNS else (lambda df: df)
+    taken = mixed.join(small(per_source), mixed["source"].eqNullSafe(per_source["source"])).drop(per_source["source"])
     target = F.element_at("mix_targets", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     return taken.select("doc_id", "size", "source_size", target.alias("target"), F.col("mix_taken").alias("taken"))
 
@@ -193,7 +204,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '{GAP}'), lambda x: x <> '')) AS BIGINT) AS size,
-         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
 w AS (SELECT source, n, CAST([3, 1, 2][CAST(i % 3 AS INT) + 1] AS DOUBLE) AS weight FROM s),
