@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodetext.llm.shared import stored
+from lodetext.llm.shared import lean, stored
 
 FRAME, HOP, CLASSES = 1024, 400, 12
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
@@ -72,39 +72,56 @@ def fingerprint(samples: np.ndarray, rate: int) -> np.ndarray:
     return packed
 
 
+def items_of(samples: np.ndarray | None, rate: int) -> np.ndarray | None:
+    return None if samples is None else fingerprint(samples, rate).view(np.int32)
+
+
 def fingerprints(recordings: DataFrame, rate: int = 4000) -> DataFrame:
     """Per row of recordings (id long, pcm binary: mono 16-bit little-endian): id and items, array<int>, null where pcm is null or empty."""
 
     @F.pandas_udf("array<int>")
+    @lean
     def items(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pcm in batches:
-            yield pd.Series([fingerprint(np.frombuffer(x[: len(x) // 2 * 2], "<i2").astype(float) / 32768, rate).view(np.int32) if x is not None and len(x) > 1 else None for x in pcm])
+            yield pd.Series([items_of(np.frombuffer(x[: len(x) // 2 * 2], "<i2") / 32768 if x is not None and len(x) > 1 else None, rate) for x in pcm])
 
     return recordings.select("id", items("pcm").alias("items"))
 
 
+def tune(vector, rate: int, note: float) -> np.ndarray | None:
+    """16-bit samples of a vector: each number plays a note of `note` seconds, its pitch by the number in semitones of 0.02 around 440 Hz within two octaves. None for null or empty vectors; null numbers are silent."""
+    if vector is None or not len(vector):
+        return None
+    v, n = np.array([np.nan if x is None else x for x in vector], float), int(rate * note)
+    pitch = 440.0 * 2 ** (np.clip(np.nan_to_num(np.floor(v / 0.02)), -12, 12) / 12)
+    phase = np.cumsum(np.repeat(2 * np.pi * pitch / rate, n))
+    return (np.sin(phase) * np.repeat(np.where(np.isnan(v), 0.0, 0.5), n) * 32767).astype("<i2")
+
+
 def rendered(vectors: DataFrame, rate: int = 4000, note: float = 0.1) -> DataFrame:
-    """Recordings (id, pcm) of vectors (vec_id, embedding): each number plays a note of `note` seconds, its pitch by the number in semitones of 0.02 around 440 Hz within two octaves. Null or empty vectors have null pcm; null numbers are silent."""
+    """Recordings (id, pcm) of vectors (vec_id, embedding), by tune(). Null or empty vectors have null pcm."""
 
     @F.pandas_udf("binary")
+    @lean
     def play(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        n = int(rate * note)
-        for vectors in batches:
-            out = []
-            for v in vectors:
-                if v is None or not len(v):
-                    out.append(None)
-                    continue
-                v = np.array([np.nan if x is None else x for x in v], float)
-                pitch = 440.0 * 2 ** (np.clip(np.nan_to_num(np.floor(v / 0.02)), -12, 12) / 12)
-                phase = np.cumsum(np.repeat(2 * np.pi * pitch / rate, n))
-                wave = np.sin(phase) * np.repeat(np.where(np.isnan(v), 0.0, 0.5), n)
-                out.append((wave * 32767).astype("<i2").tobytes())
-            yield pd.Series(out, dtype=object)
+        for some in batches:
+            yield pd.Series([None if (x := tune(v, rate, note)) is None else x.tobytes() for v in some], dtype=object)
 
     return vectors.select(F.col("vec_id").cast("long").alias("id"), play("embedding").alias("pcm"))
 
 
+def played(vectors: DataFrame, rate: int = 4000, note: float = 0.1) -> DataFrame:
+    """fingerprints(rendered(vectors)), one recording at a time: no samples of more than one are held or moved."""
+
+    @F.pandas_udf("array<int>")
+    @lean
+    def items(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in batches:
+            yield pd.Series([items_of(None if (x := tune(v, rate, note)) is None else x / 32768, rate) for v in some])
+
+    return vectors.select(F.col("vec_id").cast("long").alias("id"), items("embedding").alias("items"))
+
+
 def align(prints: DataFrame, asks: str = "id % 50 = 0", least_votes: int = 3, max_error: float = 0.3, least_overlap: int = 8, common: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Matches of the recordings with condition `asks` among all prints (id, items): (query, found, offset, overlap, votes, bit_error) and membership.
 
@@ -130,14 +147,14 @@ def align(prints: DataFrame, asks: str = "id % 50 = 0", least_votes: int = 3, ma
     two = classes.select(F.col("class_id").alias("found"), F.col("items").alias("b"))
     pairs = best.select("query", "found", "best.*").join(one, "query").join(two, "found")
     pairs = pairs.withColumn("from", F.greatest(F.lit(0), -F.col("offset"))).withColumn("overlap", F.least(F.size("a"), F.size("b") - F.col("offset")) - F.col("from"))
-    errors = F.expr("aggregate(sequence(from, from + overlap - 1), 0L, (n, i) -> n + bit_count(a[i] ^ b[i + offset]))")
+    errors = F.expr("aggregate(sequence(from, from + overlap - 1), 0L, (n, i) -> n + bit_count((a[i] ^ b[i + offset]) & 4294967295L))")
     pairs = pairs.where(F.col("overlap") >= least_overlap).withColumn("bit_error", errors / (32.0 * F.col("overlap"))).where(F.col("bit_error") <= max_error)
     return members, pairs.select("query", "found", "offset", "overlap", "votes", "bit_error")
 
 
 def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per embeddings row, played as a recording: its class of equal fingerprints and, where vec_id is divisible by 50, the classes it aligns with."""
-    prints = stored(fingerprints(rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))), "chroma")
+    prints = stored(played(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")), "chroma")
     members, matches = align(prints)
     by_class = matches.groupBy("query").agg(F.sort_array(F.collect_list(F.struct(F.col("found").alias("class_id"), "offset", "overlap", "votes", "bit_error"))).alias("matches"))
     rows = prints.select("id").join(members, "id", "left").join(by_class, F.col("class_id") == F.col("query"), "left")
