@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -37,6 +39,8 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 LISTS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
+#: Elements of the article that are a line of text themselves.
+LINES = HEADINGS | {"p", "blockquote", "pre", "q", "b", "i", "em", "strong", "span", "code", "mark"}
 NEGATED = frozenset("no not non has have with without hide hidden is show enable enabled disable disabled".split())
 
 
@@ -49,25 +53,39 @@ def marks(token: str, whole: bool) -> bool:
 
 
 def marked(attrs: list[tuple[str, str | None]], tag: str = "div", within: bool = False) -> bool:
-    """Whether attributes say that an element isn't part of the article. article and main only by a word of its own; a header within them may hold the title."""
+    """Whether attributes say that an element isn't part of the article. article, main and single lines of text only by a word of its own; a header within them may hold the title."""
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value or ""):
             return True
         if name in ("class", "id", "role") and value:
             for token in value.split():
-                if marks(token, tag in ("article", "main")) and not (within and "header" in token.lower()):
+                if marks(token, tag in ("article", "main") or within and tag in LINES) and not (within and "header" in token.lower()):
                     return True
     return False
 
 
+@dataclass
+class Open:
+    """An open element: whether it is silent, whether by more than a form, and the block it is or stands in."""
+
+    tag: str
+    silent: bool
+    hard: bool
+    block: int
+
+
 class Lines(HTMLParser):
-    """Turns events into lines: (text, tags since the line before, containers from the outermost, silent)."""
+    """Turns events into lines: (text, tags since the line before, block, silent). Blocks are numbered in page order and know the one around them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.open: list[tuple[str, bool, tuple[int, ...]]] = []  # tag, silent, containers
-        self.kind: list[str] = []  # of each container
+        self.lines: list[tuple[str, int, int, bool]] = []
+        self.open: list[Open] = []
+        self.count: Counter[str] = Counter()  # of open elements
+        self.kind: list[str] = []  # of each block
+        self.around: list[int] = []  # the block around each, -1 for none
+        self.hushed: list[bool] = []  # whether each is silent
+        self.within: list[bool] = []  # whether each is an article or main or in one
         self.held: list[str] = []
         self.tags = 0
 
@@ -75,35 +93,33 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.held).split())
         self.held.clear()
         if text:
-            _, silent, inside = self.open[-1] if self.open else ("", False, ())
-            self.lines.append((text, self.tags, inside, silent))
+            last = self.open[-1] if self.open else OUTSIDE
+            self.lines.append((text, self.tags, last.block, last.silent))
             self.tags = 0
 
     def pop_to(self, i: int):
         self.end_line()
+        self.count.subtract(x.tag for x in self.open[i:])
         del self.open[i:]
 
     def implied(self, tag: str):
         """End tags that a start tag implies."""
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and self.count["p"]:
             for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] == "p":
+                if self.open[i].tag == "p":
                     self.pop_to(i)
                     break
-                if self.open[i][0] in BLOCK:
+                if self.open[i].tag in BLOCK:
                     break
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(self.count[t] for t in SIBLINGS[tag]):
             for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] in SIBLINGS[tag]:
+                if self.open[i].tag in SIBLINGS[tag]:
                     self.pop_to(i)
                     break
-                if self.open[i][0] in LISTS[tag]:
-                    break
-        if tag in ("main", "article", "body"):  # none stands in these; they were left open
-            for i, (t, _, _) in enumerate(self.open):
-                if t in ("head", "nav", "title"):
-                    self.pop_to(i)
+                if self.open[i].tag in LISTS[tag]:
                     break
+        if tag in ("main", "article", "body") and self.count["head"] + self.count["nav"] + self.count["title"] > 0:  # none stands in these; they were left open
+            self.pop_to(next(i for i, x in enumerate(self.open) if x.tag in ("head", "nav", "title")))
 
     def handle_starttag(self, tag, attrs):
         self.implied(tag)
@@ -114,16 +130,22 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, silent, inside = self.open[-1] if self.open else ("", False, ())
-        within = any(self.kind[c] in ("article", "main") for c in inside)
-        if tag in ("article", "main") and silent and all(t in ("form", tag) or not s for t, s, _ in self.open):
+        last = self.open[-1] if self.open else OUTSIDE
+        silent, block = last.silent, last.block
+        within = block >= 0 and self.within[block]
+        if tag in ("article", "main") and silent and not last.hard:
             silent = False  # a form around the whole page
         role = dict(attrs).get("role") or ""
-        silent = silent and not (within and tag in HEADINGS and self.open[-1][0] == "header") or tag in SILENT or tag == "header" or (tag not in ("html", "body") and marked(attrs, tag, within))
+        title = within and tag in HEADINGS and last.tag == "header"
+        silent = silent and not title or tag in SILENT or tag == "header" or (tag not in ("html", "body") and marked(attrs, tag, within))
         if tag in BLOCK:
             self.kind.append("main" if role == "main" else tag)
-            inside = (*inside, len(self.kind) - 1)
-        self.open.append((tag, silent, inside))
+            self.around.append(block)
+            self.hushed.append(silent)
+            self.within.append(within or self.kind[-1] in ("article", "main"))
+            block = len(self.kind) - 1
+        self.open.append(Open(tag, silent, last.hard or silent and tag != "form", block))
+        self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -134,27 +156,39 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.end_line()
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.pop_to(i) if tag in BLOCK else self.open.pop(i) if i == len(self.open) - 1 else self.drop(i)
+            if self.open[i].tag == tag:
+                if tag in BLOCK:
+                    self.pop_to(i)
+                else:
+                    self.drop(i)
                 break
-            if tag not in BLOCK and self.open[i][0] in BLOCK:
+            if tag not in BLOCK and self.open[i].tag in BLOCK:
                 break
 
     def drop(self, i: int):
-        """Ends an inline element below others that stay open."""
-        _, silent, _ = self.open.pop(i)
-        if silent:  # what it made silent speaks again
+        """Ends an inline element, maybe below others that stay open."""
+        gone = self.open.pop(i)
+        self.count[gone.tag] -= 1
+        if gone.silent:  # what it made silent speaks again
             for k in range(i, len(self.open)):
-                tag, _, inside = self.open[k]
-                self.open[k] = (tag, tag in SILENT or bool(k and self.open[k - 1][1]), inside)
+                now = self.open[k]
+                now.silent = now.tag in SILENT or bool(k and self.open[k - 1].silent)
+                if now.tag in BLOCK:
+                    self.hushed[now.block] = now.silent
 
     def handle_data(self, data):
-        if self.open and self.open[-1][1] and not next((silent for tag, silent, _ in reversed(self.open) if tag in BLOCK), False):
+        last = self.open[-1] if self.open else OUTSIDE
+        if last.silent and not (last.block >= 0 and self.hushed[last.block]):
             return  # a silent element amid a line that isn't
         self.held.append(data)
 
 
+OUTSIDE = Open("", False, False, -1)
+
+
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     """Ratios under a Gaussian kernel; at the ends by the weights that fall on lines."""
     reach = max(1, int(np.ceil(2 * sigma)))
@@ -163,12 +197,13 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return full(ratios) / full(np.ones(len(ratios)))
 
 
-def main_text(html: str | None, sigma: float = 1.0) -> str:
+def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
     """The article's blocks, joined by line feeds; '' for none.
 
     Lines of text get the ratio of characters to tags, 0 in silent elements. Smoothed ratios at or above their standard deviation are the content
-    cluster. Its region is the article or main element (else any element, then the page) with most of the cluster's characters; every
-    line in the region that isn't silent is the text, however short.
+    cluster. Its regions are the outermost article elements, else main elements, that hold at least `share` of the characters the richest holds of the cluster,
+    else the innermost element with nearly all of the cluster, else the page. Every line in a region that isn't silent is text, however short.
+    Work and memory grow with the page, whatever its depth.
     """
     if not html:
         return ""
@@ -176,30 +211,38 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines, kind, around = parser.lines, parser.kind, parser.around
     if not lines:
         return ""
     ratios = np.array([0.0 if silent else len(text) / max(1, tags) for text, tags, _, silent in lines])
     even = smoothed(ratios, sigma)
     content = [i for i in range(len(lines)) if even[i] >= even.std() and not lines[i][3]] or [i for i in range(len(lines)) if not lines[i][3]]
-    mass: dict[int, int] = {}
+    mass = [0] * len(kind)
     for i in content:
-        for c in lines[i][2]:
-            mass[c] = mass.get(c, 0) + len(lines[i][0])
+        if lines[i][2] >= 0:
+            mass[lines[i][2]] += len(lines[i][0])
+    for b in range(len(kind) - 1, -1, -1):  # a block comes after the one around it
+        if around[b] >= 0:
+            mass[around[b]] += mass[b]
     total = sum(len(lines[i][0]) for i in content)
-    region = None
-    for kinds in (("article",), ("main",)):
-        named = [c for c in mass if parser.kind[c] in kinds]
-        if named:
-            region = max(named, key=lambda c: (mass[c], -c))  # of nested ones with the same mass the outer
+    regions: set[int] = set()
+    for name in ("article", "main"):
+        inside, outer = [False] * len(kind), []
+        for b, k in enumerate(kind):
+            inside[b] = k == name or around[b] >= 0 and inside[around[b]]
+            if k == name and mass[b] and not (around[b] >= 0 and inside[around[b]]):
+                outer.append(b)
+        if outer:
+            most = max(mass[b] for b in outer)
+            regions = {b for b in outer if mass[b] >= share * most}
             break
-    if region is None:  # the innermost element that still has nearly all of the cluster
-        most = [c for c in mass if mass[c] >= 0.9 * total]
-        region = max(most) if most else None
-        if region is not None and parser.kind[region] in ("p", "li", "td", "blockquote", "pre"):
-            outer = [c for c in most if c < region and parser.kind[c] not in ("p", "li", "td", "blockquote", "pre")]
-            region = max(outer) if outer else None
-    return "\n".join(text for text, _, inside, silent in lines if not silent and (region is None or region in inside))
+    if not regions and total:
+        wide = [b for b, m in enumerate(mass) if m >= 0.9 * total and kind[b] not in ("p", "li", "td", "blockquote", "pre")]
+        regions = {max(wide)} if wide else set()
+    inside = [False] * len(kind)
+    for b in range(len(kind)):
+        inside[b] = b in regions or around[b] >= 0 and inside[around[b]]
+    return "\n".join(text for text, _, b, silent in lines if not silent and (not regions or b >= 0 and inside[b]))
 
 
 def text_column(html: str, sigma: float = 1.0) -> Column:

@@ -410,6 +410,56 @@ def test_pages_without_article():
     assert html_text.main_text(page).split("\n")[0] == "Head" and "Short." in html_text.main_text(page) and "f" not in html_text.main_text(page).split("\n")
 
 
+def test_several_articles_and_class_words():
+    long = "A long paragraph of running text that says something about one thing or another, in some detail."
+    page = f'<body><nav><a>m</a></nav><article><h2>One</h2><p>{long}</p><p class="search-results-study">Study.</p></article><div class="ad">Buy</div><article><h2>Two</h2><p class="notice-board">{long}</p><div class="related-posts"><p>{long}</p></div></article><article class="card"><p>Teaser</p></article></body>'
+    assert html_text.main_text(page) == f"One\n{long}\nStudy.\nTwo\n{long}"
+
+
+def test_pages_of_any_depth():
+    import time
+    import tracemalloc
+
+    for tag, end in (("div", ""), ("article", ""), ("b", ""), ("button", "x"), ("li", "y"), ("p", "z")):
+        page = f"<body><article><p>Some text of the article.</p></article>{f'<{tag}>{end}' * 40_000}" + "</section>" * 20_000
+        began = time.process_time()
+        tracemalloc.start()
+        assert "Some text of the article." in html_text.main_text(page)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert time.process_time() - began < 20 and most < 150e6, tag
+
+
+#: What stands on a page, and whether it is of the article; the pages are dealt from these.
+PIECES = [
+    ("<header><h1>Site name</h1></header>", None), ("<nav><ul><li><a>Home</a><li><a>News</a></ul></nav>", None), ('<div class="cookie-notice"><p>We use cookies here.</p></div>', None),
+    ('<div class="ad">Buy this thing now, it is cheap.</div>', None), ('<form action="/s"><label>Search</label><input><button>Go</button></form>', None), ("<script>var a = '<p>no</p>';</script>", None),
+    ("<aside><h3>Read next</h3><p>Other stories that people like to read these days.</p></aside>", None), ("<footer><p>&copy; 2020 All rights reserved by the owner of this site.</p></footer>", None),
+    ('<section id="comments"><h3>Comments</h3><p>Great read, thanks a lot for writing all of this down.</p></section>', None), ("<style>p { margin: 0 }</style>", None),
+    ("<h1>Title &amp; sub</h1>", "Title & sub"), ("<p>First paragraph of the\n article, with <b>bold</b> and <a href='x'>linked</a> words in it.</p>", "First paragraph of the article, with bold and linked words in it."),
+    ("<p>Short.</p>", "Short."), ("<ul><li>one item<li>another item</ul>", "one item\nanother item"), ("<blockquote>Quoted text of some length stands here, as said.</blockquote>", "Quoted text of some length stands here, as said."),
+    ("<p>Last paragraph that ends the article with a few more words &eacute;.", "Last paragraph that ends the article with a few more words é."), ("<pre>code  line\n two</pre>", "code line two"),
+]
+
+
+def test_precision_and_recall_on_labelled_pages():
+    rng = np.random.default_rng(9)
+    right, got_all, want_all = 0, 0, 0
+    noise, text = [p for p in PIECES if p[1] is None], [p for p in PIECES if p[1] is not None]
+    for k in range(120):
+        body = [text[i] for i in sorted(rng.choice(len(text), rng.integers(3, len(text)), replace=False))] * int(rng.integers(1, 4))
+        inside = [p[0] for p in body]
+        for i in rng.choice(len(noise), 2, replace=False):
+            if "header" not in noise[i][0]:
+                inside.insert(int(rng.integers(0, len(inside) + 1)), noise[i][0])
+        wrap = [("<article>", "</article>"), ("<main>", "</main>"), ('<div id="content">', "</div>")][k % 3]
+        outside = [noise[i][0] for i in rng.permutation(len(noise))]
+        page = "<html><body>" + "".join(outside[:5]) + wrap[0] + "".join(inside) + wrap[1] + "".join(outside[5:]) + "</body></html>"
+        want, got = Counter("\n".join(p[1] for p in body).split("\n")), Counter(html_text.main_text(page).split("\n"))
+        right, got_all, want_all = right + sum((want & got).values()), got_all + sum(got.values()), want_all + sum(want.values())
+    assert right >= 0.99 * got_all and right >= 0.99 * want_all, (right, got_all, want_all)
+
+
 def test_marks_of_other_elements():
     page = '<body class="has-sidebar"><div class="no-sidebar"><article class="post has-comments"><div class="entry-header"><h1>Name</h1></div><p>Some long text of the article that runs on.</p></article></div><aside>s</aside><div class="siteNav"><p>x</p></div></body>'
     assert html_text.main_text(page) == "Name\nSome long text of the article that runs on."
@@ -620,6 +670,32 @@ def test_op1(spark, tmp_path):
     assert audio.align(audio.fingerprints(audio.rendered(vectors.limit(0))))[0].count() == 0
 
 
+def test_alignment_against_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    base = [rng.normal(0, 0.2, 64) for _ in range(60)]
+    rows = list(base)
+    for i in range(60):  # parts of others, moved and with some numbers altered
+        part = np.concatenate([rng.normal(0, 0.2, i % 20), base[i][: 64 - i % 20]])
+        part[rng.choice(64, i % 6, replace=False)] += 0.1
+        rows.append(part)
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    prints = {r["id"]: np.array(r["items"], np.int32) for r in audio.played(vectors).collect()}
+    assert {r["id"]: r["items"] for r in audio.fingerprints(audio.rendered(vectors)).collect()} == {i: x.tolist() for i, x in prints.items()}
+    want = set()
+    for q in range(0, 120, 5):
+        for f in range(120):
+            a, b = prints[q], prints[f]
+            if f != q and prints[q].tolist() != prints[f].tolist():  # equal ones are a class
+                for offset in range(8 - len(a), len(b) - 7):
+                    lo, n = max(0, -offset), min(len(a), len(b) - offset) - max(0, -offset)
+                    if n >= 20 and np.bitwise_count(a[lo : lo + n].view(np.uint32) ^ b[lo + offset : lo + offset + n].view(np.uint32)).sum() <= 0.15 * 32 * n:
+                        want.add((q, f))
+    assert len(want) >= 15
+    for common in (0, 5, 1000):
+        got = {(r["query"], r["found"]) for r in audio.align(spark.createDataFrame([(i, x.tolist()) for i, x in prints.items()], "id long, items array<int>"), "id % 5 = 0", common=common)[1].collect()}
+        assert len(want & got) >= 0.9 * len(want), sorted(want - got)
+
+
 def test_frequent_integers_vote(spark):
     rng = np.random.default_rng(8)
     shared = rng.integers(0, 2**31, 4).tolist()  # met by all classes, and all that 0 and 1 share
