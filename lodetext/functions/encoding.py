@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,10 +45,45 @@ def unvbyte(data: bytes) -> list[int]:
     return out
 
 
+def flat_lists(batch: pd.Series, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a batch of lists, and how many each list has; null lists have none."""
+    lists = [np.zeros(0, kind) if x is None else np.asarray(x, kind) for x in batch]
+    return (np.concatenate(lists) if lists else np.zeros(0, kind)), np.array([len(x) for x in lists], np.int64)
+
+
+def coded(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of non-negative numbers, one after the other, and how many each takes."""
+    if len(numbers) and numbers.min() < 0:
+        raise ValueError("negative")
+    sizes = np.ones(len(numbers), np.int64)
+    for j in range(1, 9):
+        sizes += numbers >= 1 << 7 * j
+    ends, out = np.cumsum(sizes), np.zeros(int(sizes.sum()), np.uint8)
+    for j in range(int(sizes.max(initial=0))):
+        has = sizes > j
+        out[ends[has] - 1 - j] = numbers[has] >> 7 * j & 127 | (128 if j else 0)
+    return out, sizes
+
+
+def uncoded(data: np.ndarray) -> np.ndarray:
+    """The numbers in bytes that coded() made."""
+    ends = np.flatnonzero(data < 128)
+    sizes, out = np.diff(ends, prepend=-1), np.zeros(len(ends), np.int64)
+    for j in range(int(sizes.max(initial=0))):
+        has = sizes > j
+        out[has] |= (data[ends[has] - j].astype(np.int64) & 127) << 7 * j
+    return out
+
+
 def vbyte_encode(values: Column) -> Column:
+    """vbyte() of lists of numbers below 2^63; a batch at once."""
+
     @F.pandas_udf("binary")
     def encoded(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda x: None if x is None else vbyte(int(i) for i in x))
+        numbers, held = flat_lists(batch, np.int64)
+        data, sizes = coded(numbers)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(held)])]
+        return pd.Series([None if x is None else data[a:b].tobytes() for x, a, b in zip(batch, cuts[:-1], cuts[1:], strict=True)], dtype=object)
 
     return encoded(values)
 
@@ -55,7 +91,10 @@ def vbyte_encode(values: Column) -> Column:
 def vbyte_decode(data: Column) -> Column:
     @F.pandas_udf("array<long>")
     def decoded(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda x: None if x is None else unvbyte(x))
+        every = np.frombuffer(b"".join(x for x in batch if x is not None), np.uint8)
+        numbers, before = uncoded(every), np.concatenate([[0], np.cumsum(every < 128)])
+        cuts = before[np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in batch])]).astype(int)]
+        return pd.Series([None if x is None else numbers[a:b] for x, a, b in zip(batch, cuts[:-1], cuts[1:], strict=True)], dtype=object)
 
     return decoded(data)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,6 +71,21 @@ def tokens(text: Column, config: AnalyzerConfig = PLAIN) -> Column:
     return found
 
 
+def analyzed_here(text: str, config: AnalyzerConfig = PLAIN) -> list[str]:
+    """tokens() and stemming of an ASCII text without Spark."""
+    if not text.isascii():
+        raise ValueError("ASCII texts only")
+    text = text.lower() if config.lowercase else text
+    if config.split_on_punctuation or config.remove_punctuation:
+        text = re.sub(PUNCTUATION, " " if config.split_on_punctuation else "", text)
+    if config.contractions:
+        for short, full in CONTRACTIONS.items():
+            text = re.sub(rf"(?<![^\s]){short}(?![^\s])", full, text, flags=re.ASCII)
+    stops = set(config.stop_words)
+    found = [t for t in re.split(r"\s+", text, flags=re.ASCII) if config.min_length <= len(t) <= config.max_length and t not in stops]
+    return [stem(t) for t in found] if config.stemming else found
+
+
 def joined(found: Column) -> Column:
     """Tokens as text."""
     return F.array_join(found, " ")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodetext.functions.text import PLAIN, AnalyzerConfig, token_table
+from lodetext.functions.encoding import gap_decode, gap_encode, vbyte_decode, vbyte_encode
+from lodetext.functions.text import PLAIN, AnalyzerConfig, token_table, tokens
 
 
 def postings(docs: DataFrame, config: AnalyzerConfig = PLAIN, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -24,6 +28,17 @@ def doc_table(posted: DataFrame) -> DataFrame:
     return posted.groupBy("doc_id").agg(F.max("dl").alias("dl"))
 
 
+def doc_lengths(docs: DataFrame, config: AnalyzerConfig = PLAIN, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_table() from the documents themselves: a row each is shuffled, not their postings."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.size(tokens(F.col(text), config)).alias("dl")).where("dl > 0")
+    return rows.groupBy("doc_id").agg(F.max("dl").alias("dl"))
+
+
+def length_stats(lengths: DataFrame) -> DataFrame:
+    """stats() of a table (doc_id, dl)."""
+    return lengths.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_terms"), F.avg("dl").alias("avgdl"))
+
+
 def terms(posted: DataFrame) -> DataFrame:
     """(term, df, cf, max_tf)."""
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
@@ -31,7 +46,7 @@ def terms(posted: DataFrame) -> DataFrame:
 
 def stats(posted: DataFrame) -> DataFrame:
     """One row: n_docs, total_terms, avgdl. Every document has a posting of its first token, so documents need no shuffle of their own."""
-    return doc_table(posted).agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_terms"), F.avg("dl").alias("avgdl"))
+    return length_stats(doc_table(posted))
 
 
 def index_stats(posted: DataFrame) -> DataFrame:
@@ -57,23 +72,46 @@ def updated(posted: DataFrame, add: DataFrame | None = None, remove: DataFrame |
     return posted if add is None else posted.unionByName(postings(add, config))
 
 
-def save(posted: DataFrame, path: str, buckets: int = 64) -> None:
-    """Writes postings by hash bucket of the term, sorted, so that lookups prune folders and row groups."""
-    rows = posted.withColumn("tb", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartition("tb").sortWithinPartitions("tb", "term", "doc_id").write.mode("overwrite").partitionBy("tb").parquet(path)
+def bucket_of(df: DataFrame) -> tuple[str, int] | None:
+    """The partition column of a saved table and its number of buckets, which is in its name: no reader can take another one."""
+    found = [(c, int(m[1])) for c in df.columns if (m := re.fullmatch(r"tb_of_(\d+)", c))]
+    return found[0] if found else None
 
 
-def load(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def unbucketed(df: DataFrame) -> DataFrame:
+    found = bucket_of(df)
+    return df.drop(found[0]) if found else df
+
+
+def save(rows: DataFrame, path: str, buckets: int = 64, codec: str | None = None, coded: bool = False, order: str = "doc_id") -> None:
+    """Writes postings, or any table with a term, by hash bucket of the term, sorted, so that lookups prune folders and row groups.
 
+    Tasks follow the size of the data, not the number of buckets: small buckets share one, and a bucket with a hot term is split. codec: of Parquet; coded:
+    positions as variable bytes of their gaps.
+    """
+    rows = unbucketed(rows)
+    name = f"tb_of_{buckets}"
+    if coded:
+        rows = rows.withColumn("positions", vbyte_encode(gap_encode(F.col("positions")))).withColumnRenamed("positions", "coded")
+    rows = rows.withColumn(name, F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).hint("rebalance", name)
+    writer = rows.sortWithinPartitions(name, "term", *[order] * (order in rows.columns)).write.mode("overwrite").partitionBy(name)
+    (writer.option("compression", codec) if codec else writer).parquet(path)
 
-def lookup(posted: DataFrame, wanted: list[str], buckets: int = 64) -> DataFrame:
-    """Postings of the wanted terms; in a saved index only their buckets are read."""
-    found = posted.where(F.col("term").isin(wanted))
-    if "tb" in posted.columns:
-        spark = posted.sparkSession
-        tb = [r[0] for r in spark.createDataFrame([(w,) for w in wanted], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()] if wanted else []
-        found = found.where(F.col("tb").isin(tb))
+
+def load(spark, path: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    if "coded" in rows.columns:
+        rows = rows.withColumn("positions", gap_decode(vbyte_decode(F.col("coded"))).cast("array<int>")).drop("coded")
+    return rows
+
+
+def lookup(rows: DataFrame, wanted: list[str]) -> DataFrame:
+    """Rows of the wanted terms; in a saved table only their buckets are read. Buckets are found on the driver, without a job."""
+    found, bucket = rows.where(F.col("term").isin(wanted)), bucket_of(rows)
+    if bucket:
+        name, n = bucket
+        hashes = {xxhash.xxh64_intdigest(w.encode(), 42) for w in wanted}  # as Spark's xxhash64
+        found = found.where(F.col(name).isin(sorted({(h - (1 << 64) if h >> 63 else h) % n for h in hashes})))
     return found
 
 

@@ -39,19 +39,24 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
 
 
-def term_parts(posted: DataFrame, wanted: DataFrame, scorer: str = "bm25", stats: DataFrame | None = None) -> DataFrame:
+def term_parts(posted: DataFrame, wanted: DataFrame, scorer: str = "bm25", stats: DataFrame | dict | None = None, terms: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, term, weight, part, bound): the part of each query term in each document that has it. Terms unknown to the index give no rows.
 
-    The workload restricts the postings before anything is counted; df comes from what is left. stats is the collection's one row of n_docs and
-    avgdl; without it, one aggregation over documents gives it, and posted must hold the whole collection.
+    The workload restricts the postings before anything is counted. terms: a table (term, df, max_tf) of the workload's terms; without it they are counted from
+    the postings that are left. stats is the collection's n_docs and avgdl, as one row or as numbers; without it, one aggregation over documents gives it, and
+    posted must hold the whole collection.
     """
     part, bound = SCORERS[scorer]
-    needed = posted.join(wanted.select("term").distinct(), "term", "left_semi")
-    of_terms = needed.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"))
-    rows = needed.join(of_terms, "term")
-    if scorer == "bm25":
+    if terms is None:
+        needed = posted.join(wanted.select("term").distinct(), "term", "left_semi")
+        rows = needed.join(needed.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf")), "term").join(wanted, "term")
+    else:
+        rows = posted.join(F.broadcast(terms.select("term", "df", "max_tf").join(F.broadcast(wanted), "term")), "term")  # rows of the workload
+    if isinstance(stats, dict):
+        rows = rows.withColumns({c: F.lit(float(stats[c])) for c in ("n_docs", "avgdl")})
+    elif scorer == "bm25":
         rows = rows.crossJoin(F.broadcast(collection_stats(posted) if stats is None else stats))  # one row
-    return rows.join(wanted, "term").select("query_id", "doc_id", "term", "weight", part().alias("part"), bound().alias("bound"))
+    return rows.select("query_id", "doc_id", "term", "weight", part().alias("part"), bound().alias("bound"))
 
 
 def scores(parts: DataFrame) -> DataFrame:
@@ -77,16 +82,19 @@ def bounds(parts: DataFrame) -> DataFrame:
     return each.groupBy("query_id").agg(F.sum("bound").alias("bound_sum"), F.sum("weight").alias("n_terms"))
 
 
-def ranked_term_threshold(posted: DataFrame, queries: DataFrame, threshold: float, k: int = 10, scorer: str = "bm25", digits: int | None = None, stats: DataFrame | None = None) -> DataFrame:
+def term_threshold(parts: DataFrame, threshold: float) -> DataFrame:
+    """Parts above threshold * bound_sum / n_terms."""
+    return parts.join(bounds(parts), "query_id").where(C("part") > threshold * C("bound_sum") / C("n_terms"))
+
+
+def ranked_term_threshold(posted: DataFrame, queries: DataFrame, threshold: float, k: int = 10, scorer: str = "bm25", digits: int | None = None, stats: DataFrame | dict | None = None) -> DataFrame:
     """A term's part counts only where above threshold * bound_sum / n_terms."""
-    parts = term_parts(posted, query_terms(queries), scorer, stats)
-    parts = parts.join(bounds(parts), "query_id").where(C("part") > threshold * C("bound_sum") / C("n_terms"))
-    return top_k(scores(parts), k, digits)
+    return top_k(scores(term_threshold(term_parts(posted, query_terms(queries), scorer, stats), threshold)), k, digits)
 
 
-def ranked_doc_threshold(posted: DataFrame, queries: DataFrame, threshold: float, k: int = 10, scorer: str = "bm25", digits: int | None = None) -> DataFrame:
+def ranked_doc_threshold(posted: DataFrame, queries: DataFrame, threshold: float, k: int = 10, scorer: str = "bm25", digits: int | None = None, stats: DataFrame | dict | None = None) -> DataFrame:
     """A document stays only with a score of at least threshold * bound_sum."""
-    parts = term_parts(posted, query_terms(queries), scorer)
+    parts = term_parts(posted, query_terms(queries), scorer, stats)
     kept = scores(parts).join(bounds(parts), "query_id").where(C("score") >= threshold * C("bound_sum"))
     return top_k(kept.select("query_id", "doc_id", "score"), k, digits)
 
@@ -115,8 +123,8 @@ def total_hits(scored: DataFrame) -> DataFrame:
     return scored.groupBy("query_id").agg(F.count("*").alias("total_hits"), F.max("score").alias("max_score"))
 
 
-def best_fields(fields: dict[str, tuple[DataFrame, float]], queries: DataFrame, k: int = 10, digits: int | None = None) -> DataFrame:
-    """Multi-field search: per document the largest of its fields' boosted scores. fields: name to (postings, boost)."""
+def field_scores(fields: dict[str, tuple[DataFrame, float]], queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score): per document the largest of its fields' boosted scores. fields: name to (postings, boost)."""
     wanted = query_terms(queries)
     every = None
     for posted, boost in fields.values():
@@ -126,4 +134,14 @@ def best_fields(fields: dict[str, tuple[DataFrame, float]], queries: DataFrame,
         part = server_bm25(C("tf"), C("df"), C("dl"), C("n_docs"), C("avgdl"))
         one = rows.groupBy("query_id", "doc_id").agg((boost * F.sum(part * C("weight"))).alias("score"))
         every = one if every is None else every.unionByName(one)
-    return top_k(every.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k, digits)
+    return every.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+
+
+def best_fields(fields: dict[str, tuple[DataFrame, float]], queries: DataFrame, k: int = 10, digits: int | None = None) -> DataFrame:
+    """Multi-field search: the k best by field_scores."""
+    return top_k(field_scores(fields, queries), k, digits)
+
+
+def enriched(scored: DataFrame, meta: DataFrame, k: int) -> DataFrame:
+    """The k best with the columns of meta (doc_id, ...); documents without metadata are out before ranks are given."""
+    return top_k(scored.join(meta.select("doc_id"), "doc_id", "left_semi"), k).join(meta, "doc_id")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from dataclasses import asdict, dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodetext.functions.text import ENGLISH, AnalyzerConfig, stemmed, tokens
+from lodetext.functions.stemmer import stem
+from lodetext.functions.text import ENGLISH, AnalyzerConfig, analyzed_here, tokens
 from lodetext.operators import index as ix
 from lodetext.operators import ranking
 from lodetext.plans import ast
@@ -27,51 +30,85 @@ class EngineConfig:
             raise ValueError(f"unknown scorer {self.scorer}")
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """A small table that lies in the plan; no job makes it."""
+    columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
+    return spark.createDataFrame(pa.table([pa.array(list(c), kind) for c, (_, kind) in zip(columns, schema, strict=True)], names=[name for name, _ in schema]))
+
+
 class SearchEngine:
-    """Postings with positions, the documents' lengths and a configuration."""
+    """Postings with positions, the documents' lengths and a configuration; of a saved index also its term table and its statistics."""
 
-    def __init__(self, posted: DataFrame, config: EngineConfig = EngineConfig(), docs: DataFrame | None = None):
+    def __init__(self, posted: DataFrame, config: EngineConfig = EngineConfig(), docs: DataFrame | None = None, terms: DataFrame | None = None, told: dict | None = None):
         self.posted, self.config, self.spark = posted, config, posted.sparkSession
         self.docs = ix.doc_table(posted) if docs is None else docs
+        self.terms, self.told = terms, told
 
     @classmethod
     def build(cls, docs: DataFrame, config: EngineConfig = EngineConfig(), text: str = "text", doc_id: str = "doc_id") -> SearchEngine:
         """From documents; those without tokens aren't part of the collection."""
-        return cls(ix.postings(docs, config.analyzer, text, doc_id), config)
-
-    def save(self, path: str) -> None:
-        """Postings by term bucket, documents and configuration, each beside the other."""
-        ix.save(self.posted.drop("tb"), path)
-        ix.doc_table(ix.load(self.spark, path)).write.mode("overwrite").parquet(f"{path}_docs")
-        self.spark.createDataFrame([(json.dumps(asdict(self.config)),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}_config")
+        return cls(ix.postings(docs, config.analyzer, text, doc_id), config, ix.doc_lengths(docs, config.analyzer, text, doc_id))
+
+    def save(self, path: str, buckets: int = 64, codec: str | None = None, coded: bool = False) -> dict:
+        """Postings and terms by term bucket, documents, configuration and statistics, each beside the other; returns the statistics."""
+        ix.save(self.posted, path, buckets, codec, coded)
+        self.docs.write.mode("overwrite").parquet(f"{path}_docs")
+        saved = self.spark.read.parquet(path).drop("positions", "coded")
+        ix.save(ix.terms(saved), f"{path}_terms", buckets, codec)
+        of_docs, of_terms = (self.spark.read.parquet(f"{path}_{x}") for x in ("docs", "terms"))
+        a = ix.length_stats(of_docs).first()
+        b = of_terms.agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("cf"), F.lit(0)).alias("n_tokens"), F.avg("df").alias("avg_postings_length")).first()
+        told = {"n_docs": a["n_docs"], "avgdl": a["avgdl"] or 0.0, "avg_doc_length": a["avgdl"], **b.asDict()}
+        self.spark.createDataFrame([(json.dumps({**asdict(self.config), "stats": told}),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}_config")
+        return told
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SearchEngine:
         told = json.loads(spark.read.text(f"{path}_config").first()[0])
-        analyzer = told.pop("analyzer")
+        analyzer, stats = told.pop("analyzer"), told.pop("stats")
         analyzer["stop_words"] = tuple(analyzer["stop_words"])
-        return cls(ix.load(spark, path), EngineConfig(analyzer=AnalyzerConfig(**analyzer), **told), spark.read.parquet(f"{path}_docs"))
+        read = spark.read.parquet
+        return cls(ix.load(spark, path), EngineConfig(analyzer=AnalyzerConfig(**analyzer), **told), read(f"{path}_docs"), read(f"{path}_terms"), stats)
 
     def update(self, add: DataFrame | None = None, remove: DataFrame | None = None) -> SearchEngine:
-        return SearchEngine(ix.updated(self.posted.drop("tb"), add, remove, self.config.analyzer), self.config)
+        return SearchEngine(ix.updated(ix.unbucketed(self.posted), add, remove, self.config.analyzer), self.config)
 
     def files(self) -> DataFrame:
         return self.docs
 
+    def length(self, doc_id) -> int | None:
+        """Tokens of a document; None for one that isn't in the collection."""
+        row = self.docs.where(F.col("doc_id") == F.lit(doc_id)).first()
+        return row["dl"] if row else None
+
+    def count(self) -> int:
+        return self.told["n_docs"] if self.told else self.docs.count()
+
+    def postings_of(self, term: str) -> DataFrame:
+        """(doc_id, tf, positions) of a term, with its df and total_tf."""
+        rows = ix.lookup(self.posted, [term])
+        return rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf")))).select("doc_id", "tf", "positions", "df", "total_tf")  # one row
+
     def stats(self) -> DataFrame:
+        if self.told:
+            names = ("n_docs", "avg_doc_length", "n_terms", "n_tokens", "avg_postings_length")
+            return local(self.spark, [tuple(self.told[c] for c in names)], [(c, pa.float64() if c.startswith("avg") else pa.int64()) for c in names])
         return ix.index_stats(self.posted)
 
     def analyzed(self, texts: list[str]) -> list[list[str]]:
-        """Texts of a workload through the index's own analyzer."""
-        rows = self.spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tokens(F.col("t"), self.config.analyzer).alias("toks"))
-        if self.config.analyzer.stemming:
-            rows = rows.select("i", F.posexplode_outer("toks").alias("pos", "t")).withColumn("t", stemmed("t")).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("x")).select("i", F.expr("filter(transform(x, y -> y.t), t -> t IS NOT NULL)").alias("toks"))
-        return [r["toks"] for r in sorted(rows.collect(), key=lambda r: r["i"])]  # as many rows as the workload has leaves
+        """Texts of a workload through the index's own analyzer: ASCII ones on the driver, others by a job."""
+        found = {t: analyzed_here(t, self.config.analyzer) for t in set(texts) if t.isascii()}
+        rest = [t for t in dict.fromkeys(texts) if t not in found]
+        if rest:
+            rows = self.spark.createDataFrame(list(enumerate(rest)), "i int, t string").select("i", tokens(F.col("t"), self.config.analyzer).alias("toks"))
+            stems = stem if self.config.analyzer.stemming else str
+            found |= {rest[r["i"]]: [stems(x) for x in r["toks"]] for r in rows.collect()}  # as many rows as the workload has leaves
+        return [found[t] for t in texts]
 
     def leaf_hits(self, named: list[list[str]]) -> DataFrame:
         """(leaf, doc_id) of leaves given as their terms: one term, or a phrase of several. Each term of the workload is read once."""
         rows = [(i, k, t, len(ts)) for i, ts in enumerate(named) for k, t in enumerate(ts)]
-        wanted = self.spark.createDataFrame(rows, "leaf int, idx int, term string, n int")
+        wanted = local(self.spark, rows, [("leaf", pa.int32()), ("idx", pa.int32()), ("term", pa.string()), ("n", pa.int32())])
         met = ix.lookup(self.posted, sorted({r[2] for r in rows})).join(F.broadcast(wanted), "term")  # the workload's terms
         single = met.where("n = 1").select("leaf", "doc_id")
         starts = met.where("n > 1").select("leaf", "doc_id", "idx", "n", F.explode("positions").alias("pos")).groupBy("leaf", "doc_id", "n", (F.col("pos") - F.col("idx")).alias("start"))
@@ -100,7 +137,7 @@ class SearchEngine:
         if not pairs:
             return self.posted.select(F.lit(0).alias("query_id"), "doc_id").limit(0)
         hits = self.leaf_hits([named[x] for x in number])
-        uses = self.spark.createDataFrame([(i, number[x]) for i, t in pairs for x in ast.leaves(t)], "query_id int, leaf int")
+        uses = local(self.spark, [(i, number[x]) for i, t in pairs for x in ast.leaves(t)], [("query_id", pa.int32()), ("leaf", pa.int32())])
         held = hits.join(F.broadcast(uses), "leaf").groupBy("query_id", "doc_id").agg(F.collect_set("leaf").alias("h"))
         empty = [i for i, t in pairs if ast.holds(t, set())]
         if empty:
@@ -110,28 +147,40 @@ class SearchEngine:
         tests = " ".join(f"WHEN {i} THEN {ast.condition(t, lambda x: f'array_contains(h, {number[x]})')}" for i, t in pairs)
         return held.where(F.expr(f"CASE query_id {tests} END")).select("query_id", "doc_id")
 
-    def search(self, queries: list[str], k: int | None = None, threshold: float | None = None) -> DataFrame:
-        """(query_id, rank, doc_id, score): terms and bags ranked by the scorer, boolean and phrase queries with score 1 by doc_id."""
-        k = self.config.max_results if k is None else k
+    def scored(self, queries: list[str], threshold: float | None = None) -> DataFrame:
+        """(query_id, doc_id, score) of all documents that match: terms and bags by the scorer, boolean and phrase queries with score 1."""
         trees = [ast.parse_or_term(q, first_term_only=self.config.first_term_only) for q in queries]
         bags = [(i, t) for i, t in enumerate(trees) if t.kind in ("TERM", "BAG")]
         found = None
         if len(bags) < len(trees):
             rest = [i for i, t in enumerate(trees) if t.kind not in ("TERM", "BAG")]
             ids = F.element_at(F.array(*[F.lit(i) for i in rest]), F.col("query_id") + 1)
-            found = ranking.top_k(self.boolean([trees[i] for i in rest]).select(ids.alias("query_id"), "doc_id", F.lit(1.0).alias("score")), k)
+            found = self.boolean([trees[i] for i in rest]).select(ids.alias("query_id"), "doc_id", F.lit(1.0).alias("score"))
         if bags:
             words = self.analyzed([" ".join(x.value for x in ast.leaves(t)) if t.kind == "BAG" else t.value for _, t in bags])
-            rows = self.spark.createDataFrame([(i, w) for (i, _), w in zip(bags, words, strict=True)], "query_id int, terms array<string>")
-            needed = ix.lookup(self.posted, sorted({x for w in words for x in w}))
-            whole = self.docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-            if threshold:
-                scored = ranking.ranked_term_threshold(needed, rows, threshold, k, self.config.scorer, stats=whole)
-            else:
-                scored = ranking.ranked(needed, rows, k, self.config.scorer, stats=whole)
-            found = scored if found is None else found.unionByName(scored)
+            rows = [(i, t, n) for (i, _), w in zip(bags, words, strict=True) for t, n in Counter(w).items()]
+            wanted = local(self.spark, rows, [("query_id", pa.int32()), ("term", pa.string()), ("weight", pa.int64())])
+            every = sorted({t for _, t, _ in rows})
+            whole = self.told or ix.length_stats(self.docs)
+            parts = ranking.term_parts(ix.lookup(self.posted, every), wanted, self.config.scorer, whole, None if self.terms is None else ix.lookup(self.terms, every))
+            one = ranking.scores(ranking.term_threshold(parts, threshold) if threshold else parts)
+            found = one if found is None else found.unionByName(one)
         return found
 
+    def search(self, queries: list[str], k: int | None = None, threshold: float | None = None) -> DataFrame:
+        """(query_id, rank, doc_id, score) of the k best by score, then doc_id."""
+        return ranking.top_k(self.scored(queries, threshold), self.config.max_results if k is None else k)
+
+    def hits(self, queries: list[str]) -> DataFrame:
+        """(query_id, total_hits, max_score) of the queries that match something."""
+        return ranking.total_hits(self.scored(queries))
+
+    def search_documents(self, queries: list[str], meta: DataFrame, k: int | None = None) -> DataFrame:
+        """search() with the columns of meta (doc_id, ...); documents without metadata are out before ranks are given."""
+        return ranking.enriched(self.scored(queries), meta, self.config.max_results if k is None else k)
+
     def result_json(self, query: str, k: int | None = None) -> str:
+        """The k best, and how many match."""
         rows = self.search([query], k).orderBy("rank").collect()  # at most k rows
-        return json.dumps({"results": [{"rank": r["rank"], "doc_id": str(r["doc_id"]), "score": r["score"]} for r in rows], "total_results": len(rows)})
+        whole = self.hits([query]).first() if rows else None
+        return json.dumps({"results": [{"rank": r["rank"], "doc_id": str(r["doc_id"]), "score": r["score"]} for r in rows], "total_results": whole["total_hits"] if whole else 0, "max_score": whole["max_score"] if whole else None})

@@ -175,7 +175,7 @@ def test_engine(spark, tmp_path):
     plain = lambda e: sorted((r["doc_id"], r["term"], r["tf"], r["dl"], r["positions"]) for r in e.posted.collect())
     assert plain(newer) == plain(rebuilt)
     saved = ix.load(spark, catalog.path("first"))
-    assert ix.lookup(saved, ["python"]).count() == 2
+    assert ix.lookup(saved, ["python"]).count() == 2 and ix.bucket_of(saved) == ("tb_of_64", 64)
     assert catalog.delete("first") and catalog.list() == []
 
 
