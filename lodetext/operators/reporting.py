@@ -33,6 +33,18 @@ def json_fields(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(F.explode(F.expr(f"json_object_keys({column})")).alias("field")).groupBy("field").agg(F.count("*").alias("n"))
 
 
+def dataset_stats(rows: DataFrame, column: str, cap: int = 100_000) -> DataFrame:
+    """One row: number of JSON objects (at most `cap` is told) and the sorted names of all fields met in any of them."""
+    fields = json_fields(rows, column).agg(F.array_sort(F.collect_list("field")).alias("fields"))  # a row a name
+    count = rows.where(F.col(column).isNotNull()).agg(F.least(F.count("*"), F.lit(cap)).alias("n"))
+    return count.crossJoin(F.broadcast(fields))  # one row each
+
+
+def sample_rows(rows: DataFrame, order: str, n: int = 3) -> DataFrame:
+    """The first n rows by a column."""
+    return rows.orderBy(order).limit(n)
+
+
 def first_match_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left outer join with one row of right for each key: the smallest by its other columns."""
     rest = [c for c in right.columns if c not in on]

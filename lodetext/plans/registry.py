@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from lodetext.functions import encoding
 from lodetext.functions.shipping import ship
-from lodetext.functions.text import ENGLISH, ENGLISH_STOP_WORDS, PLAIN, AnalyzerConfig, joined, token_table, tokens, word_frequencies
+from lodetext.functions.text import CONTRACTIONS, ENGLISH, ENGLISH_STOP_WORDS, PLAIN, SERVER, SERVER_STOP_WORDS, AnalyzerConfig, joined, token_table, tokens, word_frequencies
 from lodetext.operators import boolean as bo
 from lodetext.operators import evaluation as ev
 from lodetext.operators import index as ix
 from lodetext.operators import ranking as rk
 from lodetext.operators import reporting as rp
 from lodetext.operators import workload as wl
-from lodetext.plans import ast
+from lodetext.plans import ast, experiments
 from lodetext.plans.engine import EngineConfig, SearchEngine
+from lodetext.plans.fields import PLAIN_FIELDS, FieldedEngine
 
 PAIRS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 STOPPED = AnalyzerConfig(stop_words=ENGLISH_STOP_WORDS)
@@ -67,6 +68,10 @@ def tf_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.frequencies(docs_of(spark, sf_dir))
 
 
+def whole_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.length_stats(ix.doc_lengths(docs_of(spark, sf_dir)))
+
+
 def batch_of(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(BATCH, "query_id int, terms array<string>")
 
@@ -135,6 +140,26 @@ def word_freq_reduction(spark, sf_dir):
     return rp.word_frequency_reduction(word_frequencies(docs), word_frequencies(docs, STOPPED))
 
 
+@named(f"""WITH x AS (SELECT unnest(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '\\s+')) AS term FROM documents)
+SELECT term, count(*) AS freq FROM x WHERE length(term) BETWEEN 1 AND 255 AND term NOT IN ({quoted(SERVER_STOP_WORDS)}) GROUP BY term""")
+def tokens_server(spark, sf_dir):
+    return word_frequencies(docs_of(spark, sf_dir), SERVER)
+
+
+@named("WITH " + TOKENS.format(text="text", source="documents").split(",\nt AS")[0]
+       + ", y AS (SELECT unnest(string_split(CASE term " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in CONTRACTIONS.items()) + " ELSE term END, ' ')) AS term FROM x) SELECT term, count(*) AS freq FROM y WHERE length(term) BETWEEN 2 AND 50 GROUP BY term")
+def tokens_contractions(spark, sf_dir):
+    return word_frequencies(docs_of(spark, sf_dir), AnalyzerConfig(stop_words=(), contractions=True))
+
+
+@named(f"""WITH {T}, a AS (SELECT term, count(*) AS freq FROM t GROUP BY term), b AS (SELECT * FROM a WHERE term NOT IN ({quoted(ENGLISH_STOP_WORDS)})),
+u AS (SELECT term AS term_before, freq AS freq_before, row_number() OVER (ORDER BY freq DESC, term) AS rank FROM a), v AS (SELECT term AS term_after, freq AS freq_after, row_number() OVER (ORDER BY freq DESC, term) AS rank FROM b)
+SELECT CAST(rank AS INT) AS rank, term_before, freq_before, term_after, freq_after FROM u FULL JOIN v USING (rank) WHERE rank <= 50""")
+def word_freq_pair(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return experiments.frequency_pair(word_frequencies(docs), word_frequencies(docs, STOPPED), 50)
+
+
 @named()
 def word_freq_stemmed(spark, sf_dir):
     return word_frequencies(docs_of(spark, sf_dir), ENGLISH)
@@ -175,12 +200,12 @@ def postings_lookup(spark, sf_dir):
     return ix.lookup(tf_of(spark, sf_dir), ["that", "anea", "nosuchterm"]).select("term", "doc_id", "tf")
 
 
-@named(f"""WITH {T}, c AS (SELECT doc_id, term, pos FROM t WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, term, pos + 100000 FROM t WHERE doc_id % 3 = 0)
+@named(f"""WITH {T}, c AS (SELECT doc_id, term, pos FROM t UNION ALL SELECT doc_id, term, pos + 100000 FROM t)
 SELECT doc_id, term, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM c GROUP BY ALL""")
 def merge_postings(spark, sf_dir):
     posted = ix.postings(docs_of(spark, sf_dir)).drop("dl")
-    other = posted.where("doc_id % 3 = 0").withColumn("positions", F.transform("positions", lambda x: x + 100000))
-    return ix.merged(posted.where("doc_id % 2 = 0"), other).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+    other = posted.withColumn("positions", F.transform("positions", lambda x: x + 100000))
+    return ix.merged(posted, other).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
 UPDATED = "(SELECT doc_id, text FROM documents WHERE doc_id % 5 <> 0 AND doc_id NOT IN (SELECT item_id FROM benchmark) UNION ALL SELECT item_id, text FROM benchmark)"
@@ -269,7 +294,7 @@ def phrase3(spark, sf_dir):
     return bo.phrase(toks_of(spark, sf_dir), ["anea", "eriner", "thanea"])
 
 
-@named(f"WITH {T} {phrase_sql(['of', 'the'])}")
+@named(f"WITH {T}, n AS (SELECT doc_id, pos, term, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM t) SELECT doc_id, pos AS start FROM n WHERE term = 'of' AND after = 'the'")
 def phrase_positions(spark, sf_dir):
     return bo.phrase_starts(toks_of(spark, sf_dir), ["of", "the"])
 
@@ -313,12 +338,12 @@ def rank_tf(spark, sf_dir):
 
 @named(f"WITH {PARTS} " + top("SELECT query_id, doc_id, round(sum(weight * part), 6) AS score FROM r WHERE query_id = 1 GROUP BY ALL"))
 def rank_bm25(spark, sf_dir):
-    return rk.ranked(tf_of(spark, sf_dir), batch_of(spark).where("query_id = 1"), 10, "bm25", 6)
+    return rk.ranked(tf_of(spark, sf_dir), batch_of(spark).where("query_id = 1"), 10, "bm25", 6, whole_of(spark, sf_dir))
 
 
 @named(f"WITH {PARTS} " + top("SELECT query_id, doc_id, round(sum(weight * part), 6) AS score FROM r GROUP BY ALL"))
 def rank_batch_topk(spark, sf_dir):
-    return rk.ranked(tf_of(spark, sf_dir), batch_of(spark), 10, "bm25", 6)
+    return rk.ranked(tf_of(spark, sf_dir), batch_of(spark), 10, "bm25", 6, whole_of(spark, sf_dir))
 
 
 BOUNDS = PARTS + ", e AS (SELECT DISTINCT query_id, term, weight, bound FROM r), b AS (SELECT query_id, sum(bound) AS bound_sum, sum(weight) AS n_terms FROM e GROUP BY query_id)"
@@ -326,12 +351,12 @@ BOUNDS = PARTS + ", e AS (SELECT DISTINCT query_id, term, weight, bound FROM r),
 
 @named(f"WITH {BOUNDS} " + top("SELECT query_id, doc_id, round(sum(weight * part), 6) AS score FROM r JOIN b USING (query_id) WHERE part > 0.3 * bound_sum / n_terms GROUP BY ALL"))
 def rank_threshold_term(spark, sf_dir):
-    return rk.ranked_term_threshold(tf_of(spark, sf_dir), batch_of(spark), 0.3, 10, "bm25", 6)
+    return rk.ranked_term_threshold(tf_of(spark, sf_dir), batch_of(spark), 0.3, 10, "bm25", 6, whole_of(spark, sf_dir))
 
 
 @named(f"WITH {BOUNDS} " + top("SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT query_id, doc_id, sum(weight * part) AS score FROM r GROUP BY ALL) JOIN b USING (query_id) WHERE score >= 0.3 * bound_sum"))
 def rank_threshold_doc(spark, sf_dir):
-    return rk.ranked_doc_threshold(tf_of(spark, sf_dir), batch_of(spark), 0.3, 10, "bm25", 6)
+    return rk.ranked_doc_threshold(tf_of(spark, sf_dir), batch_of(spark), 0.3, 10, "bm25", 6, whole_of(spark, sf_dir))
 
 
 @named("WITH " + S + ", " + asked((p, STOP_TERMS[:p]) for p in range(1, len(STOP_TERMS) + 1)) + SCORED
@@ -367,9 +392,39 @@ def multifield_best_fields(spark, sf_dir):
     return rk.best_fields(page_fields(spark, sf_dir), batch_of(spark), 10, 6)
 
 
-@named()
+SEARCHED = (
+    "WITH " + S + ", " + asked([(0, [WORKLOAD[0]])]) + SCORED + ", one AS (SELECT query_id, doc_id, round(sum(weight * part), 6) AS score FROM r GROUP BY ALL), "
+    + workload_sql().removeprefix(f"WITH {T}, d AS (SELECT DISTINCT doc_id FROM t) ").join(["rest AS (SELECT query_id, doc_id, 1.0::DOUBLE AS score FROM (", ") WHERE query_id > 0), every AS (FROM one UNION ALL FROM rest) "])
+)
+
+
+@named(SEARCHED + top("SELECT query_id, doc_id, score FROM every"))
 def engine_search(spark, sf_dir):
-    return SearchEngine.build(docs_of(spark, sf_dir)).search(WORKLOAD)
+    return SearchEngine.build(docs_of(spark, sf_dir), EngineConfig(analyzer=PLAIN)).search(WORKLOAD).withColumn("score", F.round("score", 6))
+
+
+@named(SEARCHED + "SELECT query_id, count(*) AS total_hits, max(score) AS max_score FROM every GROUP BY query_id")
+def search_total_hits(spark, sf_dir):
+    return SearchEngine.build(docs_of(spark, sf_dir), EngineConfig(analyzer=PLAIN)).hits(WORKLOAD).withColumn("max_score", F.round("max_score", 6))
+
+
+@named(SEARCHED + ", e AS (SELECT every.* FROM every JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id)), b AS (" + top("SELECT query_id, doc_id, score FROM e") + ") SELECT b.*, l.quality FROM b JOIN labels l USING (doc_id)")
+def search_with_metadata(spark, sf_dir):
+    meta = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return SearchEngine.build(docs_of(spark, sf_dir), EngineConfig(analyzer=PLAIN)).search_documents(WORKLOAD, meta).withColumn("score", F.round("score", 6))
+
+
+def without_stops(sql: str) -> str:
+    return sql.replace("length(term) BETWEEN 2 AND 50", f"length(term) BETWEEN 2 AND 50 AND term NOT IN ({quoted(ENGLISH_STOP_WORDS)})")
+
+
+@named("WITH pages2 AS (SELECT page_id AS doc_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_replace(html, '<[^>]*>', ' ', 'g') AS body FROM pages), " + Q + ", "
+       + ", ".join([field_sql("a", "title", 2.0), field_sql("b", "body", 1.0), without_stops(field_sql("c", "title", 2.0)), without_stops(field_sql("e", "body", 1.0))])
+       + ", z AS (FROM fa UNION ALL FROM fb UNION ALL SELECT * FROM fc WHERE query_id > 0 UNION ALL SELECT * FROM fe WHERE query_id > 0) " + top("SELECT query_id, doc_id, round(max(score), 6) AS score FROM z GROUP BY ALL"))
+def engine_multifield(spark, sf_dir):
+    """Title and text, plain and preprocessed; of the batch, query 0 has stop words only, which no preprocessed field knows."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    return FieldedEngine.build(pages, PLAIN_FIELDS).search([" ".join(ts) for _, ts in BATCH], 10, 6)
 
 
 # --- encoding
@@ -434,6 +489,24 @@ def json_field_inventory(spark, sf_dir):
     return rp.json_fields(table(spark, sf_dir, "events"), "props")
 
 
+@named("WITH f AS (SELECT DISTINCT unnest(json_keys(props)) AS field FROM events) SELECT (SELECT least(count(props), 100000) FROM events) AS n, (SELECT string_agg(field, ',' ORDER BY field) FROM f) AS fields")
+def dataset_stats(spark, sf_dir):
+    return rp.dataset_stats(table(spark, sf_dir, "events"), "props").withColumn("fields", F.array_join("fields", ","))
+
+
+@named("""WITH e AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS z FROM orders), b AS (SELECT CAST(least(floor((o_totalprice - a) / ((z - a) / 20)), 19) AS INT) AS bin, count(*) AS n FROM orders, e GROUP BY 1)
+SELECT CAST(i AS INT) AS bin, round(a + i * ((z - a) / 20), 6) AS low, round(a + (i + 1) * ((z - a) / 20), 6) AS high, CAST(coalesce(n, 0) AS BIGINT) AS n FROM range(20) r(i) CROSS JOIN e LEFT JOIN b ON bin = i""")
+def report_histogram(spark, sf_dir):
+    rows = experiments.histogram(table(spark, sf_dir, "orders"), "o_totalprice")
+    return rows.withColumn("low", F.round("low", 6)).withColumn("high", F.round("high", 6))
+
+
+@named("SELECT o_orderpriority, o_orderstatus, round(avg(o_totalprice), 6) AS mean, round(quantile_cont(o_totalprice, 0.95), 6) AS p95, count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL GROUP BY ALL")
+def report_series(spark, sf_dir):
+    rows = experiments.series(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", "o_totalprice")
+    return rows.withColumn("mean", F.round("mean", 6)).withColumn("p95", F.round("p95", 6))
+
+
 @named("""SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max,
 round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n, round(count(*) / sum(value) * 1000, 6) AS throughput FROM events WHERE value IS NOT NULL GROUP BY event_type""")
 def latency_stats(spark, sf_dir):
@@ -468,7 +541,7 @@ w AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (
 
 def both_rankings(spark, sf_dir):
     posted = tf_of(spark, sf_dir)
-    return rk.ranked(posted, batch_of(spark), 10, "bm25", 6), rk.ranked(posted, batch_of(spark), 10, "tf")
+    return rk.ranked(posted, batch_of(spark), 10, "bm25", 6, whole_of(spark, sf_dir)), rk.ranked(posted, batch_of(spark), 10, "tf")
 
 
 @named(TWO + "SELECT * FROM w")

@@ -16,13 +16,27 @@ WIKI = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "url", "ti
 NEWS = T.StructType([*WIKI.fields, *[T.StructField(n, T.StringType()) for n in ("author", "published", "site")], T.StructField("categories", T.ArrayType(T.StringType()))])
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(at, value): the physical lines of text files with their numbers from 0, files in order of their names.
+
+    Lines are counted by split of a file, and each split starts after those before it: a row a split comes to the driver, and no line is sorted.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first")).collect()
+    total, shift = 0, []
+    for r in sorted(splits, key=lambda r: (r["file"], r["block"])):
+        shift.append((r["file"], r["block"], total - r["first"]))
+        total += r["n"]
+    starts = spark.createDataFrame(shift, "file string, block long, shift long")
+    return lines.join(F.broadcast(starts), ["file", "block"]).select((F.col("id") + F.col("shift")).alias("at"), "value")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = WIKI, first_lines: int | None = None) -> DataFrame:
     """Rows of a JSON-lines corpus; lines that aren't JSON objects are left out. first_lines: only so many physical lines, bad ones counted.
     A row without id is named doc_<line number>."""
-    lines = spark.read.text(path)
+    lines = numbered_lines(spark, path)
     if first_lines is not None:
-        lines = lines.limit(first_lines)
-    lines = lines.withColumn("at", F.monotonically_increasing_id())
+        lines = lines.where(F.col("at") < first_lines)
     bad = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     rows = lines.select("at", F.from_json("value", bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).where("r IS NOT NULL AND r._bad IS NULL")
     rows = rows.select("at", *[F.col("r")[f.name].alias(f.name) for f in schema.fields])
@@ -86,11 +100,13 @@ def read_queries(spark: SparkSession, path: str, wanted: int | None = None) -> D
     return rows if wanted is None or rows.count() == wanted else None
 
 
-def latest(spark: SparkSession, pattern: str) -> DataFrame:
-    """JSON rows of the file of the greatest name that matches."""
-    rows = spark.read.option("multiLine", True).json(pattern).withColumn("file", F.input_file_name())
-    newest = rows.agg(F.max("file").alias("file"))
-    return rows.join(F.broadcast(newest), "file").drop("file")  # one row
+def latest(spark: SparkSession, pattern: str, lines: bool = False) -> DataFrame:
+    """JSON of the file, or folder, of the greatest name that matches; no other is read. lines: a row a line, else a document a file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    if not len(found):
+        raise FileNotFoundError(pattern)
+    return spark.read.option("multiLine", not lines).json(max(x.getPath().toString() for x in found))
 
 
 def write_jsonl(docs: DataFrame, path: str) -> None:

@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 
 from lodetext.functions import encoding
 from lodetext.functions.stemmer import stem
-from lodetext.functions.text import ENGLISH, PLAIN, AnalyzerConfig, token_table, tokens
+from lodetext.functions.text import ENGLISH, PLAIN, SERVER, AnalyzerConfig, analyzed_here, token_table, tokens
 from lodetext.operators import boolean as bo
 from lodetext.operators import evaluation as ev
 from lodetext.operators import index as ix
 from lodetext.operators import ranking as rk
 from lodetext.operators import reporting as rp
 from lodetext.operators import workload as wl
-from lodetext.plans import ast
+from lodetext import cli
+from lodetext.plans import ast, experiments
 from lodetext.plans.ast import Node
 from lodetext.plans.catalog import Catalog
 from lodetext.plans.engine import EngineConfig, SearchEngine
+from lodetext.plans.fields import FIELDS, Field, FieldedEngine
 from lodetext.sources import corpus
 from lodetext.streaming import maintenance
 
@@ -253,3 +255,149 @@ def test_dense_ids(spark):
 def test_stemmed_engine_matches_inflections(spark):
     engine = SearchEngine.build(spark.createDataFrame([(1, "running dogs"), (2, "a dog ran")], "doc_id long, text string"), EngineConfig(analyzer=ENGLISH))
     assert sorted(r["doc_id"] for r in engine.boolean(["dog"]).collect()) == [1, 2]
+
+
+def test_analysis_on_the_driver_is_that_of_spark(spark):
+    texts = ["Hello, WORLD! a-b don't", "I cannot; gonna go", "this is the state of the art", "running\tdogs\x0bran", "", "...", "x" * 60 + " yy"]
+    for config in (PLAIN, SERVER, AnalyzerConfig(), AnalyzerConfig(contractions=True, lowercase=False)):
+        assert [one(spark, lambda c: tokens(c, config), t) for t in texts] == [analyzed_here(t, config) for t in texts]
+    assert analyzed_here("running dogs", ENGLISH) == ["run", "dog"]
+    engine = SearchEngine.build(spark.createDataFrame([(1, "Running dogs \u00fcber"), (2, "cats")], "doc_id long, text string"))
+    assert engine.analyzed(["dogs running", "\u00dcber dogs", "dogs running"]) == [["dog", "run"], ["\u00fcber", "dog"], ["dog", "run"]]
+
+
+def test_hits_and_metadata(spark):
+    rows = [(i, "cat dog" if i % 2 else "cat") for i in range(30)]
+    engine = SearchEngine.build(spark.createDataFrame(rows, "doc_id long, text string"), EngineConfig(analyzer=PLAIN))
+    hits = {r["query_id"]: (r["total_hits"], r["max_score"]) for r in engine.hits(["dog", "cat AND dog", "unknown"]).collect()}
+    assert hits[0][0] == 15 and hits[0][1] > 0 and hits[1] == (15, 1.0) and 2 not in hits
+    told = json.loads(engine.result_json("dog", 4))
+    assert told["total_results"] == 15 and [r["rank"] for r in told["results"]] == [1, 2, 3, 4]
+    meta = spark.createDataFrame([(3, "three"), (7, "seven"), (4, "four")], "doc_id long, title string")
+    assert sorted((r["rank"], r["title"]) for r in engine.search_documents(["dog"], meta).collect()) == [(1, "three"), (2, "seven")]
+    assert engine.length(1) == 2 and engine.length(99) is None and engine.count() == 30
+    assert {(r["df"], r["total_tf"]) for r in engine.postings_of("dog").collect()} == {(15, 15)}
+
+
+@pytest.mark.parametrize("options", [{"buckets": 7}, {"coded": True}, {"codec": "gzip", "buckets": 1}])
+def test_saved_index(spark, tmp_path, options):
+    rows = [(i, f"common word{i % 5} word{i} common") for i in range(40)]
+    built = SearchEngine.build(spark.createDataFrame(rows, "doc_id long, text string"), EngineConfig(analyzer=PLAIN))
+    built.save(str(tmp_path / "x"), **options)
+    loaded = SearchEngine.load(spark, str(tmp_path / "x"))
+    asks = ["common word3", '"word3 word33"', "word7 OR word8", "common AND NOT word1", "nothing"]
+    plain = lambda e: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in e.search(asks, 50).collect())
+    assert plain(loaded) == plain(built) and plain(loaded)
+    assert sorted((r["term"], r["positions"]) for r in ix.lookup(loaded.posted, ["common", "word9"]).collect()) == sorted((r["term"], r["positions"]) for r in ix.lookup(built.posted, ["common", "word9"]).collect())
+    assert ix.bucket_of(loaded.posted)[1] == options.get("buckets", 64) and loaded.stats().first().asDict() == pytest.approx(built.stats().first().asDict())
+    assert loaded.told["n_docs"] == 40 and ix.lookup(loaded.posted, []).count() == 0
+    assert sorted(r["doc_id"] for r in loaded.update(remove=spark.createDataFrame([(0,)], "doc_id long")).boolean(["word0"]).collect()) == [5, 10, 15, 20, 25, 30, 35]
+
+
+def test_fields(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Running", "about dogs"), (2, "Cats", "they run and run"), (3, None, "")], "doc_id long, title string, text string")
+    engine = FieldedEngine.build(docs)
+    engine.save(str(tmp_path / "f"))
+    loaded = FieldedEngine.load(spark, str(tmp_path / "f"))
+    assert loaded.fields == FIELDS
+    got = loaded.search(["running", "cats", "none"]).collect()
+    assert [(r["query_id"], r["doc_id"]) for r in sorted(got, key=lambda r: (r["query_id"], r["rank"]))] == [(0, 1), (0, 2), (1, 2)]
+    assert {r["query_id"]: r["total_hits"] for r in loaded.hits(["running", "cats"]).collect()} == {0: 2, 1: 1}
+    one_ = FieldedEngine.build(docs, {"title": Field("title", 3.0, PLAIN)})
+    assert [r["doc_id"] for r in one_.search(["running"]).collect()] == [1]
+
+
+def test_variants():
+    v = experiments.VARIANTS["tfidf_threshold"]
+    assert v.short == "lodetext_i3d1c1qToth" and v.dotted == "3.1.0.th.T" and "optim=threshold" in v.long
+    assert experiments.VARIANTS["tfidf_gap"].storage() == {"codec": None, "coded": True}
+    with pytest.raises(ValueError):
+        experiments.Variant("bm26")
+
+
+def test_matrix(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"apple pear{i % 3} plum{i % 2}") for i in range(12)] + [(99, "")], "doc_id long, text string")
+    catalog, chosen = Catalog(spark, str(tmp_path / "indices")), {k: experiments.VARIANTS[k] for k in ("boolean", "tfidf_gap")}
+    built = experiments.build_matrix(catalog, {"fruit": docs}, [6, None], chosen).collect()
+    assert [r["status"] for r in built] == ["built"] * 4 and [r["documents"] for r in built] == [6, 6, 12, 12] and built[2]["skipped"] == 1
+    assert {r["status"] for r in experiments.build_matrix(catalog, {"fruit": docs}, [6], chosen).collect()} == {"skipped"}
+    assert experiments.build_matrix(catalog, {"bad": spark.range(3)}, [None], {"x": chosen["boolean"]}).first()["status"].startswith("failed")
+    with pytest.raises(KeyError):
+        catalog.load("nothing")
+    asks = ["apple", "pear1 AND plum1", '"apple pear2"']
+    records = experiments.benchmark_matrix(catalog, {"fruit": asks}, [None], chosen, warm_up=1)
+    experiments.save_benchmark(records, str(tmp_path / "bench"), "variant")
+    done = spark.read.json(str(tmp_path / "bench" / "details"))
+    assert done.count() == 6 and sorted({r["kind"] for r in done.collect()}) == ["and", "phrase", "term"]
+    assert {(r["successful"], r["failed"]) for r in spark.read.json(str(tmp_path / "bench" / "statistics")).collect()} == {(3, 0)}
+
+    def broken(e, q, k):
+        if q == "bad":
+            raise RuntimeError
+        return e.search([q], k)
+
+    whole = experiments.summary(experiments.timed(catalog.load("fruit_all_boolean"), ["bad", "apple"], run=broken)).first()
+    assert (whole["successful"], whole["failed"], whole["n"]) == (1, 1, 1) and whole["p95"] > 0
+    reference = experiments.cached(spark, str(tmp_path / "reference"), lambda: catalog.load("fruit_all_boolean").search(asks, 20))
+    assert experiments.cached(spark, str(tmp_path / "reference"), lambda: 1 / 0).count() == reference.count()
+    found = {r["variant"]: r for r in experiments.evaluate(catalog, {"fruit": reference}, {"fruit": asks}, [None], chosen).collect()}
+    assert found[chosen["boolean"].short]["recall"] == 1.0 and len(found) == 2
+    path = experiments.write_evaluation(experiments.evaluate(catalog, {"fruit": reference}, {"fruit": asks}, [None], chosen), str(tmp_path / "eval"))
+    assert spark.read.json(path).count() == 2 and corpus.latest(spark, str(tmp_path / "eval" / "eval*"), lines=True).count() == 2
+    (tmp_path / "m1.json").write_text('{"a":\n1}')
+    (tmp_path / "m2.json").write_text('{"a":\n2}')
+    assert corpus.latest(spark, str(tmp_path / "m*.json")).first()["a"] == 2
+    bins = experiments.histogram(done, "latency_ms", 4).collect()
+    assert len(bins) == 4 and sum(r["n"] for r in bins) == 6
+    assert experiments.series(done, "variant", "kind").count() == 6
+
+
+def test_normalised_answers(spark):
+    answers = [(0, '{"results": [{"doc_id": 7, "score": 2.5}, {"id": "b"}]}'), (1, '{"hits": {"hits": [{"_id": "x", "_score": 1.0}]}}'), (2, '[{"id": "q"}, {"score": 1}, {"uuid": "r"}]'), (3, "broken"), (4, None), (5, '{"documents": []}')]
+    rows = experiments.normalised(spark.createDataFrame(answers, "query_id int, value string"), 2).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in rows) == [(0, 1, "7", 2.5), (0, 2, "b", None), (1, 1, "x", 1.0), (2, 1, "q", None), (2, 2, "r", None)]
+
+
+def test_queries_are_explained():
+    assert ast.explain('a AND NOT "b c"')["tree"] == '(and a (not "b c"))' and ast.explain('a AND NOT "b c"')["leaves"] == ["a", "b c"]
+    assert "not_parsed" in ast.explain("(a") and ast.rewritten("(x OR y z) AND w") == "(x OR y) AND w" and ast.rewritten("(((") == "(((" and ast.rewritten("") == ""
+    assert ast.is_boolean("a OR b") and not ast.is_boolean("a b") and ast.terms_of("a AND NOT b") == ["a", "b"]
+    assert ast.to_dsl("a b", operator="and")["multi_match"]["operator"] == "and"
+
+
+def test_first_lines_over_several_files(spark, tmp_path):
+    for name, ids_ in (("a", range(5)), ("b", range(5, 9)), ("c", range(9, 12))):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"text": "t{i}"}}\n' if i != 6 else "bad\n" for i in ids_))
+    rows = corpus.read_jsonl(spark, str(tmp_path)).collect()
+    assert sorted((r["id"], r["text"]) for r in rows) == sorted((f"doc_{i}", f"t{i}") for i in range(12) if i != 6)
+    assert sorted(r["text"] for r in corpus.read_jsonl(spark, str(tmp_path), first_lines=8).collect()) == sorted(f"t{i}" for i in range(8) if i != 6)
+
+
+def test_dataset_stats(spark):
+    rows = spark.createDataFrame([('{"a": 1, "b": 2}',), ('{"c": 1}',), (None,)], "value string")
+    assert tuple(rp.dataset_stats(rows, "value").first()) == (2, ["a", "b", "c"]) and rp.dataset_stats(rows, "value", cap=1).first()["n"] == 1
+    assert rp.sample_rows(rows.where("value IS NOT NULL"), "value", 1).first()["value"] == '{"a": 1, "b": 2}'
+
+
+def test_command_line(spark, tmp_path, capsys):
+    spark.createDataFrame([(i, f"apple pear{i % 30} plum{i % 40} fig{i % 50} kiwi{i % 60}") for i in range(120)], "doc_id long, text string").write.parquet(str(tmp_path / "docs.parquet"))
+    root, docs = ["--root", str(tmp_path / "indices")], str(tmp_path / "docs.parquet")
+
+    def run(*args):
+        capsys.readouterr()
+        cli.main([*root, *args])
+        return capsys.readouterr().out
+
+    assert json.loads(run("setup", docs))["corpus_exists"] and not json.loads(run("setup", docs + "x"))["corpus_exists"]
+    assert json.loads(run("--set", "analyzer.stemming=false", "build", "first", docs, "--variant", "wordcount"))["document_count"] == 120
+    assert json.loads(run("list"))[0]["index_type"] == "tf"
+    assert json.loads(run("query", "first", "pear3", "-k", "2"))["total_results"] == 4
+    assert json.loads(run("--set", "scorer=tf", "--set", "max_results=3", "config"))["max_results"] == 3
+    assert json.loads(run("explain", "a AND b"))["tree"] == "(and a b)"
+    assert "apple" in run("wordfreq", docs, "-n", "3")
+    assert "total_queries" in run("workload", "first", str(tmp_path / "queries"), "-n", "20")
+    assert "queries_per_second" in run("bench", "first", "-n", "10", "--output", str(tmp_path / "bench"))
+    assert json.loads(run("experiment", docs, str(tmp_path / "out"), "-n", "10", "--variants", "boolean"))["built"] == 1
+    assert run("delete", "first").strip() == "True"
+    with pytest.raises(ValueError):
+        cli.overridden(EngineConfig(), ["nothing=1"])
