@@ -245,6 +245,13 @@ def test_streamed_index_equals_batch(spark, docs, tmp_path):
     maintenance.maintain(stream, str(tmp_path / "index"), str(tmp_path / "checkpoint")).awaitTermination()
     plain = lambda df: sorted((r["doc_id"], r["term"], r["tf"], r["positions"]) for r in df.collect())
     assert plain(maintenance.current(spark, str(tmp_path / "index"))) == plain(ix.postings(docs))
+    newer = [(0, "new text"), (1, ""), (9, "python python")]
+    spark.createDataFrame(newer, docs.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    maintenance.maintain(stream, str(tmp_path / "index"), str(tmp_path / "checkpoint")).awaitTermination()
+    now = plain(ix.postings(spark.createDataFrame(newer + BOOLEAN[2:], docs.schema)))
+    assert plain(maintenance.current(spark, str(tmp_path / "index"))) == now
+    maintenance.compact(spark, str(tmp_path / "index"))
+    assert len(list((tmp_path / "index").glob("batch=*"))) == 1 and plain(maintenance.current(spark, str(tmp_path / "index"))) == now
 
 
 def test_dense_ids(spark):
