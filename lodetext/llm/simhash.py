@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodetext.llm.shared import components, lean, stored
+from lodetext.llm.shared import components, drop_stored, lean, stored
 
 #: A segment's table entries beyond this take the midpoint route, which is as exact; it is no cap.
 BUCKET = 256
@@ -212,14 +212,16 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
 
     links = stored(verified(pairs), "links")
     roots = stored(components(links), "roots")
-    members = stored(shared.join(roots, shared["key"] == roots["node"], "left").select("k", "value", "key", F.coalesce("root", "key").alias("root")), "members")
-    mixed = members.groupBy("k", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k", "value")
-    members = members.join(mixed, ["k", "value"], "left_semi").join(classes.select("key", "size", "marks"), "key")
-    rest = block_pairs(stored(members, "apart"), similarity, block)
+    members_before = stored(shared.join(roots, shared["key"] == roots["node"], "left").select("k", "value", "key", F.coalesce("root", "key").alias("root")), "members")
+    mixed = members_before.groupBy("k", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k", "value")
+    apart = stored(members_before.join(mixed, ["k", "value"], "left_semi").join(classes.select("key", "size", "marks"), "key"), "apart")
+    rest = block_pairs(apart, similarity, block)
     rest = stored(rest.distinct().join(pairs, ["u", "v"], "left_anti"), "rest")
     more = stored(verified(rest), "links")
     if not more.isEmpty():
         roots = stored(components(links.union(more)), "roots")
+    for done in (classes, shared, pairs, sets, links, more, members_before, apart, rest):
+        drop_stored(done)
     return rows.join(roots, rows["key"] == roots["node"], "left").select("doc_id", "exact", "key", F.coalesce("root", "key").alias("root"))
 
 
