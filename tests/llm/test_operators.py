@@ -575,20 +575,58 @@ def test_op6(spark, tmp_path):
     truth = {d: q for d, q, _ in labels}
     held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
     assert sum(r["keep"] == bool(truth[r["doc_id"]]) for r in held) >= 0.98 * len(held)
-    none = quality.fit(frame(spark, []), marks.limit(0))
+    none = quality.fit(quality.features(frame(spark, [])), marks.limit(0))
     assert [r[0] for r in quality.described(frame(spark)).select(none.score()).collect()] == [1.0] * len(DOCS)
+    made = quality.features(frame(spark, rows))
+    model = quality.fit(made, marks)
+    both = [quality.described(frame(spark, rows)).select(model.score().alias("s")), made.select(model.score_of("x").alias("s"))]
+    one, two = (sorted(r["s"] for r in x.collect()) for x in both)
+    assert one == pytest.approx(two)
 
 
-def test_cotraining_uses_pseudo_labels():
-    rng = np.random.default_rng(0)
-    n = 3000
+def two_views(n, seed):
+    """Features in which either view tells the class roughly and neither depends on the other's noise."""
+    rng = np.random.default_rng(seed)
     y = rng.integers(0, 2, n)
-    text = np.column_stack([y + rng.normal(0, 0.4, n), rng.normal(0, 1, n)])
-    meta = np.column_stack([np.where(y == 1, rng.integers(0, 5, n), rng.integers(3, 8, n)), rng.integers(0, 3, n), rng.normal(0, 1, n)]).astype(float)
-    known = np.where(rng.random(n) < 0.08, y, -1)
-    model = quality.cotrain(text, meta, known, rng.random(n) < 0.3)
-    right = ((model.of(text, meta) >= 0.5) == (y == 1)).mean()
-    assert right > 0.9
+    x = rng.normal(0, 1, (n, quality.TEXT_FEATURES + 3))
+    x[:, 0] = y + rng.normal(0, 0.35, n)
+    x[:, quality.TEXT_FEATURES] = np.where(y == 1, rng.integers(0, 30, n), rng.integers(22, 52, n))
+    x[:, quality.TEXT_FEATURES + 1] = rng.integers(0, 3, n)
+    return x, y
+
+
+def test_cotraining_uses_pseudo_labels(spark):
+    x, y = two_views(3000, 0)
+    made = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "doc_id long, x array<double>")
+    labels = spark.createDataFrame([(i, int(y[i])) for i in range(0, 3000, 25)], "doc_id long, quality int")
+    right, told = {}, {}
+    for rounds in (0, 5):
+        model = quality.fit(made, labels, rounds=rounds)
+        right[rounds] = ((model.of(x[:, : quality.TEXT_FEATURES], x[:, quality.TEXT_FEATURES :]) >= 0.5) == (y == 1)).mean()
+        told[rounds] = len(model.meta.edges[0])  # values of the first feature that the metadata view has met
+    assert right[5] > right[0] > 0.8 and told[5] > told[0]
+
+
+def test_surest_rows_are_those_of_a_full_sort(spark):
+    x, y = two_views(800, 1)
+    x[700:] = x[0]  # copies count once
+    fits = [quality.fit_view(x[:200, : quality.TEXT_FEATURES], y[:200], []), quality.fit_view(x[:200, quality.TEXT_FEATURES :], y[:200], [0, 1])]
+    made = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(None, [0.0] * len(x[0]))], "doc_id long, x array<double>").repartition(5)
+    surest = quality.pool_of(made, set(range(200)))
+    out = {0: set(range(200)), 1: set(range(200))}
+    for _ in range(2):
+        got = surest(fits, {1: 30, 0: 20}, 0.8)
+        gone = {0: set(), 1: set()}
+        for (k, label), q in quality.certain(fits, x).items():
+            order = sorted((i for i in range(800) if q[i] >= 0.8 and i not in out[1 - k]), key=lambda i: -q[i])
+            rows = got.get((k, label), np.zeros((0, 1)))
+            seen = {tuple(r) for r in rows}
+            assert len(seen) == len(rows) <= {1: 30, 0: 20}[label]
+            if len(rows) == {1: 30, 0: 20}[label]:
+                least = min(q[[tuple(r) for r in x.tolist()].index(s)] for s in seen)
+                assert all(tuple(x[i]) in seen for i in order if q[i] > least + 1e-12)
+            gone[1 - k] |= {i for i in range(800) if tuple(x[i]) in seen and i < 700 or i in out[1 - k]}
+        out = {k: out[k] | gone[k] for k in out}
 
 
 # --- search
