@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodetext.llm.shared import lean, stored
+from lodetext.llm.shared import SALTS, lean, stored
 
 FRAME, HOP, CLASSES = 1024, 400, 12
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
@@ -125,37 +125,51 @@ def played(vectors: DataFrame, rate: int = 4000, note: float = 0.1) -> DataFrame
 def align(prints: DataFrame, asks: str = "id % 50 = 0", least_votes: int = 3, max_error: float = 0.3, least_overlap: int = 8, common: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Matches of the recordings with condition `asks` among all prints (id, items): (query, found, offset, overlap, votes, bit_error) and membership.
 
-    Equal fingerprints are one class, named by its smallest id; returned are (classes: id, class_id, n_items), (matches between classes, a class
-    with itself left out). Seeds are the integers where a run of equal ones begins. The places of an integer in over `common` classes (silence, a held
+    Equal fingerprints are one class, numbered for the run and named by its smallest id; returned are (members, a row for each print: id, class, class_id,
+    n_items, null without items or with none) and (matches between classes: class of the query, names of both, what was found; a class with itself left out). Rows
+    may share an id, with the same items or others; a class of which no row has an id has no name, and what aligns with it has a null there.
+
+    Seeds are the integers where a run of equal ones begins. The places of an integer in over `common` classes (silence, a held
     note) are dealt into blocks of about `common` by a hash of their class, and a query's place meets each block in a join key of its own: every
     shared integer votes, whatever its frequency, and no task has to take one sound whole. Seeds vote for offsets; for each pair the offset of most votes, then the smallest, is kept if
-    it has least_votes, its overlap is at least least_overlap and the share of differing bits in it is at most max_error.
+    it has least_votes, its overlap is at least least_overlap and the share of differing bits in it is at most max_error. Only rows of classes of
+    several look their class up, dealt by SALTS.
     """
-    rows = prints.where("items IS NOT NULL").withColumn("class", F.md5(F.col("items").cast("string")))
-    classes = stored(rows.groupBy("class").agg(F.min("id").alias("class_id"), F.first("items").alias("items"), F.coalesce(F.max(F.expr(asks)), F.lit(False)).alias("asks")), "classes")
-    members = rows.select("id", "class", F.size("items").alias("n_items")).join(classes.select("class", "class_id"), "class").select("id", "class_id", "n_items")
+    has = F.coalesce(F.size("items") > 0, F.lit(False))
+    rows = prints.where(has).withColumn("same", F.md5(F.col("items").cast("string")))
+    classes = rows.groupBy("same").agg(F.min("id").alias("class_id"), F.first("items").alias("items"), F.coalesce(F.max(F.expr(asks)), F.lit(False)).alias("asks"), F.count("*").alias("n"))
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    named = classes.select("same", "n", "class", "class_id", F.size("items").alias("n_items"))
+    several = named.where("n > 1").withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    copies = rows.select("id", "same", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).join(several, ["same", "salt"])
+    columns = ["id", "class", "class_id", "n_items"]
+    members = named.where("n = 1").withColumn("id", F.col("class_id")).select(columns).unionAll(copies.select(columns))
+    nothing = prints.where(~has).select("id", *[F.lit(None).cast(t).alias(c) for c, t in zip(columns[1:], ("long", "long", "int"), strict=True)])
+    members = stored(members.unionAll(nothing), "members")
 
     starts = "filter(sequence(0, size(items) - 1), i -> i = 0 OR items[i] <> get(items, i - 1))"
-    seen = stored(classes.select("class_id", "asks", "items", F.explode(F.expr(starts)).alias("at")).select("class_id", "asks", "at", F.expr("items[at]").alias("seed")), "seeds")
-    frequent = seen.groupBy("seed").agg(F.count_distinct("class_id").alias("n")).where(F.col("n") > common).select("seed", F.ceil(F.col("n") / max(1, common)).cast("int").alias("blocks"))
-    left = seen.where("asks").join(frequent, "seed", "left").select(F.col("class_id").alias("query"), "seed", F.col("at").alias("q"), F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)")).alias("block"))
-    right = seen.join(frequent, "seed", "left").select(F.col("class_id").alias("found"), "seed", F.col("at").alias("d"), F.pmod(F.xxhash64("class_id"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
-    votes = left.join(right, ["seed", "block"]).where("query <> found")
-    votes = votes.groupBy("query", "found", F.expr("d - q").alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= least_votes)
-    best = votes.groupBy("query", "found").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), -F.col("offset"))).alias("best"))
-    one = classes.select(F.col("class_id").alias("query"), F.col("items").alias("a"))
-    two = classes.select(F.col("class_id").alias("found"), F.col("items").alias("b"))
-    pairs = best.select("query", "found", "best.*").join(one, "query").join(two, "found")
-    pairs = pairs.withColumn("from", F.greatest(F.lit(0), -F.col("offset"))).withColumn("overlap", F.least(F.size("a"), F.size("b") - F.col("offset")) - F.col("from"))
-    errors = F.expr("aggregate(sequence(from, from + overlap - 1), 0L, (n, i) -> n + bit_count((a[i] ^ b[i + offset]) & 4294967295L))")
+    seen = stored(classes.select("class", "asks", "items", F.explode(F.expr(starts)).alias("at")).select("class", "asks", "at", F.expr("items[at]").alias("seed")), "seeds")
+    frequent = seen.groupBy("seed").agg(F.count_distinct("class").alias("n")).where(F.col("n") > common).select("seed", F.ceil(F.col("n") / max(1, common)).cast("int").alias("blocks"))
+    left = seen.where("asks").join(frequent, "seed", "left").select(F.col("class").alias("a"), "seed", F.col("at").alias("q"), F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)")).alias("block"))
+    right = seen.join(frequent, "seed", "left").select(F.col("class").alias("b"), "seed", F.col("at").alias("d"), F.pmod(F.xxhash64("class"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+    votes = left.join(right, ["seed", "block"]).where("a <> b")
+    votes = votes.groupBy("a", "b", F.expr("d - q").alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= least_votes)
+    best = votes.groupBy("a", "b").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), -F.col("offset"))).alias("best"))
+    one = classes.select(F.col("class").alias("a"), F.col("class_id").alias("query"), F.col("items").alias("x"))
+    two = classes.select(F.col("class").alias("b"), F.col("class_id").alias("found"), F.col("items").alias("y"))
+    pairs = best.select("a", "b", "best.*").join(one, "a").join(two, "b")
+    pairs = pairs.withColumn("from", F.greatest(F.lit(0), -F.col("offset"))).withColumn("overlap", F.least(F.size("x"), F.size("y") - F.col("offset")) - F.col("from"))
+    errors = F.expr("aggregate(sequence(from, from + overlap - 1), 0L, (n, i) -> n + bit_count((x[i] ^ y[i + offset]) & 4294967295L))")
     pairs = pairs.where(F.col("overlap") >= least_overlap).withColumn("bit_error", errors / (32.0 * F.col("overlap"))).where(F.col("bit_error") <= max_error)
-    return members, pairs.select("query", "found", "offset", "overlap", "votes", "bit_error")
+    return members, pairs.select(F.col("a").alias("class"), "query", "found", "offset", "overlap", "votes", "bit_error")
 
 
 def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per embeddings row, played as a recording: its class of equal fingerprints and, where vec_id is divisible by 50, the classes it aligns with."""
     prints = stored(played(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")), "chroma")
     members, matches = align(prints)
-    by_class = matches.groupBy("query").agg(F.sort_array(F.collect_list(F.struct(F.col("found").alias("class_id"), "offset", "overlap", "votes", "bit_error"))).alias("matches"))
-    rows = prints.select("id").join(members, "id", "left").join(by_class, F.col("class_id") == F.col("query"), "left")
-    return rows.select(F.col("id").alias("vec_id"), "class_id", "n_items", F.when(F.col("id") % 50 == 0, F.coalesce("matches", F.array())).alias("matches"))
+    by_class = matches.groupBy("class").agg(F.sort_array(F.collect_list(F.struct(F.col("found").alias("class_id"), "offset", "overlap", "votes", "bit_error"))).alias("matches"))
+    asks = F.coalesce(F.col("id") % 50 == 0, F.lit(False))
+    asked = members.where(asks).join(by_class, "class", "left").withColumn("matches", F.coalesce("matches", F.array()))
+    rows = asked.unionByName(members.where(~asks), allowMissingColumns=True)
+    return rows.select(F.col("id").alias("vec_id"), "class_id", "n_items", "matches")

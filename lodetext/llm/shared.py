@@ -16,6 +16,8 @@ from lodetext.functions.shipping import ship
 
 #: Rows and bytes of an Arrow batch: texts may be long, and a task holds some batches and their Python strings at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Parts that rows of one group are dealt into before they look up what the group has in common.
+SALTS = 16
 
 
 def prepared(spark: SparkSession) -> None:

@@ -12,12 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodetext.llm.shared import components, drop_stored, lean, stored
+from lodetext.llm.shared import SALTS, components, drop_stored, lean, stored
 
 #: A segment's table entries beyond this take the midpoint route, which is as exact; it is no cap.
 BUCKET = 256
-#: Parts of a fingerprint, or of a component, that many rows have.
-SALTS = 16
 #: Longs of the bitmap of a text's shingles, by which pairs are ruled out before they are compared.
 MARKS = 16
 

@@ -697,8 +697,11 @@ def test_op1(spark, tmp_path):
     v = rng.normal(0, 0.2, 64)
     shifted = np.concatenate([rng.normal(0, 0.2, 20), v[:44]])
     rows = [(50, v), (1, shifted), (2, rng.normal(0, 0.2, 64)), (3, v), (100, [0.1] * 64), (6, [0.1] * 80), (7, [float("nan")] * 64), (8, [0.3])]
-    vectors = spark.createDataFrame([(i, [float(x) for x in w]) for i, w in rows] + [(4, None), (5, []), (None, [0.5])], "vec_id long, embedding array<float>").withColumn("id", F.lit(1))
-    got = {r["vec_id"]: r for r in audio.op1_chroma(spark, save(spark, tmp_path, embeddings=vectors)).collect()}
+    vectors = spark.createDataFrame([(i, [float(x) for x in w]) for i, w in rows] + [(4, None), (5, []), (None, [0.5]), (50, [float(x) for x in v]), (9, [0.2] * 40), (9, [-0.2] * 40), (None, None)], "vec_id long, embedding array<float>").withColumn("id", F.lit(1))
+    every = audio.op1_chroma(spark, save(spark, tmp_path, embeddings=vectors)).collect()
+    assert Counter(r["vec_id"] for r in every) == Counter(r["vec_id"] for r in vectors.collect())  # repeated ids stay single rows
+    assert len({tuple(map(str, r)) for r in every if r["vec_id"] == 50}) == 1
+    got = {r["vec_id"]: r for r in every}
     assert got[50]["class_id"] == got[3]["class_id"] == 3 and got[4]["class_id"] is None
     assert [(m["class_id"], m["offset"]) for m in got[50]["matches"]] == [(1, 20)] and got[50]["matches"][0]["bit_error"] < 0.05
     assert [m["class_id"] for m in got[100]["matches"]] == [6] and got[1]["matches"] is None
