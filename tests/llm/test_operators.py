@@ -67,6 +67,9 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in parent if any(a != b and x in (a, b) for a, b in edges)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    star = components(spark.createDataFrame([(9, 1), (8, 1), (1, 7)], "u long, v long"))  # nothing to do, and what looks like it
+    assert {tuple(r) for r in star.collect()} == {(9, 1), (8, 1), (7, 1), (1, 1)}
+    assert {r["root"] for r in components(spark.createDataFrame([(9, 1), (9, 2), (8, 2)], "u long, v long")).collect()} == {1}
 
 
 # --- near-duplicates
