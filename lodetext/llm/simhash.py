@@ -204,18 +204,28 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     sets = stored(texts.groupBy("key").agg(F.min("set").alias("set")), "shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("key").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("set").alias("b")), "v")
+        """The pairs that are similar. A text of many pairs, as a head is, meets them in parts of about `block`."""
+        busy = pairs.select(F.explode(F.array("u", "v")).alias("key")).groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+        busy = stored(busy, "busy")
+        dealt = sets.join(busy, "key", "left").select("key", "set", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")).alias("part"))
+        both = pairs
+        for one, other, part in (("u", "v", "i"), ("v", "u", "j")):
+            both = both.join(busy.withColumnRenamed("key", one), one, "left").withColumn(part, F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        for one, part, name in (("u", "i", "a"), ("v", "j", "b")):
+            both = both.join(dealt.toDF(one, name, part), [one, part]).drop(part)
         both = both.where(F.least(F.size("a"), F.size("b")) >= similarity * F.greatest(F.size("a"), F.size("b")) - 1e-9).withColumn("c", F.size(F.array_intersect("a", "b")))
-        return both.where((F.col("c") > 0) & (F.col("c") >= similarity * (F.size("a") + F.size("b") - F.col("c")) - 1e-9)).select("u", "v")
+        found = stored(both.where((F.col("c") > 0) & (F.col("c") >= similarity * (F.size("a") + F.size("b") - F.col("c")) - 1e-9)).select("u", "v"), "links")
+        drop_stored(busy)
+        return found
 
-    links = stored(verified(pairs), "links")
+    links = verified(pairs)
     roots = stored(components(links), "roots")
     members_before = stored(shared.join(roots, shared["key"] == roots["node"], "left").select("k", "value", "key", F.coalesce("root", "key").alias("root")), "members")
     mixed = members_before.groupBy("k", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k", "value")
     apart = stored(members_before.join(mixed, ["k", "value"], "left_semi").join(classes.select("key", "size", "marks"), "key"), "apart")
     rest = block_pairs(apart, similarity, block)
     rest = stored(rest.distinct().join(pairs, ["u", "v"], "left_anti"), "rest")
-    more = stored(verified(rest), "links")
+    more = verified(rest)
     if not more.isEmpty():
         roots = stored(components(links.union(more)), "roots")
     for done in (classes, shared, pairs, sets, links, more, members_before, apart, rest):
