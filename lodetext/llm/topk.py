@@ -25,11 +25,17 @@ BLOCK = 128
 BROADCAST_TERMS = 500_000
 #: Terms of a query up to which its lists are walked one document at a time; those of a longer one are bounded and summed by arrays.
 WALKED_TERMS = 8
-#: Terms in more than 1 / COMMON of a shard, at most DENSE of them, are rows of a matrix there, with a maximum for each block of documents.
-COMMON, DENSE, NEIGHBOURS = 32, 512, 64
+#: Kinds of documents that a shard is divided into, told by at most KIND_TERMS terms that are in more than 1 / KIND_SHARE of it, and rounds of doing so.
+KINDS, KIND_TERMS, KIND_SHARE, KIND_ROUNDS = 6, 512, 20, 8
+#: Terms in more than 1 / COMMON of a kind's documents, at most DENSE of them, are rows of a matrix there, with a maximum for each block of NEIGHBOURS documents.
+COMMON, DENSE, NEIGHBOURS = 48, 1024, 64
+#: Products of a matrix in the time of one posting, roughly: more postings than that and a term is multiplied rather than summed.
+PRODUCTS = 600
+#: Long queries that are searched at once, and scores that their rare terms are summed in at once: what a core's cache holds.
+TOGETHER, SUMMED = 512, 1 << 16
 #: Share by which sums of single precision may be off, and more.
 SLACK = 1e-4
-#: Term numbers in the lists that are sent to the executors at once: some tens of MB.
+#: Term numbers in the lists that a task holds at once: some tens of MB.
 SENT_TERMS = 8_000_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Shards that a task searches one after the other, at most.
@@ -75,7 +81,7 @@ def inverted(ids: list[int], sizes: list[int], tokens: array, vocabulary: dict[s
         yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
 
 
-def build_index(docs: DataFrame, shard_docs: int = 16_384, shard_words: int = 4_000_000) -> DataFrame:
+def build_index(docs: DataFrame, shard_docs: int = 16_384, shard_words: int = 5_000_000) -> DataFrame:
     """Index of every row of docs (doc_id, text), materialised: shard, term, block, n, numbers, tfs, most, least.
 
     A shard is what one task reads in a row, up to `shard_docs` documents or `shard_words` words: no shuffle, and memory
@@ -187,18 +193,18 @@ def block_max_wand(terms: list[tuple[float, Postings]], sizes: list[int], ids: l
 
 
 class Shard:
-    """The postings of a shard with their parts of scores. Long queries are searched by block maxima, over blocks of neighbouring documents.
+    """The postings of a shard with their parts of scores. Long queries are searched by block maxima, over blocks of neighbouring documents, many at once.
 
-    A query's rare terms are summed for all documents. Its common terms lie in a matrix, and the sum of their maxima in a block bounds what they can add there: only
-    documents that may still reach the k-th best score so far get it added. Who is within rounding of the k-th best is summed again in the order of
-    the terms' numbers, so that equal documents have equal scores in whatever shard they are. Documents with the same strongest common term
-    are neighbours, so that the blocks are of a kind and bounds are close.
+    Documents are divided into kinds (languages, mostly) by the common terms they hold, so that blocks are of a kind and most terms are either frequent or absent in it. For a kind
+    and a batch of queries, which are alike too, rare terms are summed for all documents. Common terms lie in a matrix, and the sum of their maxima in a block bounds what they
+    can add there: only queries and blocks where one may still reach its k-th best score so far are multiplied. Who is within rounding of the k-th best is summed again in the order of
+    the terms' numbers, so that equal documents have equal scores in whatever shard they are.
     """
 
     def __init__(self, rows: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray, mean: float):
         """rows: number (ascending), n, idf, most and least of the blocks, docs and tfs of their postings."""
         self.rows, self.ids, self.sizes, self.mean, self.n = rows, ids, sizes, mean, len(sizes)
-        counts, docs = rows["n"], rows["docs"]
+        counts = rows["n"]
         self.terms, self.block_starts = np.unique(rows["number"], return_index=True)
         self.block_ends = np.append(self.block_starts[1:], len(counts))
         starts = np.concatenate([[0], np.cumsum(counts)])
@@ -208,90 +214,157 @@ class Shard:
 
     def prepare(self) -> None:
         """What only long queries need."""
-        rows, docs, held = self.rows, self.rows["docs"], np.diff(self.starts)
-        values = np.repeat(rows["idf"], rows["n"]) * part(rows["tfs"].astype(float), self.sizes[docs].astype(float), self.mean)
-        common = np.flatnonzero(held * COMMON > self.n)
-        common = common[np.argsort(-held[common], kind="stable")[:DENSE]]
-        strongest, share = np.full(self.n, -1), np.zeros(self.n)
-        for row, t in enumerate(common):
-            at = slice(self.starts[t], self.starts[t + 1])
-            more = values[at] > share[docs[at]]
-            strongest[docs[at][more]], share[docs[at][more]] = row, values[at][more]
-        self.order = np.lexsort((self.sizes, strongest))
-        place = np.empty(self.n, np.int64)
-        place[self.order] = np.arange(self.n)
-        self.docs, self.values = place[docs], values
-        self.dense_at = np.full(len(self.terms), -1)
-        self.dense_at[common] = np.arange(len(common))
-        blocks = -(-self.n // NEIGHBOURS)
-        dense = np.zeros((len(common), blocks * NEIGHBOURS), np.float32)
-        for row, t in enumerate(common):
-            at = slice(self.starts[t], self.starts[t + 1])
-            dense[row, self.docs[at]] = values[at]
-        self.dense = dense.reshape(len(common), blocks, NEIGHBOURS)
-        self.peaks = self.dense.max(axis=2)
-        by_doc = np.argsort(self.docs, kind="stable")
-        self.doc_terms, self.doc_values = np.repeat(np.arange(len(self.terms)), held)[by_doc], values[by_doc]
-        self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=self.n))])
-        self.asked = np.zeros(len(self.terms), bool)
+        if self.long:
+            return
+        rows, docs, held, n_terms = self.rows, self.rows["docs"], np.diff(self.starts), len(self.terms)
+        values = part(rows["tfs"].astype(float), self.sizes[docs].astype(float), self.mean)
+        values *= np.repeat(rows["idf"], rows["n"])
+        kind = self.divide(docs, values, held)
+        order = np.lexsort((self.sizes, kind))
+        sizes = np.bincount(kind, minlength=KINDS)
+        self.widths = -(-sizes // NEIGHBOURS) * NEIGHBOURS  # documents of a kind, and places without one up to a whole block
+        self.firsts = np.cumsum(self.widths) - self.widths
+        place = np.empty(self.n, np.int32)
+        place[order] = np.arange(self.n) + np.repeat(self.firsts - (np.cumsum(sizes) - sizes), sizes)
+        self.at_place = np.zeros(self.widths.sum(), np.int64)
+        self.at_place[place] = self.ids
+        terms, places = np.repeat(np.arange(n_terms, dtype=np.int32), held), place[docs]
+        by = np.argsort(places, kind="stable")
+        self.doc_terms, self.doc_values = terms[by], values[by]
+        self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(places, minlength=len(self.at_place)))])
+        # from here on a term of a kind has the number kind * n_terms + term
+        places -= self.firsts.astype(np.int32)[kind][docs]
+        terms = kind[docs] * n_terms + terms
+        self.kind_held = np.bincount(terms, minlength=KINDS * n_terms)
+        self.kind_starts = np.concatenate([[0], np.cumsum(self.kind_held)])
+        by = np.argsort(terms, kind="stable")
+        del terms
+        self.packed = np.empty((len(docs), 2), np.int32)  # place in the kind and part of a score in single precision, to be fetched as one
+        self.packed[:, 0] = places[by]
+        self.packed[:, 1] = values.astype(np.float32)[by].view(np.int32)
+        del by, places, values
+        self.column_of = np.full(KINDS * n_terms, DENSE, np.int16)  # DENSE: in no matrix
+        self.dense, self.peaks, self.column_held = [], [], []
+        for i, (size, width) in enumerate(zip(sizes, self.widths, strict=True)):
+            held = self.kind_held[i * n_terms : (i + 1) * n_terms]
+            common = np.flatnonzero(held * COMMON > size)
+            common = common[np.argsort(-held[common], kind="stable")[:DENSE]]
+            self.column_of[i * n_terms + common] = np.arange(len(common))
+            dense = np.zeros((len(common), width), np.float32)
+            for row, t in enumerate((i * n_terms + common).tolist()):
+                at = slice(self.kind_starts[t], self.kind_starts[t + 1])
+                dense[row, self.packed[at, 0]] = self.packed[at, 1].view(np.float32)
+            self.dense.append(dense)
+            self.peaks.append(dense.reshape(len(common), width // NEIGHBOURS, NEIGHBOURS).max(axis=2))
+            self.column_held.append(held[common])
+        self.asked = np.zeros(n_terms, bool)
         self.long = True
 
-    def known(self, query: np.ndarray) -> np.ndarray:
-        """Places of a query's terms among the shard's."""
-        at = np.minimum(np.searchsorted(self.terms, query), len(self.terms) - 1)
-        return at[self.terms[at] == query]
-
-    def pruned(self, query: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
-        """The k best (score, doc_id) of a query (term numbers), by score and then the smaller doc_id; only documents with a term of it and a score of `floor` or more."""
-        if not self.long:
-            self.prepare()
-        at = self.known(query)
-        if not k or not len(at):
-            return []
-        rare, common = at[self.dense_at[at] < 0], self.dense_at[at]
-        common = common[common >= 0]
-        held = self.starts[rare + 1] - self.starts[rare]
-        own = np.repeat(self.starts[rare] - (np.cumsum(held) - held), held) + np.arange(held.sum())
-        total = np.bincount(self.docs[own], weights=self.values[own], minlength=self.dense.shape[1] * NEIGHBOURS).reshape(-1, NEIGHBOURS)
-        bound = (total.max(axis=1) + self.peaks[common].sum(axis=0, dtype=np.float64)) * (1 + SLACK)
-
-        def full(blocks: np.ndarray) -> np.ndarray:
-            return total[blocks] + self.dense[common[:, None], blocks].sum(axis=0)
-
-        kth = lambda x: float(np.partition(x, len(x) - k)[len(x) - k])
-        if floor == -math.inf and self.n > 4 * k:  # the k-th best of some good ones is a floor
-            some = full(np.argsort(-bound)[: 1 + 4 * k // NEIGHBOURS]).ravel()
-            floor = kth(some) if len(some) >= k else floor
-        least = floor * (1 - SLACK) if floor > 0 else 0.0
-        blocks = np.flatnonzero((bound >= least) & (bound > 0))
-        if not len(blocks):
-            return []
-        scores = full(blocks).ravel()
-        if len(scores) > k:
-            least = max(least, kth(scores) * (1 - SLACK))
-        near = np.flatnonzero((scores >= least) & (scores > 0))
-        near = blocks[near // NEIGHBOURS] * NEIGHBOURS + near % NEIGHBOURS
-        self.asked[at] = True
-        found = []
-        for d in near:
-            here = slice(self.doc_starts[d], self.doc_starts[d + 1])
-            found.append((float(np.cumsum(self.doc_values[here][self.asked[self.doc_terms[here]]])[-1]), int(self.ids[self.order[d]])))
-        self.asked[at] = False
-        return sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+    def divide(self, docs: np.ndarray, values: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """The kind of each document: k-means of the directions of its common terms' parts, from slices of the documents by strongest term."""
+        common = np.flatnonzero(held * KIND_SHARE > self.n)
+        common = common[np.argsort(-held[common], kind="stable")[:KIND_TERMS]]
+        self.told_by = np.full(len(held), -1, np.int32)
+        self.told_by[common] = np.arange(len(common))
+        rows = np.zeros((self.n, len(common)), np.float32)
+        for column, t in enumerate(common.tolist()):
+            at = slice(self.starts[t], self.starts[t + 1])
+            rows[docs[at], column] = values[at]
+        kind = np.zeros(self.n, np.int64)
+        self.centres = np.zeros((KINDS, len(common)), np.float32)
+        if len(common):
+            rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
+            kind[np.argsort(rows.argmax(axis=1), kind="stable")] = np.arange(self.n) * KINDS // self.n
+            for _ in range(KIND_ROUNDS):
+                sums = (kind == np.arange(KINDS)[:, None]).astype(np.float32) @ rows
+                self.centres = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1)), 1e-9)[:, None]
+                kind = (rows @ self.centres.T).argmax(axis=1)
+        return kind
+
+    def likeness(self, at: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
+        """How much count queries are like each kind; at: places of their terms among the shard's, of: whose they are."""
+        asks, column = np.zeros((count, self.centres.shape[1]), np.float32), self.told_by[at]
+        asks[of[column >= 0], column[column >= 0]] = 1
+        return asks @ self.centres.T
+
+    def pruned(self, kind: int, at: np.ndarray, of: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, doc_id) of the k best or more of the documents of a kind for each query, by arrays; only documents with a term of it and a score of its floor or more.
+
+        at: places of the queries' terms among the shard's; of: whose they are, ascending; floors: of the queries, -inf for none.
+        """
+        count, width, n_terms = len(floors), int(self.widths[kind]), len(self.terms)
+        none = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        here = kind * n_terms + at
+        held = self.kind_held.take(here)
+        some = np.flatnonzero(held)
+        here, held, owner = here.take(some), held.take(some), of.take(some)
+        column = self.column_of.take(here)
+        asked = np.bincount(column, minlength=DENSE + 1)[: len(self.column_held[kind])] * self.column_held[kind]  # postings, if a column is not multiplied
+        columns = int(np.argmin(np.arange(len(asked) + 1) * (count * width / PRODUCTS) - np.concatenate([[0], np.cumsum(asked)])))
+        common, rare = np.flatnonzero(column < columns), np.flatnonzero(column >= columns)
+        asks = np.zeros((count, columns), np.float32)
+        asks[owner.take(common), column.take(common)] = 1
+        begin, held, owner = self.kind_starts.take(here.take(rare)), held.take(rare), owner.take(rare)
+        total, step = np.empty((count, width), np.float32), max(1, SUMMED // max(1, width))
+        for a in range(0, count, step):
+            some, (x, y) = min(step, count - a), np.searchsorted(owner, [a, a + step])
+            h = held[x:y]
+            own = np.repeat(begin[x:y] - (np.cumsum(h) - h), h)
+            own += np.arange(len(own))
+            own = self.packed.view(np.int64).ravel().take(own).view(np.int32)
+            key = np.repeat((owner[x:y] - a) * width, h)
+            key += own[::2]
+            total[a : a + some] = np.bincount(key, weights=own.view(np.float32)[1::2], minlength=some * width).reshape(some, width)
+        most = np.maximum.reduceat(total.ravel(), np.arange(0, count * width, NEIGHBOURS)).reshape(count, -1) if width else np.zeros((count, 0), np.float32)
+        bound = (most + asks @ self.peaks[kind][:columns]) * (1 + SLACK)
+        least = np.where(floors > 0, floors * (1 - SLACK), 0.0)
+        alive = (bound >= least[:, None]) & (bound > 0)
+        queries, blocks = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+        if not len(queries):
+            return none
+        places = (blocks[:, None] * NEIGHBOURS + np.arange(NEIGHBOURS)).ravel()
+        if len(places) < width:
+            scores = asks[queries] @ self.dense[kind][:columns, places]
+            scores += total[queries[:, None], places]
+        else:
+            scores = asks[queries] @ self.dense[kind][:columns]
+            scores += total[queries]
+        least, new = least[queries], np.flatnonzero(floors[queries] == -math.inf)
+        if len(new) and len(places) > k:
+            kth = np.partition(scores[new], len(places) - k, axis=1)[:, -k].astype(float)
+            least[new] = np.maximum(least[new], kth * (1 - SLACK))
+        near = (scores >= least.astype(np.float32)[:, None]) & (scores > 0)
+        hits = np.flatnonzero(near)
+        if not len(hits):
+            return none
+        row, hit = hits // len(places), hits % len(places)
+        rows, x = np.unique(row, return_index=True)
+        found, (mine, until) = ([], [], []), np.searchsorted(of, [queries[rows], queries[rows] + 1])
+        for i, x, y, m, u in zip(rows.tolist(), x.tolist(), [*x[1:].tolist(), len(row)], mine.tolist(), until.tolist(), strict=True):
+            d = hit[x:y]
+            if y - x > k:
+                own = scores[i, d]
+                d = d[own >= float(np.partition(own, len(own) - k)[len(own) - k]) * (1 - SLACK)]
+            d = places[d] + self.firsts[kind]
+            self.asked[at[m:u]] = True
+            spans = [slice(p, q) for p, q in zip(self.doc_starts[d].tolist(), self.doc_starts[d + 1].tolist(), strict=True)]
+            kept = [self.asked.take(self.doc_terms[s]) for s in spans]
+            self.asked[at[m:u]] = False
+            found[0].append(np.full(len(d), queries[i]))
+            found[1].append(np.array([self.doc_values[s][z].cumsum()[-1] for s, z in zip(spans, kept, strict=True)]))
+            found[2].append(self.at_place[d])
+        return tuple(np.concatenate(x) for x in found) if found[0] else none
 
     def walked(self, query: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
-        """The same by block-max WAND."""
+        """The k best (score, doc_id) of a query, given the places of its terms (-1: not here), by block-max WAND; by score and then the smaller doc_id, only documents with a score of `floor` or more."""
         mine = []
-        for i in self.known(query).tolist():
+        for i in query[query >= 0].tolist():
             if i not in self.ready:
                 at, blocks, r = slice(self.starts[i], self.starts[i + 1]), slice(self.block_starts[i], self.block_ends[i]), self.rows
                 self.ready[i] = (float(r["idf"][blocks.start]), Postings(r["docs"][at], r["tfs"][at], r["most"][blocks], r["least"][blocks], self.mean))
             mine.append(self.ready[i])
         return block_max_wand(mine, self.sizes.tolist() if mine else [], self.ids.tolist() if mine else [], self.mean, k, floor) if mine else []
 
-    def best(self, query: np.ndarray, k: int, floor: float = -math.inf) -> list[tuple[float, int]]:
-        return (self.walked if len(query) <= WALKED_TERMS else self.pruned)(query, k, floor)
-
 
 def query_terms(queries: DataFrame, index: DataFrame, n_docs: int, mean: float, n_terms: int | None, least_df: int = 1) -> DataFrame:
     """(query, term, idf) of queries (query, text): the n_terms terms that weigh most under BM25 in the whole text itself, all for None.
@@ -322,31 +395,79 @@ def flat(column: pa.BinaryArray, kind) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind) if column.buffers()[2] is not None else np.zeros(0, kind)
 
 
-def searched(sent, mean: float, k: int):
-    """The function that searches shards, given their postings one after the other, for the broadcast queries."""
+def merged(best: tuple[np.ndarray, np.ndarray], query: np.ndarray, score: np.ndarray, doc_id: np.ndarray) -> None:
+    """Puts documents found for queries among their best scores (queries x k, descending, -inf for none) and doc_ids."""
+    scores, ids = best
+    rows, k = np.unique(query), scores.shape[1]
+    query, score, doc_id = np.concatenate([np.repeat(rows, k), query]), np.concatenate([scores[rows].ravel(), score]), np.concatenate([ids[rows].ravel(), doc_id])
+    order = np.lexsort((doc_id, -score, query))
+    query = query[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    order, query, rank = order[rank < k], query[rank < k], rank[rank < k]
+    scores[query, rank], ids[query, rank] = score[order], doc_id[order]
+
+
+def searched(sent: list, n_queries: int, n_terms: int, mean: float, k: int):
+    """The function that searches shards, given their postings one after the other, for the queries of all broadcasts; it holds one of these at a time."""
+
+    def each() -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
+        first = 0
+        for i, block in enumerate(sent):
+            names, offsets, numbers = block.value
+            yield i, first, names, offsets, numbers
+            first += len(names)
+            if len(sent) > 1:
+                block.__dict__.pop("_value", None)  # the next use reads it from the executor's file
 
     @lean
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, offsets, numbers = sent.value
-        lists = [numbers[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        found: list[list[tuple[float, int]]] = [[] for _ in lists]  # by descending score and then doc_id
+        top = np.full((n_queries, k), -math.inf), np.zeros((n_queries, k), np.int64)
+        turns: dict[int, np.ndarray] = {}  # the order of the long queries of a block, by kind
 
         def search(parts: list[pa.RecordBatch]) -> None:
             rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            parts.clear()
             if rows.column("number")[0].as_py() >= 0 or len(rows) == 1:
                 return
             ids, sizes = (np.frombuffer(rows.column(c)[0].as_py(), kind) for c, kind in (("numbers", np.int64), ("tfs", np.int32)))
             rows = rows.slice(1)
             of = {c: rows.column(c).to_numpy() for c in ("number", "n", "idf", "most", "least")}
             shard = Shard(of | {"docs": flat(rows.column("numbers"), np.int32), "tfs": flat(rows.column("tfs"), np.int32)}, ids, sizes, mean)
-            for i, query in enumerate(lists):
-                now = found[i]
-                more = shard.best(query, k, now[-1][0] if len(now) == k else -math.inf)
-                if more:
-                    found[i] = sorted(now + more, key=lambda x: (-x[0], x[1]))[:k]
+            table = np.full(n_terms, -1, np.int32)
+            table[shard.terms] = np.arange(len(shard.terms))
+
+            def known(some: np.ndarray, offsets: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Places of the terms of some queries among the shard's, and whose they are."""
+                size = offsets[some + 1] - offsets[some]
+                at = table[numbers[np.repeat(offsets[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())]]
+                return at[at >= 0], np.repeat(np.arange(len(some)), size)[at >= 0]
+
+            for block, first, _, offsets, numbers in each():
+                size = np.diff(offsets)
+                for i in np.flatnonzero(size <= WALKED_TERMS).tolist():
+                    more = shard.walked(np.sort(table[numbers[offsets[i] : offsets[i + 1]]]), k, float(top[0][first + i, -1]))
+                    if more:
+                        merged(top, np.full(len(more), first + i), *map(np.array, zip(*more, strict=True)))
+                if block not in turns:
+                    long = np.flatnonzero(size > WALKED_TERMS)
+                    if len(long) > TOGETHER:
+                        shard.prepare()
+                        parts = [long[a : a + TOGETHER] for a in range(0, len(long), TOGETHER)]
+                        long = long[np.lexsort((size[long], np.concatenate([shard.likeness(*known(x, offsets, numbers), len(x)).argmax(axis=1) for x in parts])))]
+                    turns[block] = long.astype(np.int32)
+                for a in range(0, len(turns[block]), TOGETHER):
+                    some = turns[block][a : a + TOGETHER]
+                    at, whose = known(some, offsets, numbers)
+                    if not len(at):
+                        continue
+                    shard.prepare()
+                    order = np.argsort(-shard.likeness(at, whose, len(some)).sum(axis=0), kind="stable")  # the best first, for a high floor
+                    for kind in order[shard.widths[order] > 0].tolist():
+                        query, score, doc_id = shard.pruned(kind, at, whose, top[0][first + some, -1], k)
+                        merged(top, first + some[query], score, doc_id)
 
         held: list[pa.RecordBatch] = []
-        for rows in batches:
+        for rows in batches if k else ():
             shards = rows.column("shard").to_numpy()
             cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -354,24 +475,25 @@ def searched(sent, mean: float, k: int):
                     continue
                 if held and held[0].column("shard")[0].as_py() != shards[a]:
                     search(held)
-                    held = []
                 held.append(rows.slice(a, b - a))
         if held:
             search(held)
-        for a in range(0, len(found), 1024):
-            out = [(queries[a + i], d, s) for i, x in enumerate(found[a : a + 1024]) for s, d in x]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.float64()), strict=True)], names=["query", "doc_id", "score"])
+        for _, first, names, _, _ in each():
+            for a in range(0, len(names), 1024):
+                query, rank = np.nonzero(top[0][first + a : first + min(a + 1024, len(names))] > -math.inf)
+                if len(query):
+                    out = [pa.array(names[a : a + 1024], pa.string()).take(pa.array(query)), pa.array(top[1][first + a + query, rank]), pa.array(top[0][first + a + query, rank])]
+                    yield pa.RecordBatch.from_arrays(out, names=["query", "doc_id", "score"])
 
     return best
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | None = None, least_df: int = 1, queries_at_once: int = 65_536, lanes: int | None = None) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | None = None, least_df: int = 1, queries_at_once: int = 262_144, lanes: int | None = None) -> DataFrame:
     """(query, rank, doc_id, score): the k best documents of each of queries (query string, text), by BM25 and then the smaller doc_id.
 
     Scores use the document frequencies, number and average length of all documents, so a shard's k best are final and merging them is
-    exact. A task searches the shards of one of `lanes` lanes (two for each core or more, so that none has over LANE_SHARDS, if not given), one after the other, for one block of at most about `queries_at_once` queries and
-    SENT_TERMS terms: it gets the postings of their terms by shuffle and the numbers of the terms of each query by broadcast, and the
+    exact. A task searches the shards of one of `lanes` lanes (two for each core or more, so that none has over LANE_SHARDS, if not given), one after the other, for at most about `queries_at_once` queries,
+    of which it holds the k best so far: it gets the postings of their terms by one shuffle and the numbers of the terms of each query by broadcasts of at most about SENT_TERMS, one of which it holds at a time. The
     k-th best score of the shards before is the floor in the next. So lanes, not shards, times k rows of a query are merged. Block maxima skip what
     can't reach the floor: by walking the lists up to WALKED_TERMS terms, by arrays beyond. A query without known terms gives no rows.
     """
@@ -380,31 +502,41 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, n_terms: int | Non
     n_docs, mean = whole["n"], (whole["total"] / whole["n"] if whole["n"] else 0.0)
     terms = stored(query_terms(queries, index, n_docs, mean, n_terms, least_df), "terms")
     asked = terms.agg(F.count_distinct("query").alias("queries"), F.count("*").alias("terms")).first()
-    blocks = max(1, math.ceil(asked["queries"] / queries_at_once), math.ceil(asked["terms"] / SENT_TERMS))
+    if not asked["queries"]:
+        return spark.createDataFrame([], "query string, rank int, doc_id long, score double")
+    rounds = math.ceil(asked["queries"] / queries_at_once)
+    blocks = rounds * math.ceil(asked["terms"] / rounds / SENT_TERMS)
     numbered = stored(terms.groupBy("term").agg(F.first("idf").alias("idf")).withColumn("number", F.monotonically_increasing_id()), "needed")
-    broadcast = F.broadcast if numbered.count() <= BROADCAST_TERMS else (lambda df: df)  # else both sides are shuffled by term
+    counts = sorted(numbered.groupBy(F.shiftright("number", 33).alias("part")).count().collect())  # a row a partition
+    before = np.cumsum([0, *(c for _, c in counts)]).tolist()
+    first = F.element_at(F.create_map(*(F.lit(x) for (part, _), n in zip(counts, before[:-1], strict=True) for x in (part, n))), F.shiftright("number", 33))
+    numbered = numbered.withColumn("number", first + F.col("number").bitwiseAND((1 << 33) - 1))  # from 0, without gaps
+    broadcast = F.broadcast if before[-1] <= BROADCAST_TERMS else (lambda df: df)  # else both sides are shuffled by term
     listed = terms.select("query", "term").join(broadcast(numbered.select("term", "number")), "term").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    lists = stored(listed.groupBy("part", "query").agg(F.sort_array(F.collect_list("number")).alias("numbers")), "lists")
+    lists = stored(listed.groupBy("part", "query").agg(F.sort_array(F.collect_list(F.col("number").cast("int"))).alias("numbers")), "lists")
     drop_stored(terms)
     heads = stored(index.where("term = ''").select("shard").distinct(), "shards")
     lanes = lanes or max(2 * spark.sparkContext.defaultParallelism, math.ceil(heads.count() / LANE_SHARDS))
     order = Window.orderBy("shard")
     lane = stored(heads.withColumn("lane", ((F.row_number().over(order) - 1) % lanes).cast("int")), "lanes")  # a row a shard
     found = []
-    for block in range(blocks):
-        mine = lists.where(F.col("part") == block).select("query", "numbers").toArrow().combine_chunks()  # at most SENT_TERMS, or one query
-        if not mine.num_rows:
+    for start in range(0, blocks, blocks // rounds):
+        parts, sent, n_queries = list(range(start, start + blocks // rounds)), [], 0
+        for block in parts:
+            mine = lists.where(F.col("part") == block).select("query", "numbers").toArrow().combine_chunks()  # about SENT_TERMS
+            if mine.num_rows:
+                column = mine.column("numbers").combine_chunks()
+                column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+                sent.append(spark.sparkContext.broadcast((mine.column("query").to_pylist(), column.offsets.to_numpy().astype(np.int64), column.values.to_numpy())))
+                sent[-1].__dict__.pop("_value", None)  # the driver keeps the file only
+                n_queries += mine.num_rows
+        if not sent:
             continue
-        column = mine.column("numbers").combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        sent = spark.sparkContext.broadcast((mine.column("query").to_pylist(), column.offsets.to_numpy(), column.values.to_numpy()))
-        needed = numbered if blocks == 1 else numbered.join(lists.where(F.col("part") == block).select(F.explode("numbers").alias("number")).distinct(), "number", "left_semi")
+        needed = numbered if rounds == 1 else numbered.join(lists.where(F.col("part").isin(parts)).select(F.explode("numbers").cast("long").alias("number")).distinct(), "number", "left_semi")
         postings = index.where("term <> ''").join(broadcast(needed), "term").drop("term")
         sides = index.where("term = ''").drop("term").withColumns({"idf": F.lit(0.0), "number": F.lit(-1).cast("long")}).unionByName(postings)
         sides = sides.join(F.broadcast(lane), "shard").repartitionById(lanes, F.col("lane")).drop("lane").sortWithinPartitions("shard", "number", "block")
-        found.append(sides.mapInArrow(searched(sent, mean, k), "query string, doc_id long, score double"))
-    if not found:
-        return spark.createDataFrame([], "query string, rank int, doc_id long, score double")
+        found.append(sides.mapInArrow(searched(sent, n_queries, before[-1], mean, k), "query string, doc_id long, score double"))
     of_lanes = reduce(DataFrame.unionAll, found)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     return of_lanes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "doc_id", "score")

@@ -692,6 +692,50 @@ def test_registered_op4_asks_by_the_whole_text(spark, tmp_path):
     assert [x[1] for x in sorted(got[50])] == [50, *range(1000, 1009)]  # equal scores: the smaller doc_id
 
 
+def test_op4_searches_all_queries_in_one_pass_and_by_kinds(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    weights = 1 / np.arange(1, 601)
+    texts = [" ".join(f"{'xy'[i % 2]}{w}" for w in rng.choice(600, rng.integers(10, 120), p=weights / weights.sum())) for i in range(1500)]
+    texts += [texts[0]] * 30 + ["", "lonely", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = [*range(1300), 1530, 1531]  # more long queries than are searched at once, and short ones
+    asks = spark.createDataFrame([(str(i), texts[i]) for i in asked] + [("short", "x1 y2"), ("none", "unknown")], "query string, text string")
+    index = topk.build_index(docs, shard_docs=700)
+    monkeypatch.setattr(topk, "SENT_TERMS", 9000)
+    found = topk.search(index, asks, 7)
+    assert found._jdf.queryExecution().logical().toString().count("MapInArrow") == 1  # the index is read and dealt out once, however many broadcasts
+    got = defaultdict(list)
+    for r in found.collect():
+        got[r["query"]].append((r["rank"], r["doc_id"], r["score"]))
+    own = [Counter(topk.words(t)) for t in texts]
+    number = {w: i for i, w in enumerate(sorted(set().union(*own)))}
+    size = np.array([c.total() for c in own])
+    parts = np.zeros((len(texts), len(number)))
+    for d, c in enumerate(own):
+        for w, tf in c.items():
+            parts[d, number[w]] = topk.part(tf, int(size[d]), size.mean())
+    df = (parts > 0).sum(axis=0)
+    parts *= np.log(1 + (len(texts) - df + 0.5) / (df + 0.5))
+    for name, words in [(str(i), own[i]) for i in asked] + [("short", ["x1", "y2"])]:
+        scores = parts[:, [number[w] for w in words]].sum(axis=1)
+        want = sorted((-round(x, 9), d) for d, x in enumerate(scores) if x > 0)[:7]
+        assert [x[2] for x in sorted(got.pop(name, []))] == pytest.approx([-x for x, _ in want]), name
+    assert not got
+    again = topk.search(topk.build_index(docs), asks.where("query IN ('0', '3', 'short')"), 40).collect()
+    assert [r["doc_id"] for r in sorted(again) if r["query"] == "0"][:31] == [0, *range(1500, 1530)]  # equal scores: the smaller doc_id
+
+
+def test_op4_divides_a_shard_by_kinds():
+    docs = np.array([0, 2, 4, 1, 3, 5], np.int32)  # one term stands in the even documents, another in the odd ones
+    rows = {"number": np.arange(2), "n": np.array([3, 3]), "idf": np.ones(2), "most": np.ones(2, int), "least": np.ones(2, int), "docs": docs, "tfs": np.ones(6, np.int32)}
+    shard = topk.Shard(rows, np.arange(6), np.ones(6, np.int32), 1.0)
+    shard.prepare()
+    assert sorted(shard.widths.tolist()) == [0] * (topk.KINDS - 2) + [64, 64]
+    for kind in np.flatnonzero(shard.widths):
+        _, score, doc_id = shard.pruned(kind, np.array([0]), np.array([0]), np.array([-np.inf]), 6)
+        assert sorted(doc_id) in ([], [0, 2, 4]) and set(score) <= {1.0}
+
+
 # --- audio
 
 
