@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodetext.functions.encoding import gap_decode, gap_encode, vbyte_decode, vbyte_encode
@@ -115,14 +115,33 @@ def lookup(rows: DataFrame, wanted: list[str]) -> DataFrame:
     return found
 
 
-def dense_ids(docs: DataFrame, order: str, name: str = "doc_no") -> DataFrame:
-    """Numbers 0, 1, 2, … in order of a column: partitions are sorted by range and counted, and each starts after those before it. No window over all rows."""
-    rows = docs.repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    rows = rows.withColumn("lodetext_part", F.spark_partition_id()).withColumn("lodetext_at", F.monotonically_increasing_id())
-    counts = rows.groupBy("lodetext_part").agg(F.count("*").alias("n"), F.min("lodetext_at").alias("first")).collect()  # a row a partition
+def dense_ids(docs: DataFrame, order: str, name: str = "doc_no", part_rows: int = 500_000) -> DataFrame:
+    """Numbers 0, 1, 2, … in order of a column, nulls last: rows are dealt by bounds, numbered within their part, and each part starts after those before it.
+
+    The bounds are values of the column, told by hash, and stand in the plan: a second run parts the rows as the first did, which counted them. Ranges that Spark
+    samples differ from run to run. No window over all rows.
+    """
+    if not (n := docs.count()):
+        return docs.withColumn(name, F.lit(0).cast("long"))
+    parts = min(-(-n // part_rows), 256)
+    bounds = []
+    if parts > 1:
+        seen = docs.select(F.col(order).alias("v")).where("v IS NOT NULL").distinct().orderBy(F.xxhash64("v"), "v").limit(parts * 64)
+        values = sorted(r["v"] for r in seen.collect())  # 64 a part
+        bounds = sorted({values[len(values) * i // parts] for i in range(1, parts)} if values else ())
+
+    def part(low: int, high: int) -> Column:
+        """The number of bounds up to a value, from low to high, by bisection."""
+        if low == high:
+            return F.lit(low)
+        at = (low + high) // 2
+        return F.when(F.col(order) >= F.lit(bounds[at]), part(at + 1, high)).otherwise(part(low, at))
+
+    rows = docs.withColumn("lodetext_part", F.when(F.col(order).isNull(), len(bounds) + 1).otherwise(part(0, len(bounds))))
     total, start = 0, []
-    for r in sorted(counts, key=lambda r: r["lodetext_part"]):
-        start.append((r["lodetext_part"], total - r["first"]))
-        total += r["n"]
+    for r in rows.groupBy("lodetext_part").count().orderBy("lodetext_part").collect():  # a row a part
+        start.append((r["lodetext_part"], total))
+        total += r["count"]
     shift = docs.sparkSession.createDataFrame(start, "lodetext_part int, lodetext_shift long")
-    return rows.join(F.broadcast(shift), "lodetext_part").withColumn(name, F.col("lodetext_at") + F.col("lodetext_shift")).drop("lodetext_part", "lodetext_at", "lodetext_shift")
+    at = F.row_number().over(Window.partitionBy("lodetext_part").orderBy(order)) - 1
+    return rows.withColumn("lodetext_at", at.cast("long")).join(F.broadcast(shift), "lodetext_part").withColumn(name, F.col("lodetext_at") + F.col("lodetext_shift")).drop("lodetext_part", "lodetext_at", "lodetext_shift")
