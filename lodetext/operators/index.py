@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +13,53 @@ from lodetext.functions.encoding import gap_decode, gap_encode, vbyte_decode, vb
 from lodetext.functions.text import PLAIN, AnalyzerConfig, token_table, tokens
 
 
+#: Bytes of stored documents a task parts into postings, which take some thirty times as much in memory.
+PART_BYTES = 8 << 20
+
+
+def texts_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, texts): a row per document, in parts small enough for what is made of them. Rows that share an id are one document, in an order of their own."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # of the files read; no job
+    if size < 1 << 60:  # else it isn't known
+        least = docs.sparkSession.sparkContext.defaultParallelism if size > 1 << 20 else 1
+        rows = rows.repartition(min(max(-(-size // PART_BYTES), least), 20_000), "doc_id")
+    held = F.sort_array(F.collect_list(F.struct(F.xxhash64("text").alias("h"), "text")))
+    return rows.groupBy("doc_id").agg(F.transform(held, lambda x: x["text"]).alias("texts"))
+
+
+def runs(rows: DataFrame, entry: Callable[[Column, Column], Column], *keep: str) -> DataFrame:
+    """Exploded rows (keep, e): an entry for each run of equal terms in `at`, an array of structs (term, ...) that is sorted."""
+    new = lambda k: (k == 0) | (F.get("at", k)["term"] != F.get("at", k - 1)["term"])
+    starts = F.filter(F.when(F.size("at") > 0, F.sequence(F.lit(0), F.size("at") - 1)), new)
+    rows = rows.select(*keep, "at", starts.alias("starts"))
+    part = lambda s, j: entry(F.get("at", s)["term"], F.slice("at", s + 1, F.coalesce(F.get("starts", j + 1), F.size("at")) - s))
+    return rows.select(*keep, F.transform("starts", part).alias("entries"))
+
+
+def by_document(docs: DataFrame, config: AnalyzerConfig = PLAIN, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, dl, entries (term, positions)): postings before they are exploded. Texts are dealt by doc_id once; a document's tokens are sorted and parted within its row."""
+    one_text = lambda t: tokens(t, config)
+    toks = F.when(F.size("texts") == 1, one_text(F.get("texts", F.lit(0)))).otherwise(F.flatten(F.transform("texts", one_text)))
+    rows = texts_of(docs, text, doc_id).select("doc_id", toks.alias("toks"))
+    placed = F.transform("toks", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    rows = rows.select("doc_id", F.size("toks").alias("dl"), F.sort_array(placed).alias("at"))
+    return runs(rows, lambda term, run: F.struct(term.alias("term"), F.transform(run, lambda x: x["pos"]).alias("positions")), "doc_id", "dl")
+
+
+def exploded(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep, term, tf, positions) of rows with entries (term, positions).
+
+    What is exploded is an expression, not a column: of a column Spark would infer that it isn't empty, and make all of it once more for that filter.
+    """
+    entry = lambda e: F.struct(e["term"].alias("term"), F.size(e["positions"]).cast("long").alias("tf"), e["positions"].alias("positions"))
+    return rows.select(*keep, F.explode(F.transform("entries", entry)).alias("e")).select(*keep, "e.*")
+
+
 def postings(docs: DataFrame, config: AnalyzerConfig = PLAIN, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, dl, term, tf, positions): one shuffle on (doc_id, term), combined before it. A filter on term reaches the token table."""
+    """(doc_id, dl, term, tf, positions): only texts are shuffled, by doc_id. Stems need the vocabulary, so with stemming it is a shuffle on (doc_id, term), combined before it."""
+    if not config.stemming:
+        return exploded(by_document(docs, config, text, doc_id), "doc_id", "dl")
     rows = token_table(docs, config, text, doc_id)
     return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
@@ -64,6 +110,14 @@ def merged(*parts: DataFrame) -> DataFrame:
     return every.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
+def merged_documents(rows: DataFrame) -> DataFrame:
+    """merged() of lists that already lie in their document's row: (doc_id, lists), each list as the entries of by_document(). Nothing is shuffled."""
+    held = F.transform("lists", lambda entries: F.filter(entries, lambda e: F.size(e["positions"]) > 0))
+    rows = rows.select("doc_id", F.sort_array(F.flatten(held)).alias("at"))
+    joined = lambda run: F.sort_array(F.flatten(F.transform(run, lambda e: e["positions"])))
+    return exploded(runs(rows, lambda term, run: F.struct(term.alias("term"), joined(run).alias("positions")), "doc_id"), "doc_id")
+
+
 def updated(posted: DataFrame, add: DataFrame | None = None, remove: DataFrame | None = None, config: AnalyzerConfig = PLAIN) -> DataFrame:
     """Postings without the documents in remove (doc_id) and with those in add (doc_id, text), which replace ones of the same id."""
     gone = [x.select("doc_id") for x in (remove, add) if x is not None]

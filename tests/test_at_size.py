@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodetext.operators import index as ix
+from lodetext.plans import registry
 
 
 @pytest.fixture
@@ -24,3 +25,52 @@ def test_dense_ids_of_nulls_and_repeats(spark):
     rows = ix.dense_ids(spark.createDataFrame([(None,), ("b",), ("a",), ("b",), (None,)], "k string"), "k", part_rows=2)
     assert sorted(map(tuple, rows.collect()), key=lambda r: r[1]) == [("a", 0), ("b", 1), ("b", 2), (None, 3), (None, 4)]
     assert ix.dense_ids(spark.createDataFrame([], "k string"), "k").count() == 0
+
+
+def shuffled(spark, rows) -> int:
+    """Bytes that a run writes to shuffles or spills."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def written():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() + stages.apply(i).diskBytesSpilled() for i in range(stages.length()))
+
+    before = written()
+    rows.write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return written() - before
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """A table folder whose documents have many words each, most of them their own."""
+    path = tmp_path_factory.mktemp("tables")
+    words = F.expr("transform(sequence(1, 2000), i -> CASE WHEN i % 20 = 0 THEN element_at(array('that', 'with', 'anea', 'ther', 'tion'), CAST(i / 20 % 5 AS INT) + 1) ELSE conv(xxhash64(id, i) % 1000000, 10, 26) END)")
+    docs = spark.range(0, 200, 1, 4).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    docs.write.parquet(str(path / "documents.parquet"))
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def stored(folder):
+    """Bytes of its documents."""
+    import glob
+    import os
+
+    return sum(map(os.path.getsize, glob.glob(f"{folder}/documents.parquet/*.parquet")))
+
+
+def test_positions_of_rows_that_share_an_id(spark):
+    rows = [(1, "cat dog cat"), (1, "dog bird"), (None, "cat"), (None, "cat cat"), (2, None), (2, ""), (3, "a !"), (4, None), (4, "fish")]
+    found = {(r["doc_id"], r["term"]): r for r in ix.postings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: (r["dl"], r["tf"]) for k, r in found.items()} == {(1, "cat"): (5, 2), (1, "dog"): (5, 2), (1, "bird"): (5, 1), (None, "cat"): (3, 3), (4, "fish"): (1, 1)}
+    assert sorted(p for k, r in found.items() if k[0] == 1 for p in r["positions"]) == [0, 1, 2, 3, 4]
+
+
+def run(spark, name, folder):
+    return registry.queries()[name](spark, folder)
+
+
+@pytest.mark.parametrize("name", ["merge_postings"])
+def test_only_texts_are_shuffled_for_postings(spark, folder, stored, name):
+    assert shuffled(spark, run(spark, name, folder)) < 2 * stored
