@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -64,6 +64,27 @@ def postings(docs: DataFrame, config: AnalyzerConfig = PLAIN, text: str = "text"
     return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def of_terms(docs: DataFrame, wanted: Sequence[str], config: AnalyzerConfig = PLAIN, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """postings() of the wanted terms, and (doc_id, dl) of all documents with tokens. Both lie in one shuffle, of a row per document with the wanted tokens only.
+
+    Texts are analyzed once for both, however often they are used in a plan: everything after that shuffle reads the whole of its rows, so that it is the same one.
+    """
+    if config.stemming:  # stems are known by the vocabulary only
+        return lookup(postings(docs, config, text, doc_id), sorted(wanted)), doc_lengths(docs, config, text, doc_id)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), tokens(F.col(text), config).alias("toks"))
+    placed = F.transform("toks", lambda t, i: F.when(t.isin(sorted(wanted)), F.struct(t.alias("term"), i.alias("pos"))))
+    part = F.struct("h", F.size("toks").alias("n"), F.filter(placed, lambda x: x.isNotNull()).alias("found"))
+    rows = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    total = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + x["n"])
+    moved = lambda x, k: F.transform(x["found"], lambda y: F.struct(y["term"].alias("term"), (y["pos"] + total(F.slice("parts", 1, k))).alias("pos")))
+    found = F.when(F.size("parts") == 1, F.get("parts", F.lit(0))["found"]).otherwise(F.flatten(F.transform("parts", moved)))
+    entries = runs(
+        rows.select("doc_id", total("parts").alias("dl"), F.sort_array(found).alias("at")),
+        lambda term, run: F.struct(term.alias("term"), F.transform(run, lambda x: x["pos"]).alias("positions")), "doc_id", "dl",
+    )
+    return exploded(entries, "doc_id", "dl"), rows.select("doc_id", total("parts").alias("dl")).where("dl > 0")
+
+
 def frequencies(docs: DataFrame, config: AnalyzerConfig = PLAIN, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, dl, term, tf): postings without positions."""
     return token_table(docs, config, text, doc_id).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))

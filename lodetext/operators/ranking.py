@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodetext.operators.index import lookup
 from lodetext.operators.index import stats as collection_stats
 
 
@@ -39,6 +40,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
 
 
+def restricted(posted: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Postings of the workload's terms. They are named in a filter, which reaches the tokens or the files; a semi-join would come after the shuffle of every posting."""
+    return lookup(posted, sorted({r["term"] for r in wanted.select("term").collect()} - {None}))  # the workload's terms
+
+
 def term_parts(posted: DataFrame, wanted: DataFrame, scorer: str = "bm25", stats: DataFrame | dict | None = None, terms: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, term, weight, part, bound): the part of each query term in each document that has it. Terms unknown to the index give no rows.
 
@@ -48,8 +54,9 @@ def term_parts(posted: DataFrame, wanted: DataFrame, scorer: str = "bm25", stats
     """
     part, bound = SCORERS[scorer]
     if terms is None:
-        needed = posted.join(wanted.select("term").distinct(), "term", "left_semi")
-        rows = needed.join(needed.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf")), "term").join(wanted, "term")
+        needed = restricted(posted, wanted)
+        counted = needed.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"))
+        rows = needed.join(F.broadcast(counted), "term").join(F.broadcast(wanted), "term")  # rows of the workload
     else:
         rows = posted.join(F.broadcast(terms.select("term", "df", "max_tf").join(F.broadcast(wanted), "term")), "term")  # rows of the workload
     if isinstance(stats, dict):
@@ -99,7 +106,7 @@ def ranked_doc_threshold(posted: DataFrame, queries: DataFrame, threshold: float
     return top_k(kept.select("query_id", "doc_id", "score"), k, digits)
 
 
-def ranked_early_stop(posted: DataFrame, terms: list[str], k: int = 10, window: int = 3, scorer: str = "bm25", digits: int = 6) -> DataFrame:
+def ranked_early_stop(posted: DataFrame, terms: list[str], k: int = 10, window: int = 3, scorer: str = "bm25", digits: int = 6, stats: DataFrame | None = None) -> DataFrame:
     """Term-at-a-time with the stop rule: once the set of the best k has been the same after `window` terms in a row, later terms don't count.
 
     Approximate by definition. Every prefix of the query is scored at once: parts are repeated for the prefixes they belong to, the
@@ -110,7 +117,7 @@ def ranked_early_stop(posted: DataFrame, terms: list[str], k: int = 10, window:
     order = [t for t in terms if t in known]
     rows = [(p, order[:p]) for p in range(1, len(order) + 1)]
     prefixes = spark.createDataFrame(rows or [(1, [])], "query_id int, terms array<string>")
-    best = ranked(posted, prefixes, k, scorer, digits)
+    best = ranked(posted, prefixes, k, scorer, digits, stats)
     sets = best.groupBy("query_id").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
     along = Window.orderBy("query_id").rowsBetween(-(window - 1), 0)  # as many rows as the query has terms
     sets = sets.withColumn("n", F.count("*").over(along)).withColumn("seen", F.size(F.collect_set("docs").over(along)))
@@ -123,14 +130,15 @@ def total_hits(scored: DataFrame) -> DataFrame:
     return scored.groupBy("query_id").agg(F.count("*").alias("total_hits"), F.max("score").alias("max_score"))
 
 
-def field_scores(fields: dict[str, tuple[DataFrame, float]], queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): per document the largest of its fields' boosted scores. fields: name to (postings, boost)."""
+def field_scores(fields: dict[str, tuple[DataFrame, float]], queries: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score): per document the largest of its fields' boosted scores. fields: name to (postings, boost). stats: of a single field, as one row."""
     wanted = query_terms(queries)
     every = None
     for posted, boost in fields.values():
-        needed = posted.join(wanted.select("term").distinct(), "term", "left_semi")
+        needed = restricted(posted, wanted)
         df = needed.groupBy("term").agg(F.count("*").alias("df"))
-        rows = needed.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(collection_stats(posted)))  # one row
+        rows = needed.join(F.broadcast(df), "term").join(F.broadcast(wanted), "term")  # rows of the workload
+        rows = rows.crossJoin(F.broadcast(collection_stats(posted) if stats is None else stats))  # one row
         part = server_bm25(C("tf"), C("df"), C("dl"), C("n_docs"), C("avgdl"))
         one = rows.groupBy("query_id", "doc_id").agg((boost * F.sum(part * C("weight"))).alias("score"))
         every = one if every is None else every.unionByName(one)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodetext.operators import index as ix
+from lodetext.operators import ranking as rk
 from lodetext.plans import registry
 
 
@@ -74,3 +75,26 @@ def run(spark, name, folder):
 @pytest.mark.parametrize("name", ["merge_postings"])
 def test_only_texts_are_shuffled_for_postings(spark, folder, stored, name):
     assert shuffled(spark, run(spark, name, folder)) < 2 * stored
+
+
+RANKED = ["rank_bm25"]
+
+
+@pytest.mark.parametrize("name", RANKED)
+def test_only_asked_postings_are_shuffled(spark, folder, stored, name):
+    assert shuffled(spark, run(spark, name, folder)) < stored // 10
+
+
+def test_postings_of_some_terms_are_those_of_all(spark):
+    rows = [(1, "cat dog cat"), (1, "dog bird cat"), (None, "cat"), (2, None), (2, ""), (3, "a !"), (4, "fish cat"), (5, "bird")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    every, (posted, lengths) = ix.postings(docs), ix.of_terms(docs, ["cat", "bird", "none"])
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert order(posted) == order(every.where("term IN ('cat', 'bird')"))
+    assert order(lengths) == [(1, 6), (4, 2), (5, 1), (None, 1)]
+
+
+def test_a_workload_restricts_any_postings_before_their_shuffle(spark, folder, stored):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    asked = spark.createDataFrame([(0, ["that", "with"])], "query_id int, terms array<string>")
+    assert shuffled(spark, rk.ranked(ix.frequencies(docs), asked, scorer="tf")) < stored // 10
