@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,13 +64,19 @@ def tokens(text: Column, config: AnalyzerConfig = PLAIN) -> Column:
     elif config.remove_punctuation:
         text = without_punctuation(text)
     if config.contractions:
-        for short, full in CONTRACTIONS.items():
-            text = F.regexp_replace(text, rf"(?<![^\s]){short}(?![^\s])", full)
-    found = F.filter(F.split(text, r"\s+"), lambda t: F.length(t).between(config.min_length, config.max_length))
+        text = F.get(F.transform(F.array(text), expanded), F.lit(0))  # a lambda, so that what is done to the text before is done once
+    kept = lambda t: F.length(t).between(config.min_length, config.max_length)
     if config.stop_words:
-        stops = F.array(*[F.lit(w) for w in config.stop_words])
-        found = F.filter(found, lambda t: ~F.array_contains(stops, t))
-    return found
+        return F.filter(F.split(text, r"\s+"), lambda t: kept(t) & ~t.isin(*config.stop_words))
+    return F.filter(F.split(text, r"\s+"), kept)
+
+
+def expanded(text: Column) -> Column:
+    """Contractions parted; most texts have none, which is cheaper to see than to replace."""
+    parted = text
+    for short, full in CONTRACTIONS.items():
+        parted = F.regexp_replace(parted, rf"(?<![^\s]){short}(?![^\s])", full)
+    return F.when(reduce(or_, [F.contains(text, F.lit(short)) for short in CONTRACTIONS]), parted).otherwise(text)
 
 
 def analyzed_here(text: str, config: AnalyzerConfig = PLAIN) -> list[str]:
@@ -114,6 +122,8 @@ def token_table(docs: DataFrame, config: AnalyzerConfig = PLAIN, text: str = "te
 
 
 def word_frequencies(docs: DataFrame, config: AnalyzerConfig = PLAIN, text: str = "text") -> DataFrame:
-    """(term, freq) over all texts."""
-    rows = docs.select(F.explode(tokens(F.col(text), config)).alias("term"))
-    return (with_stems(rows) if config.stemming else rows).groupBy("term").agg(F.count("*").alias("freq"))
+    """(term, freq) over all texts. Stems are of words already counted: no token is joined."""
+    counted = docs.select(F.explode(tokens(F.col(text), config)).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
+    if not config.stemming:
+        return counted
+    return counted.select(stemmed("term").alias("term"), "freq").groupBy("term").agg(F.sum("freq").alias("freq"))

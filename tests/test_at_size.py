@@ -1,8 +1,11 @@
 """Tests of what only larger tables show: parts that differ between runs, bytes shuffled, texts analyzed again."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from lodetext.functions.text import ENGLISH, analyzed_here, word_frequencies
 from lodetext.operators import index as ix
 from lodetext.operators import ranking as rk
 from lodetext.plans import registry
@@ -98,3 +101,10 @@ def test_a_workload_restricts_any_postings_before_their_shuffle(spark, folder, s
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     asked = spark.createDataFrame([(0, ["that", "with"])], "query_id int, terms array<string>")
     assert shuffled(spark, rk.ranked(ix.frequencies(docs), asked, scorer="tf")) < stored // 10
+
+
+def test_stems_are_of_counted_words(spark):
+    texts = ["Running dogs cannot run", "the dog's RUN gonna end; cannots", "", "gimme the dog: it ran", "cannot"]
+    rows = word_frequencies(spark.createDataFrame([(t,) for t in [*texts, None]], "text string"), ENGLISH)
+    assert dict(map(tuple, rows.collect())) == Counter(t for x in texts for t in analyzed_here(x, ENGLISH))
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
