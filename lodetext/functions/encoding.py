@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,10 +46,24 @@ def unvbyte(data: bytes) -> list[int]:
     return out
 
 
-def flat_lists(batch: pd.Series, kind) -> tuple[np.ndarray, np.ndarray]:
+def flat_lists(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of a batch of lists, and how many each list has; null lists have none."""
-    lists = [np.zeros(0, kind) if x is None else np.asarray(x, kind) for x in batch]
-    return (np.concatenate(lists) if lists else np.zeros(0, kind)), np.array([len(x) for x in lists], np.int64)
+    numbers = batch.flatten()
+    if numbers.null_count:
+        raise ValueError("null in a list")
+    return numbers.to_numpy(zero_copy_only=False).astype(np.int64, copy=False), pc.list_value_length(batch).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def parted(kind: pa.DataType, held: np.ndarray, data: pa.Buffer | pa.Array, like: pa.Array) -> pa.Array:
+    """Data cut into binary values, or numbers into lists, of as many as held says; null where `like` is."""
+    ends = np.concatenate([[0], np.cumsum(held)])
+    if ends[-1] > np.iinfo(np.int32).max:
+        raise ValueError("over 2 GB in a batch")
+    there = pa.py_buffer(np.packbits(like.is_valid().to_numpy(zero_copy_only=False), bitorder="little")) if like.null_count else None
+    offsets = pa.py_buffer(ends.astype(np.int32))
+    if isinstance(data, pa.Buffer):
+        return pa.Array.from_buffers(kind, len(held), [there, offsets, data])
+    return pa.Array.from_buffers(kind, len(held), [there, offsets], children=[data])
 
 
 def coded(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,25 +91,26 @@ def uncoded(data: np.ndarray) -> np.ndarray:
 
 
 def vbyte_encode(values: Column) -> Column:
-    """vbyte() of lists of numbers below 2^63; a batch at once."""
+    """vbyte() of lists of numbers below 2^63; a batch at once, in the memory it came in."""
 
-    @F.pandas_udf("binary")
-    def encoded(batch: pd.Series) -> pd.Series:
-        numbers, held = flat_lists(batch, np.int64)
+    @F.arrow_udf("binary")
+    def encoded(batch: pa.Array) -> pa.Array:
+        numbers, held = flat_lists(batch)
         data, sizes = coded(numbers)
         cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(held)])]
-        return pd.Series([None if x is None else data[a:b].tobytes() for x, a, b in zip(batch, cuts[:-1], cuts[1:], strict=True)], dtype=object)
+        return parted(pa.binary(), np.diff(cuts), pa.py_buffer(data), batch)
 
     return encoded(values)
 
 
 def vbyte_decode(data: Column) -> Column:
-    @F.pandas_udf("array<long>")
-    def decoded(batch: pd.Series) -> pd.Series:
-        every = np.frombuffer(b"".join(x for x in batch if x is not None), np.uint8)
+    @F.arrow_udf("array<long>")
+    def decoded(batch: pa.Array) -> pa.Array:
+        full = (batch.fill_null(b"") if batch.null_count else batch).cast(pa.binary())
+        cuts = np.frombuffer(full.buffers()[1], np.int32)[full.offset : full.offset + len(full) + 1] if len(full) else np.zeros(1, np.int32)
+        every = np.frombuffer(full.buffers()[2] or b"", np.uint8)[cuts[0] : cuts[-1]]
         numbers, before = uncoded(every), np.concatenate([[0], np.cumsum(every < 128)])
-        cuts = before[np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in batch])]).astype(int)]
-        return pd.Series([None if x is None else numbers[a:b] for x, a, b in zip(batch, cuts[:-1], cuts[1:], strict=True)], dtype=object)
+        return parted(pa.list_(pa.int64()), np.diff(before[cuts - cuts[0]]), pa.array(numbers), batch)
 
     return decoded(data)
 

@@ -4,7 +4,9 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
+from lodetext.functions import encoding
 from lodetext.functions.text import ENGLISH, analyzed_here, word_frequencies
 from lodetext.operators import index as ix
 from lodetext.operators import ranking as rk
@@ -108,3 +110,21 @@ def test_stems_are_of_counted_words(spark):
     rows = word_frequencies(spark.createDataFrame([(t,) for t in [*texts, None]], "text string"), ENGLISH)
     assert dict(map(tuple, rows.collect())) == Counter(t for x in texts for t in analyzed_here(x, ENGLISH))
     assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_variable_bytes_go_as_whole_batches(spark):
+    rows = [([1, 5, 300],), (None,), ([],), ([0, 2**40, 2**62],), (None,), ([127, 128],)] * 700
+    lists = spark.createDataFrame(rows, "x array<bigint>").coalesce(1)
+    coded = lists.select("x", encoding.vbyte_encode(F.col("x")).alias("b"))
+    found = coded.select("x", "b", encoding.vbyte_decode(F.col("b")).alias("y")).collect()
+    assert [r["x"] for r in found] == [r["y"] for r in found] == [x for x, in rows]
+    assert all(r["b"] == (None if r["x"] is None else encoding.vbyte(r["x"])) for r in found)
+    assert "SQL_SCALAR_ARROW_UDF" in udf_kinds(coded)
+    with pytest.raises(Exception, match="negative"):
+        spark.createDataFrame([([-1],)], "x array<bigint>").select(encoding.vbyte_encode(F.col("x"))).collect()
+
+
+def udf_kinds(rows) -> str:
+    kinds = {PythonEvalType.SQL_SCALAR_ARROW_UDF: "SQL_SCALAR_ARROW_UDF", PythonEvalType.SQL_SCALAR_PANDAS_UDF: "SQL_SCALAR_PANDAS_UDF"}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return " ".join(name for number, name in kinds.items() if f"], {number}" in plan)
