@@ -33,18 +33,23 @@ def test_dense_ids_of_nulls_and_repeats(spark):
     assert ix.dense_ids(spark.createDataFrame([], "k string"), "k").count() == 0
 
 
-def shuffled(spark, rows) -> int:
-    """Bytes that a run writes to shuffles or spills."""
+def measured(spark, make) -> tuple[int, int]:
+    """Bytes that a run writes to shuffles or spills, and rows it reads from tables."""
     store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
 
-    def written():
+    def so_far():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
         stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
-        return sum(stages.apply(i).shuffleWriteBytes() + stages.apply(i).diskBytesSpilled() for i in range(stages.length()))
+        every = [stages.apply(i) for i in range(stages.length())]
+        return sum(x.shuffleWriteBytes() + x.diskBytesSpilled() for x in every), sum(x.inputRecords() for x in every)
+
+    before = so_far()
+    make().write.format("noop").mode("overwrite").save()
+    return tuple(b - a for a, b in zip(before, so_far(), strict=True))
 
-    before = written()
-    rows.write.format("noop").mode("overwrite").save()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    return written() - before
+
+def shuffled(spark, rows) -> int:
+    return measured(spark, lambda: rows)[0]
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +59,8 @@ def folder(spark, tmp_path_factory):
     words = F.expr("transform(sequence(1, 2000), i -> CASE WHEN i % 20 = 0 THEN element_at(array('that', 'with', 'anea', 'ther', 'tion'), CAST(i / 20 % 5 AS INT) + 1) ELSE conv(xxhash64(id, i) % 1000000, 10, 26) END)")
     docs = spark.range(0, 200, 1, 4).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
     docs.write.parquet(str(path / "documents.parquet"))
+    html = F.concat(F.lit("<html><title>that</title><p>"), F.substring("text", 1, 3000), F.lit("</p></html>"))
+    docs.select(F.col("doc_id").alias("page_id"), html.alias("html")).write.parquet(str(path / "pages.parquet"))
     return str(path)
 
 
@@ -82,12 +89,13 @@ def test_only_texts_are_shuffled_for_postings(spark, folder, stored, name):
     assert shuffled(spark, run(spark, name, folder)) < 2 * stored
 
 
-RANKED = ["rank_bm25"]
+RANKED = ["rank_bm25", "rank_threshold_doc"]
 
 
 @pytest.mark.parametrize("name", RANKED)
 def test_only_asked_postings_are_shuffled(spark, folder, stored, name):
-    assert shuffled(spark, run(spark, name, folder)) < stored // 10
+    written, read = measured(spark, lambda: run(spark, name, folder))
+    assert written < stored // 10 and read == 200 * (1 + (name == "rank_early_stop"))  # whose known terms come first
 
 
 def test_postings_of_some_terms_are_those_of_all(spark):
