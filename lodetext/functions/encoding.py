@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 def gap_encode(values: Column) -> Column:
     """First value, then differences. Fails on values that don't ascend."""
     gaps = F.transform(values, lambda x, i: x - F.when(i == 0, F.lit(0)).otherwise(F.get(values, i - 1)))
-    bad = F.exists(F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))), lambda g: g < 0)
-    return F.when(bad, F.raise_error(F.lit("values must ascend"))).otherwise(gaps)
+    bad = lambda g: F.exists(F.slice(g, F.lit(2), F.greatest(F.size(g) - 1, F.lit(0))), lambda x: x < 0)
+    checked = F.transform(F.array(gaps), lambda g: F.when(bad(g), F.raise_error(F.lit("values must ascend"))).otherwise(g))  # a lambda, so that gaps are made once
+    return F.get(checked, F.lit(0))
 
 
 def gap_decode(gaps: Column) -> Column:
