@@ -118,5 +118,6 @@ def vbyte_decode(data: Column) -> Column:
 
 def vbyte_size(values: Column) -> Column:
     """Bytes that vbyte_encode takes, without Python."""
-    one = lambda x: F.greatest(F.lit(1), F.ceil(F.length(F.bin(x.cast("long"))) / 7)).cast("long")
+    long = lambda x: F.greatest(F.lit(1), F.ceil(F.length(F.bin(x.cast("long"))) / 7)).cast("long")
+    one = lambda x: F.when(x.between(0, 127), F.lit(1).cast("long")).when(x.between(128, 16383), F.lit(2).cast("long")).otherwise(long(x))
     return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + one(x))
