@@ -89,7 +89,7 @@ def test_only_texts_are_shuffled_for_postings(spark, folder, stored, name):
     assert shuffled(spark, run(spark, name, folder)) < 2 * stored
 
 
-RANKED = ["rank_bm25", "rank_threshold_doc", "total_hits", "top3_consistency", "rank_early_stop", "rank_tf", "precision_recall_f1", "macro_avg", "rank_batch_topk"]
+RANKED = ["rank_bm25", "rank_threshold_doc", "total_hits", "top3_consistency", "rank_early_stop", "rank_tf", "precision_recall_f1", "macro_avg", "rank_batch_topk", "rank_threshold_term"]
 
 
 @pytest.mark.parametrize("name", RANKED)
