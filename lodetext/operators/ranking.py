@@ -130,22 +130,22 @@ def total_hits(scored: DataFrame) -> DataFrame:
     return scored.groupBy("query_id").agg(F.count("*").alias("total_hits"), F.max("score").alias("max_score"))
 
 
-def field_scores(fields: dict[str, tuple[DataFrame, float]], queries: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score): per document the largest of its fields' boosted scores. fields: name to (postings, boost). stats: of a single field, as one row."""
+def field_scores(fields: dict[str, tuple], queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score): per document the largest of its fields' boosted scores. fields: name to (postings, boost), or (postings, boost, the field's statistics as one row), whose postings may be those of the workload's terms only."""
     wanted = query_terms(queries)
     every = None
-    for posted, boost in fields.values():
+    for posted, boost, *stats in fields.values():
         needed = restricted(posted, wanted)
         df = needed.groupBy("term").agg(F.count("*").alias("df"))
         rows = needed.join(F.broadcast(df), "term").join(F.broadcast(wanted), "term")  # rows of the workload
-        rows = rows.crossJoin(F.broadcast(collection_stats(posted) if stats is None else stats))  # one row
+        rows = rows.crossJoin(F.broadcast(stats[0] if stats else collection_stats(posted)))  # one row
         part = server_bm25(C("tf"), C("df"), C("dl"), C("n_docs"), C("avgdl"))
         one = rows.groupBy("query_id", "doc_id").agg((boost * F.sum(part * C("weight"))).alias("score"))
         every = one if every is None else every.unionByName(one)
     return every.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
 
 
-def best_fields(fields: dict[str, tuple[DataFrame, float]], queries: DataFrame, k: int = 10, digits: int | None = None) -> DataFrame:
+def best_fields(fields: dict[str, tuple], queries: DataFrame, k: int = 10, digits: int | None = None) -> DataFrame:
     """Multi-field search: the k best by field_scores."""
     return top_k(field_scores(fields, queries), k, digits)
 

@@ -33,7 +33,8 @@ FIELDS = {
 class FieldedEngine:
     """Postings (field, doc_id, dl, term, tf, positions) of several fields."""
 
-    def __init__(self, posted: DataFrame, fields: Mapping[str, Field] = FIELDS):
+    def __init__(self, posted: DataFrame, fields: Mapping[str, Field] = FIELDS, source: tuple[DataFrame, str] | None = None):
+        self.source = source  # of an index that isn't saved: the documents, and their column of ids
         self.posted, self.fields, self.spark = posted, dict(fields), posted.sparkSession
 
     @classmethod
@@ -42,7 +43,7 @@ class FieldedEngine:
         for name, field in fields.items():
             rows = ix.postings(docs, field.analyzer, field.column, doc_id).select(F.lit(name).alias("field"), "doc_id", "dl", "term", "tf", "positions")
             every = rows if every is None else every.unionByName(rows)
-        return cls(every, fields)
+        return cls(every, fields, (docs, doc_id))
 
     def save(self, path: str, codec: str | None = None) -> None:
         """A folder for each field, sorted by term, beside the configuration."""
@@ -65,7 +66,12 @@ class FieldedEngine:
         for name, field in self.fields.items():
             rows = [(i, analyzed_here(q, field.analyzer) if q.isascii() else q.lower().split()) for i, q in enumerate(queries)]
             asked = self.spark.createDataFrame(rows, "query_id int, terms array<string>")
-            one = ranking.field_scores({name: (self.posted.where(F.col("field") == name), field.boost)}, asked)
+            if self.source is None:
+                held = (self.posted.where(F.col("field") == name), field.boost)
+            else:  # the asked terms and all lengths by one pass
+                posted, lengths = ix.of_terms(self.source[0], sorted({t for _, ts in rows for t in ts}), field.analyzer, field.column, self.source[1])
+                held = (posted, field.boost, ix.length_stats(lengths))
+            one = ranking.field_scores({name: held}, asked)
             every = one if every is None else every.unionByName(one)
         return every.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
 

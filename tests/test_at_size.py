@@ -98,6 +98,12 @@ def test_only_asked_postings_are_shuffled(spark, folder, stored, name):
     assert written < stored // 10 and read == 200 * (1 + (name == "rank_early_stop"))  # whose known terms come first
 
 
+@pytest.mark.parametrize("name", ["engine_multifield", "multifield_best_fields"])
+def test_a_field_is_one_pass(spark, folder, stored, name):
+    written, read = measured(spark, lambda: run(spark, name, folder))
+    assert written < stored // 10 and read == 200 * (4 if name == "engine_multifield" else 2)
+
+
 def test_postings_of_some_terms_are_those_of_all(spark):
     rows = [(1, "cat dog cat"), (1, "dog bird cat"), (None, "cat"), (2, None), (2, ""), (3, "a !"), (4, "fish cat"), (5, "bird")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
