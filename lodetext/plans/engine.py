@@ -39,7 +39,8 @@ def local(spark: SparkSession, rows: list[tuple], schema: list[tuple[str, pa.Dat
 class SearchEngine:
     """Postings with positions, the documents' lengths and a configuration; of a saved index also its term table and its statistics."""
 
-    def __init__(self, posted: DataFrame, config: EngineConfig = EngineConfig(), docs: DataFrame | None = None, terms: DataFrame | None = None, told: dict | None = None):
+    def __init__(self, posted: DataFrame, config: EngineConfig = EngineConfig(), docs: DataFrame | None = None, terms: DataFrame | None = None, told: dict | None = None, source: tuple[DataFrame, str, str] | None = None):
+        self.source = source  # of an index that isn't saved: the documents, and their columns of text and id
         self.posted, self.config, self.spark = posted, config, posted.sparkSession
         self.docs = ix.doc_table(posted) if docs is None else docs
         self.terms, self.told = terms, told
@@ -47,7 +48,7 @@ class SearchEngine:
     @classmethod
     def build(cls, docs: DataFrame, config: EngineConfig = EngineConfig(), text: str = "text", doc_id: str = "doc_id") -> SearchEngine:
         """From documents; those without tokens aren't part of the collection."""
-        return cls(ix.postings(docs, config.analyzer, text, doc_id), config, ix.doc_lengths(docs, config.analyzer, text, doc_id))
+        return cls(ix.postings(docs, config.analyzer, text, doc_id), config, ix.doc_lengths(docs, config.analyzer, text, doc_id), source=(docs, text, doc_id))
 
     def save(self, path: str, buckets: int = 64, codec: str | None = None, coded: bool = False) -> dict:
         """Postings and terms by term bucket, documents, configuration and statistics, each beside the other; returns the statistics."""
@@ -84,9 +85,16 @@ class SearchEngine:
     def count(self) -> int:
         return self.told["n_docs"] if self.told else self.docs.count()
 
+    def asked(self, terms: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Postings of the terms, and (doc_id, dl) of all documents; where the index isn't saved, both by one pass over its documents."""
+        if self.source is None:
+            return ix.lookup(self.posted, terms), self.docs
+        docs, text, doc_id = self.source
+        return ix.of_terms(docs, terms, self.config.analyzer, text, doc_id)
+
     def postings_of(self, term: str) -> DataFrame:
         """(doc_id, tf, positions) of a term, with its df and total_tf."""
-        rows = ix.lookup(self.posted, [term])
+        rows, _ = self.asked([term])
         return rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf")))).select("doc_id", "tf", "positions", "df", "total_tf")  # one row
 
     def stats(self) -> DataFrame:
@@ -105,22 +113,22 @@ class SearchEngine:
             found |= {rest[r["i"]]: [stems(x) for x in r["toks"]] for r in rows.collect()}  # as many rows as the workload has leaves
         return [found[t] for t in texts]
 
-    def leaf_hits(self, named: list[list[str]]) -> DataFrame:
-        """(leaf, doc_id) of leaves given as their terms: one term, or a phrase of several. Each term of the workload is read once."""
+    def leaf_hits(self, named: list[list[str]], posted: DataFrame) -> DataFrame:
+        """(leaf, doc_id) of leaves given as their terms, one or a phrase of several, from postings of those terms at least."""
         rows = [(i, k, t, len(ts)) for i, ts in enumerate(named) for k, t in enumerate(ts)]
         wanted = local(self.spark, rows, [("leaf", pa.int32()), ("idx", pa.int32()), ("term", pa.string()), ("n", pa.int32())])
-        met = ix.lookup(self.posted, sorted({r[2] for r in rows})).join(F.broadcast(wanted), "term")  # the workload's terms
+        met = ix.lookup(posted, sorted({r[2] for r in rows})).join(F.broadcast(wanted), "term")  # the workload's terms
         single = met.where("n = 1").select("leaf", "doc_id")
         starts = met.where("n > 1").select("leaf", "doc_id", "idx", "n", F.explode("positions").alias("pos")).groupBy("leaf", "doc_id", "n", (F.col("pos") - F.col("idx")).alias("start"))
         phrases = starts.agg(F.count_distinct("idx").alias("found")).where("found = n").select("leaf", "doc_id").distinct()
         return single.unionByName(phrases)
 
-    def boolean(self, queries: list[str | Node]) -> DataFrame:
+    def boolean(self, queries: list[str | Node], asked: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
         """(query_id, doc_id) of all documents that match each query, by its position in the list.
 
         Leaves of all queries are matched once; a document's leaves are gathered per query and the query's condition is tested on them. Only
         queries that hold for a document without any leaf, such as NOT alone, visit all documents. Leaves that the analyzer empties are neutral: they
-        go, and a query of nothing else matches nothing.
+        go, and a query of nothing else matches nothing. asked: postings and documents as asked() gives them, of these queries' terms at least.
         """
         trees = [q if isinstance(q, Node) else ast.parse_or_term(q, first_term_only=self.config.first_term_only) for q in queries]
         every = list(dict.fromkeys(x for t in trees for x in ast.leaves(t)))
@@ -136,12 +144,13 @@ class SearchEngine:
         pairs = [(i, ast.flat(t)) for i, t in ((i, known(t)) for i, t in enumerate(trees)) if t is not None]
         if not pairs:
             return self.posted.select(F.lit(0).alias("query_id"), "doc_id").limit(0)
-        hits = self.leaf_hits([named[x] for x in number])
+        posted, docs = asked or self.asked(sorted({t for x in number for t in named[x]}))
+        hits = self.leaf_hits([named[x] for x in number], posted)
         uses = local(self.spark, [(i, number[x]) for i, t in pairs for x in ast.leaves(t)], [("query_id", pa.int32()), ("leaf", pa.int32())])
         held = hits.join(F.broadcast(uses), "leaf").groupBy("query_id", "doc_id").agg(F.collect_set("leaf").alias("h"))
         empty = [i for i, t in pairs if ast.holds(t, set())]
         if empty:
-            all_docs = self.docs.select("doc_id", F.explode(F.array(*[F.lit(i) for i in empty])).alias("query_id"))
+            all_docs = docs.select("doc_id", F.explode(F.array(*[F.lit(i) for i in empty])).alias("query_id"))
             none = F.array().cast("array<int>")
             held = held.join(all_docs, ["query_id", "doc_id"], "full").select("query_id", "doc_id", F.coalesce("h", none).alias("h"))
         tests = " ".join(f"WHEN {i} THEN {ast.condition(t, lambda x: f'array_contains(h, {number[x]})')}" for i, t in pairs)
@@ -151,18 +160,20 @@ class SearchEngine:
         """(query_id, doc_id, score) of all documents that match: terms and bags by the scorer, boolean and phrase queries with score 1."""
         trees = [ast.parse_or_term(q, first_term_only=self.config.first_term_only) for q in queries]
         bags = [(i, t) for i, t in enumerate(trees) if t.kind in ("TERM", "BAG")]
+        rest = [i for i, t in enumerate(trees) if t.kind not in ("TERM", "BAG")]
+        words = self.analyzed([" ".join(x.value for x in ast.leaves(t)) if t.kind == "BAG" else t.value for _, t in bags])
+        rows = [(i, t, n) for (i, _), w in zip(bags, words, strict=True) for t, n in Counter(w).items()]
+        leaves = self.analyzed([x.value for i in rest for x in ast.leaves(trees[i])])
+        asked = self.asked(sorted({t for _, t, _ in rows} | {t for ts in leaves for t in ts}))  # one pass for the whole workload
         found = None
-        if len(bags) < len(trees):
-            rest = [i for i, t in enumerate(trees) if t.kind not in ("TERM", "BAG")]
+        if rest:
             ids = F.element_at(F.array(*[F.lit(i) for i in rest]), F.col("query_id") + 1)
-            found = self.boolean([trees[i] for i in rest]).select(ids.alias("query_id"), "doc_id", F.lit(1.0).alias("score"))
+            found = self.boolean([trees[i] for i in rest], asked).select(ids.alias("query_id"), "doc_id", F.lit(1.0).alias("score"))
         if bags:
-            words = self.analyzed([" ".join(x.value for x in ast.leaves(t)) if t.kind == "BAG" else t.value for _, t in bags])
-            rows = [(i, t, n) for (i, _), w in zip(bags, words, strict=True) for t, n in Counter(w).items()]
             wanted = local(self.spark, rows, [("query_id", pa.int32()), ("term", pa.string()), ("weight", pa.int64())])
             every = sorted({t for _, t, _ in rows})
-            whole = self.told or ix.length_stats(self.docs)
-            parts = ranking.term_parts(ix.lookup(self.posted, every), wanted, self.config.scorer, whole, None if self.terms is None else ix.lookup(self.terms, every))
+            whole = self.told or ix.length_stats(asked[1])
+            parts = ranking.term_parts(ix.lookup(asked[0], every), wanted, self.config.scorer, whole, None if self.terms is None else ix.lookup(self.terms, every))
             one = ranking.scores(ranking.term_threshold(parts, threshold) if threshold else parts)
             found = one if found is None else found.unionByName(one)
         return found

@@ -104,6 +104,11 @@ def test_a_field_is_one_pass(spark, folder, stored, name):
     assert written < stored // 10 and read == 200 * (4 if name == "engine_multifield" else 2)
 
 
+@pytest.mark.parametrize("name", ["search_total_hits", "engine_search", "bool_workload"])
+def test_a_workload_is_one_pass(spark, folder, name):
+    assert measured(spark, lambda: run(spark, name, folder))[1] == 200
+
+
 def test_postings_of_some_terms_are_those_of_all(spark):
     rows = [(1, "cat dog cat"), (1, "dog bird cat"), (None, "cat"), (2, None), (2, ""), (3, "a !"), (4, "fish cat"), (5, "bird")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
