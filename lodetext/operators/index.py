@@ -13,13 +13,18 @@ from lodetext.functions.encoding import gap_decode, gap_encode, vbyte_decode, vb
 from lodetext.functions.text import PLAIN, AnalyzerConfig, token_table, tokens
 
 
+def named(column: str, name: str) -> Column:
+    """A column under a name. Never an alias to the name it has: Spark removes those on one side of a join only, and then the two sides don't share their shuffle."""
+    return F.col(column) if column == name else F.col(column).alias(name)
+
+
 #: Bytes of stored documents a task parts into postings, which take some thirty times as much in memory.
 PART_BYTES = 8 << 20
 
 
 def texts_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, texts): a row per document, in parts small enough for what is made of them. Rows that share an id are one document, in an order of their own."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(named(doc_id, "doc_id"), named(text, "text"))
     size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # of the files read; no job
     if size < 1 << 60:  # else it isn't known
         least = docs.sparkSession.sparkContext.defaultParallelism if size > 1 << 20 else 1
@@ -71,7 +76,7 @@ def of_terms(docs: DataFrame, wanted: Sequence[str], config: AnalyzerConfig = PL
     """
     if config.stemming:  # stems are known by the vocabulary only
         return lookup(postings(docs, config, text, doc_id), sorted(wanted)), doc_lengths(docs, config, text, doc_id)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), tokens(F.col(text), config).alias("toks"))
+    rows = docs.select(named(doc_id, "doc_id"), F.xxhash64(text).alias("h"), tokens(F.col(text), config).alias("toks"))
     placed = F.transform("toks", lambda t, i: F.when(t.isin(sorted(wanted)), F.struct(t.alias("term"), i.alias("pos"))))
     part = F.struct("h", F.size("toks").alias("n"), F.filter(placed, lambda x: x.isNotNull()).alias("found"))
     rows = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
